@@ -56,7 +56,7 @@ def rewrite_arrays(
     step = F.struct("at", "tag_id", "primary_id")
     changes = (
         touched(pairs, mapping).groupBy("snippet_id")
-        .agg(F.array_sort(F.collect_set(step)).alias("steps"))
+        .agg(F.sort_array(F.collect_set(step)).alias("steps"))
         .select(
             F.col("snippet_id").alias("id"),
             F.transform("steps", lambda s: s["tag_id"]).alias("gone"),
@@ -116,7 +116,7 @@ def consolidation_report(
         .groupBy("at.reply_no", "at.group_no")
         .agg(F.count("*").alias("snippets_updated"))
     )
-    merged = F.array_sort(F.collect_list(F.struct("pos", "merge_id")))
+    merged = F.sort_array(F.collect_list(F.struct("pos", "merge_id")))
     groups = mapping.groupBy("reply_no", "group_no", "primary_id", "primary_name", "reason").agg(
         F.transform(merged, lambda m: m["merge_id"]).alias("merged_ids")
     )

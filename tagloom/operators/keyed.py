@@ -37,7 +37,7 @@ def snippet_arrays(processed: DataFrame, assignments: DataFrame) -> DataFrame:
     are as long as a snippet has proposals, which the proposer limits.
     """
     lists = assignments.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "tag_id"))).alias("_ordered")
+        F.sort_array(F.collect_list(F.struct("idx", "tag_id"))).alias("_ordered")
     )
     ids = F.transform("_ordered", lambda p: p["tag_id"])
     empty = F.array().cast("array<bigint>")

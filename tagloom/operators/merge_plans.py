@@ -32,7 +32,7 @@ def planner_input(tags: DataFrame) -> DataFrame:
         F.lit(" ("), F.col("usage_count").cast("string"), F.lit(")"),
     )
     entry = F.struct((-F.col("usage_count")).alias("rank"), "id", line.alias("line"))
-    lines = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"])
+    lines = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["line"])
     return tags.agg(F.count("*").alias("n_tags"), lines.alias("lines")).select(
         "n_tags",
         F.when(F.col("n_tags") > 0, F.array_join("lines", "\n")).alias("tag_list"),
@@ -180,7 +180,7 @@ def jaccard_pairs(pairs: DataFrame, phi: float) -> DataFrame:
     joined with itself.
     """
     held = pairs.groupBy("snippet_id").agg(
-        F.array_sort(F.collect_set("tag_id")).alias("held")
+        F.sort_array(F.collect_set("tag_id")).alias("held")
     )
     firsts = held.select("held", F.posexplode("held").alias("i", "a"))
     together = (

@@ -88,6 +88,6 @@ def batches_of(df: DataFrame, size: int = CONSUMER_BATCH) -> DataFrame:
     return (
         assign_chunks(df.select("id"), size)
         .groupBy("chunk")
-        .agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        .agg(F.sort_array(F.collect_list("id")).alias("ids"))
         .select(F.col("chunk").alias("batch"), "ids")
     )

@@ -154,7 +154,7 @@ def propose_with_lexicon(
     entry = F.struct("facet", (-F.col("hits")).alias("rank"), "term")
     ranked = (
         lexicon_counts(documents, lexicon).groupBy("id")
-        .agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
     )
     passes = [
         F.transform(
@@ -176,7 +176,7 @@ def top_terms(
         .groupBy("id", "term").agg(F.count("*").alias("hits"))
     )
     entry = F.struct((-F.col("hits")).alias("rank"), "term")
-    ranked = counted.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("ranked"))
+    ranked = counted.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
     names = F.transform(F.slice("ranked", 1, n), lambda e: e["term"])
     return ranked.select("id", names.alias("names"))
 

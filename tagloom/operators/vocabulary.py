@@ -192,7 +192,7 @@ def assign_tags(
         )
         # at most one entry per tag, so the list is as short as the vocabulary
         fuzzy = scored.groupBy("key").agg(
-            F.array_sort(F.collect_list(F.struct("rank", "tag_id", "born"))).alias("options")
+            F.sort_array(F.collect_list(F.struct("rank", "tag_id", "born"))).alias("options")
         )
         options = materialize(equal.unionByName(fuzzy), "options")
     here = F.struct(F.col("id"), F.col("idx").cast("int").alias("idx"))

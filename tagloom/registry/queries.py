@@ -62,7 +62,7 @@ PAGE = BATCH_SIZE
 CURSOR = "0000000099"
 POINT = "0000000042"
 OFFSET = 100
-COSINE = 0.8
+COSINE = 0.35
 JACCARD = 0.5
 SMALL_CAP = 1000
 LENGTH = WORD.max_length
@@ -96,7 +96,7 @@ def scan_vocab(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def scan_junction(spark: SparkSession, sf: str) -> DataFrame:
-    return v.junction(spark, sf)
+    return v.junction(v.base(spark, sf))
 
 
 @query
@@ -118,14 +118,14 @@ def _store(spark: SparkSession, name: str) -> TableStore:
 def _filled_store(spark: SparkSession, sf: str, name: str) -> TableStore:
     """Tables as they stand after the labelled snippets were tagged."""
     store = _store(spark, name).init_tables()
-    vocabulary = v.vocabulary(spark, sf)
+    base = v.base(spark, sf)
     store.publish(
         {
-            "snippets": v.tagged_snippets(spark, sf),
-            "tags": vocabulary,
-            "snippet_tags": v.junction(spark, sf),
+            "snippets": v.tagged_snippets(spark, sf, base),
+            "tags": base.tags,
+            "snippet_tags": v.junction(base),
         },
-        high_water=vocabulary.agg(F.max("id")).first()[0],
+        high_water=base.tags.agg(F.max("id")).first()[0],
     )
     return store
 
@@ -189,7 +189,7 @@ def enqueue_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tags_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    lists = v.tagged_snippets(spark, sf).select("id", "tags")
+    lists = v.tagged_snippets(spark, sf, v.base(spark, sf)).select("id", "tags")
     broken = F.when(F.col("tags") == "[]", F.lit("[1,")).otherwise(F.col("tags"))
     ids = tags_from_json(broken)
     return lists.select(
@@ -272,9 +272,8 @@ def queue_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def usage_counts(spark: SparkSession, sf: str) -> DataFrame:
-    grown = reports.apply_usage(
-        v.vocabulary(spark, sf), reports.usage_increments(v.assigned(spark, sf))
-    )
+    base = v.base(spark, sf)
+    grown = reports.apply_usage(base.tags, reports.usage_increments(v.assigned(base)))
     return grown.select("id", "name", "usage_count")
 
 
@@ -285,7 +284,8 @@ def clear_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def usage_drift(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.usage_drift(v.vocabulary(spark, sf), v.junction(spark, sf))
+    base = v.base(spark, sf)
+    return reports.usage_drift(base.tags, v.junction(base))
 
 
 def _queue_outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -298,7 +298,7 @@ def _queue_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
-    uses = v.assigned(spark, sf).groupBy("id").agg(F.count("*").alias("existing_tags"))
+    uses = v.assigned(v.base(spark, sf)).groupBy("id").agg(F.count("*").alias("existing_tags"))
     error = F.when(~F.col("ok"), "no page")
     outcomes = _queue_outcomes(spark, sf).join(uses, "id", "left").select(
         "id", error.alias("error"),
@@ -317,34 +317,35 @@ def chunk_totals(spark: SparkSession, sf: str) -> DataFrame:
 # -- joins ----------------------------------------------------------------------
 @query
 def exact_match_tags(spark: SparkSession, sf: str) -> DataFrame:
-    named = v.proposals(spark, sf).withColumn("name", F.initcap("name"))
-    found = exact_match(named, F.broadcast(v.vocabulary(spark, sf)))
+    base = v.base(spark, sf)
+    found = exact_match(base.names.withColumn("name", F.initcap("name")), base.tags)
     return found.withColumn("idx", big("idx"))
 
 
-def _name_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    names = v.proposals(spark, sf).select("name").distinct()
-    tags = v.vocabulary(spark, sf).select("name")
-    return fuzzy_pairs(names, tags, max_length=LENGTH)
+def _name_pairs(base: v.Base) -> DataFrame:
+    names = base.names.select("name").distinct()
+    return fuzzy_pairs(names, base.tags.select("name"), max_length=LENGTH)
 
 
 @query
 def fuzzy_name_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = _name_pairs(spark, sf)
+    pairs = _name_pairs(v.base(spark, sf))
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
 @query
 def best_match_tags(spark: SparkSession, sf: str) -> DataFrame:
-    best = best_match(_name_pairs(spark, sf), v.vocabulary(spark, sf))
+    base = v.base(spark, sf)
+    best = best_match(_name_pairs(base), base.tags)
     return best.withColumn("similarity", F.round("similarity", 6))
 
 
 @query
 def snippets_with_any_tag(spark: SparkSession, sf: str) -> DataFrame:
     """Snippets holding a tag that is used more than once."""
-    popular = v.vocabulary(spark, sf).where(F.col("usage_count") > 1)
-    return snippets_with_tags(v.snippets(spark, sf), v.junction(spark, sf), popular).select("id")
+    base = v.base(spark, sf)
+    popular = base.tags.where(F.col("usage_count") > 1)
+    return snippets_with_tags(v.snippets(spark, sf), v.junction(base), popular).select("id")
 
 
 @query
@@ -354,7 +355,7 @@ def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     new = listed.select(
         F.col("id").alias("snippet_id"), F.explode(tags_from_json(F.col("tags"))).alias("tag_id")
     )
-    return insert_or_ignore(v.junction(spark, sf), new, ["snippet_id", "tag_id"])
+    return insert_or_ignore(v.junction(v.base(spark, sf)), new, ["snippet_id", "tag_id"])
 
 
 # -- text -----------------------------------------------------------------------
@@ -388,7 +389,9 @@ def model_hook(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def lexicon_proposals(spark: SparkSession, sf: str) -> DataFrame:
-    found = propose_with_lexicon(v.docs(spark, sf), v.lexicon(spark, sf), v.FACET_NUMBERS)
+    found = propose_with_lexicon(
+        v.docs_by_id(spark, sf), v.lexicon(spark, sf), v.FACET_NUMBERS
+    )
     return found.select("id", F.array_join("names", ",").alias("names"))
 
 
@@ -467,9 +470,9 @@ def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- vocabulary and assignment ----------------------------------------------------
 def _grown(spark: SparkSession, sf: str, **limits) -> DataFrame:
-    return grow_vocabulary(
-        v.of_untagged(spark, sf), v.vocabulary(spark, sf), max_length=LENGTH, **limits
-    )
+    base = v.base(spark, sf)
+    names = v.of_untagged(spark, sf, base.names)
+    return grow_vocabulary(names, base.tags, max_length=LENGTH, **limits)
 
 
 def _new_tag_columns(grown: DataFrame) -> DataFrame:
@@ -492,22 +495,21 @@ def vocab_cap(spark: SparkSession, sf: str) -> DataFrame:
 def allocate_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Exact matching only, behind ids that were given out and cleared."""
     grown = grow_vocabulary(
-        v.of_untagged(spark, sf), v.vocabulary(spark, sf).limit(0),
+        v.of_untagged(spark, sf), spark.createDataFrame([], "id bigint, name string"),
         theta=1.0, high_water=v.UNKNOWN_ID, max_length=LENGTH,
     )
     return _new_tag_columns(grown)
 
 
-def _assigned(spark: SparkSession, sf: str) -> DataFrame:
-    names = materialize(v.of_untagged(spark, sf), "names")
-    vocabulary = materialize(v.vocabulary(spark, sf), "vocabulary")
-    new = grow_vocabulary(names, vocabulary, max_length=LENGTH)
-    return assign_tags(names, vocabulary, new, max_length=LENGTH)
+def _assigned(spark: SparkSession, sf: str, base: v.Base) -> DataFrame:
+    names = materialize(v.of_untagged(spark, sf, base.names), "open-names")
+    new = grow_vocabulary(names, base.tags, max_length=LENGTH)
+    return assign_tags(names, base.tags, new, max_length=LENGTH)
 
 
 @query
 def assign_tags_to_proposals(spark: SparkSession, sf: str) -> DataFrame:
-    return _assigned(spark, sf).select(
+    return _assigned(spark, sf, v.base(spark, sf)).select(
         "id", big("idx").alias("idx"), "tag_id",
         F.round("similarity", 6).alias("similarity"), "is_new",
     )
@@ -516,14 +518,15 @@ def assign_tags_to_proposals(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def snippet_tag_arrays(spark: SparkSession, sf: str) -> DataFrame:
     waiting = backlog(v.snippets(spark, sf)).select("id")
-    arrays = snippet_arrays(waiting, _assigned(spark, sf))
+    arrays = snippet_arrays(waiting, _assigned(spark, sf, v.base(spark, sf)))
     return arrays.select("id", tags_to_json(F.col("tag_ids")).alias("tags"))
 
 
 @query
 def replace_junction(spark: SparkSession, sf: str) -> DataFrame:
+    base = v.base(spark, sf)
     waiting = backlog(v.snippets(spark, sf)).select("id")
-    return replace_pairs(v.junction(spark, sf), waiting, _assigned(spark, sf))
+    return replace_pairs(v.junction(base), waiting, _assigned(spark, sf, base))
 
 
 @query
@@ -537,6 +540,10 @@ def tag_backlog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # -- consolidation ----------------------------------------------------------------
+def _replies(spark: SparkSession, sf: str) -> DataFrame:
+    return v.plan_replies(v.vocabulary(spark, sf))
+
+
 @query
 def planner_input(spark: SparkSession, sf: str) -> DataFrame:
     return mp.planner_input(v.vocabulary(spark, sf))
@@ -544,7 +551,7 @@ def planner_input(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def extract_json(spark: SparkSession, sf: str) -> DataFrame:
-    return v.plan_replies(spark, sf).select(
+    return _replies(spark, sf).select(
         "reply_no", plan_text.extract_json(F.col("reply")).alias("json")
     )
 
@@ -552,14 +559,14 @@ def extract_json(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def scrub_json(spark: SparkSession, sf: str) -> DataFrame:
     found = plan_text.extract_json(F.col("reply"))
-    return v.plan_replies(spark, sf).select(
+    return _replies(spark, sf).select(
         "reply_no", plan_text.scrub_json(found).alias("json")
     )
 
 
 @query
 def parse_plan(spark: SparkSession, sf: str) -> DataFrame:
-    return mp.plan_groups(v.plan_replies(spark, sf)).select(
+    return mp.plan_groups(_replies(spark, sf)).select(
         "reply_no", "group_no", big("primary_tag_id").alias("primary_id"),
         "primary_tag_name",
         as_text(F.transform("merge_tag_ids", lambda i: i.cast("bigint"))).alias("merge_ids"),
@@ -567,38 +574,36 @@ def parse_plan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _groups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Vocabulary and the planner's groups for it, both written once."""
-    tags = materialize(v.vocabulary(spark, sf), "tags")
-    groups = mp.plan_groups(materialize(v.plan_replies(spark, sf), "replies"))
-    return tags, groups
+def _groups(base: v.Base) -> DataFrame:
+    """The planner's groups for the vocabulary, its replies written once."""
+    return mp.plan_groups(materialize(v.plan_replies(base.tags), "replies"))
 
 
 @query
 def plan_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    tags, groups = _groups(spark, sf)
-    return mp.resolve_plan(groups, tags).select("reply_no", "primary_id", "pos", "merge_id")
+    base = v.base(spark, sf)
+    resolved = mp.resolve_plan(_groups(base), base.tags)
+    return resolved.select("reply_no", "primary_id", "pos", "merge_id")
 
 
 @query
 def valid_groups(spark: SparkSession, sf: str) -> DataFrame:
-    tags, groups = _groups(spark, sf)
-    return mp.resolve_overlaps(mp.valid_groups(groups, tags)).select(
+    base = v.base(spark, sf)
+    return mp.resolve_overlaps(mp.valid_groups(_groups(base), base.tags)).select(
         "reply_no", "primary_id", "suggested_name", "reason", "pos", "merge_id", "verdict"
     )
 
 
-def _mapping(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    tags, groups = _groups(spark, sf)
-    mapping = mp.merge_mapping(mp.resolve_overlaps(mp.valid_groups(groups, tags)))
-    return tags, materialize(mapping, "mapping")
+def _mapping(base: v.Base) -> DataFrame:
+    groups = mp.valid_groups(_groups(base), base.tags)
+    return materialize(mp.merge_mapping(mp.resolve_overlaps(groups)), "mapping")
 
 
 @query
 def rename_primary_tags(spark: SparkSession, sf: str) -> DataFrame:
-    tags, mapping = _mapping(spark, sf)
-    asked = mp.renames(mapping, tags, WORD)
-    renamed = con.rename_tags(tags, asked).select(F.col("id").alias("primary_id"), "name")
+    base = v.base(spark, sf)
+    asked = mp.renames(_mapping(base), base.tags, WORD)
+    renamed = con.rename_tags(base.tags, asked).select(F.col("id").alias("primary_id"), "name")
     return asked.join(renamed, "primary_id").select(
         "reply_no", "primary_id", "suggested_name", "new_name", "verdict", "name"
     )
@@ -606,22 +611,21 @@ def rename_primary_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def remap_junction(spark: SparkSession, sf: str) -> DataFrame:
-    _, mapping = _mapping(spark, sf)
-    return con.remap_pairs(v.junction(spark, sf), mapping)
+    base = v.base(spark, sf)
+    return con.remap_pairs(v.junction(base), _mapping(base))
 
 
 @query
 def rewrite_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    _, mapping = _mapping(spark, sf)
-    return con.rewrite_arrays(
-        v.tagged_snippets(spark, sf), v.junction(spark, sf), mapping
-    ).select("id", "tags")
+    base = v.base(spark, sf)
+    rows = v.tagged_snippets(spark, sf, base)
+    return con.rewrite_arrays(rows, v.junction(base), _mapping(base)).select("id", "tags")
 
 
 @query
 def rollup_usage(spark: SparkSession, sf: str) -> DataFrame:
-    tags, mapping = _mapping(spark, sf)
-    return con.rollup_usage(tags, mapping).select("id", "name", "usage_count")
+    base = v.base(spark, sf)
+    return con.rollup_usage(base.tags, _mapping(base)).select("id", "name", "usage_count")
 
 
 def _report_columns(report: DataFrame) -> DataFrame:
@@ -635,7 +639,8 @@ def _report_columns(report: DataFrame) -> DataFrame:
 def consolidation_report(spark: SparkSession, sf: str) -> DataFrame:
     """The report of a consolidation that was applied and published."""
     store = _filled_store(spark, sf, "consolidate")
-    done = maintenance.consolidate(store, v.plan_replies(spark, sf), profile=WORD)
+    plan = v.plan_replies(store.read_tags())
+    done = maintenance.consolidate(store, plan, profile=WORD)
     return _report_columns(done.report)
 
 
@@ -644,7 +649,7 @@ def dry_run(spark: SparkSession, sf: str) -> DataFrame:
     """What a dry run leaves behind: the tables as they were, and the plan."""
     store = _filled_store(spark, sf, "dry-run")
     plan = maintenance.consolidate(
-        store, v.plan_replies(spark, sf), profile=WORD, dry_run=True
+        store, v.plan_replies(store.read_tags()), profile=WORD, dry_run=True
     )
     merges = plan.mapping.select(F.col("merge_id").alias("id"), "primary_id")
     return store.read_tags().join(merges, "id", "left").select(
@@ -658,13 +663,13 @@ def _star_columns(groups: DataFrame) -> DataFrame:
 
 @query
 def plan_edit(spark: SparkSession, sf: str) -> DataFrame:
-    tags = materialize(v.vocabulary(spark, sf), "tags")
+    tags = v.base(spark, sf).tags
     return _star_columns(mp.plan_by_similarity(tags, "edit", 0.75, max_length=LENGTH))
 
 
 @query
 def plan_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    tags = materialize(v.vocabulary(spark, sf), "tags")
+    tags = v.base(spark, sf).tags
     vectors = v.table(spark, sf, "embeddings").select(
         (F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("vector")
     )
@@ -674,9 +679,9 @@ def plan_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def plan_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    tags = materialize(v.vocabulary(spark, sf), "tags")
-    pairs = v.junction(spark, sf)
-    return _star_columns(mp.plan_by_similarity(tags, "jaccard", JACCARD, pairs=pairs))
+    base = v.base(spark, sf)
+    groups = mp.plan_by_similarity(base.tags, "jaccard", JACCARD, pairs=v.junction(base))
+    return _star_columns(groups)
 
 
 # -- streaming ----------------------------------------------------------------------

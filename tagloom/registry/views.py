@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from tagloom.functions.predicates import is_tagged, is_untagged
 from tagloom.functions.text import words
 from tagloom.operators.matching import exact_match
 from tagloom.operators.propose import Facet, explode_names, top_terms
+from tagloom.session import materialize
 
 FACETS = (
     Facet(0, "Short words of this text:\n"),
@@ -34,6 +37,16 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(key("doc_id").alias("id"), "text")
 
 
+def docs_by_id(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents partitioned by id, so that counting words per id stays local.
+
+    The text is exchanged once. Exchanging the counted words would move more:
+    every distinct word of a document carries the id with it, and counting and
+    ranking would each need an exchange.
+    """
+    return docs(spark, sf).repartition("id")
+
+
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as snippets; labels say which are tagged, empty or untried."""
     labels = table(spark, sf, "labels")
@@ -64,23 +77,21 @@ def page_content(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, sf: str) -> DataFrame:
-    return explode_names(top_terms(docs(spark, sf), WORD))
-
-
-def of_tagged(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = snippets(spark, sf).where(is_tagged(F.col("tags"))).select("id")
-    return proposals(spark, sf).join(tagged, "id", "left_semi")
+    return explode_names(top_terms(docs_by_id(spark, sf), WORD))
 
 
-def of_untagged(spark: SparkSession, sf: str) -> DataFrame:
+def of_untagged(spark: SparkSession, sf: str, names: DataFrame | None = None) -> DataFrame:
+    names = proposals(spark, sf) if names is None else names
     untagged = snippets(spark, sf).where(is_untagged(F.col("tags"))).select("id")
-    return proposals(spark, sf).join(untagged, "id", "left_semi")
+    return names.join(untagged, "id", "left_semi")
 
 
-def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+def vocabulary(spark: SparkSession, sf: str, names: DataFrame | None = None) -> DataFrame:
     """Names proposed by tagged snippets, in order of first use, up to the cap."""
+    names = proposals(spark, sf) if names is None else names
+    tagged = snippets(spark, sf).where(is_tagged(F.col("tags"))).select("id")
     named = (
-        of_tagged(spark, sf).groupBy("name")
+        names.join(tagged, "id", "left_semi").groupBy("name")
         .agg(F.min(F.struct("id", "idx")).alias("first"), F.count("*").alias("usage_count"))
         .orderBy("first").limit(MAX_TAGS)
     )
@@ -92,25 +103,38 @@ def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def assigned(spark: SparkSession, sf: str) -> DataFrame:
+@dataclass(frozen=True)
+class Base:
+    """Proposals of all snippets and the vocabulary, each written once."""
+
+    names: DataFrame
+    tags: DataFrame
+
+
+def base(spark: SparkSession, sf: str) -> Base:
+    names = materialize(proposals(spark, sf), "names")
+    return Base(names, materialize(vocabulary(spark, sf, names), "vocabulary"))
+
+
+def assigned(base: Base) -> DataFrame:
     """``id, idx, name, tag_id``: proposals of all snippets that equal a tag."""
-    return exact_match(proposals(spark, sf), F.broadcast(vocabulary(spark, sf)))
+    return exact_match(base.names, base.tags)
 
 
-def junction(spark: SparkSession, sf: str) -> DataFrame:
-    return assigned(spark, sf).select(F.col("id").alias("snippet_id"), "tag_id").distinct()
+def junction(base: Base) -> DataFrame:
+    return assigned(base).select(F.col("id").alias("snippet_id"), "tag_id").distinct()
 
 
-def tagged_snippets(spark: SparkSession, sf: str) -> DataFrame:
+def tagged_snippets(spark: SparkSession, sf: str, base: Base) -> DataFrame:
     """Snippets whose list agrees with the junction, untried ones without."""
     lists = (
-        assigned(spark, sf).groupBy("id")
-        .agg(F.array_sort(F.collect_list(F.struct("idx", "tag_id"))).alias("l"))
+        assigned(base).groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("idx", "tag_id"))).alias("l"))
         .select("id", F.to_json(F.transform("l", lambda e: e["tag_id"])).alias("list"))
     )
-    base = snippets(spark, sf)
+    rows = snippets(spark, sf)
     new = F.when(F.col("tags").isNotNull(), F.coalesce("list", F.lit("[]")))
-    return base.join(lists, "id", "left").withColumn("tags", new).select(*base.columns)
+    return rows.join(lists, "id", "left").withColumn("tags", new).select(*rows.columns)
 
 
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:
@@ -155,7 +179,7 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def plan_replies(spark: SparkSession, sf: str) -> DataFrame:
+def plan_replies(tags: DataFrame) -> DataFrame:
     """One planner reply per stem of the vocabulary, in several wrappings.
 
     The most used tag of a stem leads. Each list also names the leader itself
@@ -163,13 +187,13 @@ def plan_replies(spark: SparkSession, sf: str) -> DataFrame:
     """
     entry = F.struct((-F.col("usage_count")).alias("rank"), "id", "name")
     stems = (
-        vocabulary(spark, sf).groupBy(F.substring("name", 1, 4).alias("stem"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("members"))
+        tags.groupBy(F.substring("name", 1, 4).alias("stem"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("members"))
         .select(
             "stem",
             F.col("members")[0]["id"].alias("lead_id"),
             F.col("members")[0]["name"].alias("lead_name"),
-            F.array_sort(
+            F.sort_array(
                 F.transform(F.expr("slice(members, 2, size(members))"), lambda m: m["id"])
             ).alias("others"),
         )
