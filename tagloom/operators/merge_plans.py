@@ -218,12 +218,17 @@ def cosine_pairs(vectors: DataFrame, phi: float, block_rows: int = BLOCK_ROWS) -
         .withColumn("high", F.greatest("own", "other"))
     )
 
+    # nested, so that executors only need numpy and pandas
+    def unit(rows: pd.Series) -> np.ndarray:
+        stacked = np.stack(rows.to_numpy())
+        return stacked / np.linalg.norm(stacked, axis=1, keepdims=True)
+
     def multiply(frame: pd.DataFrame) -> pd.DataFrame:
         low, high = frame["low"].iloc[0], frame["high"].iloc[0]
         one, two = frame[frame["own"] == low], frame[frame["own"] == high]
         if one.empty or two.empty:
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        cosine = np.round(_unit(one["vector"]) @ _unit(two["vector"]).T, 6)
+        cosine = np.round(unit(one["vector"]) @ unit(two["vector"]).T, 6)
         rows, columns = np.nonzero(cosine >= phi)
         left, right = one["id"].to_numpy()[rows], two["id"].to_numpy()[columns]
         kept = left < right if low == high else np.ones(len(left), dtype=bool)
@@ -238,11 +243,6 @@ def cosine_pairs(vectors: DataFrame, phi: float, block_rows: int = BLOCK_ROWS) -
     )
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    rows = np.stack(vectors.to_numpy())
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
-
-
 def star_groups(
     tags: DataFrame, pairs: DataFrame, reason: str, limit: int = MERGES_PER_GROUP
 ) -> DataFrame:

@@ -58,22 +58,31 @@ def propose_with_model(
     keeps its message in ``error`` with a NULL reply.
     """
 
+    # everything the tasks need is nested, so that executors only need pandas
+    def ask_one(model: Reply, prompt: str) -> tuple[str | None, str | None]:
+        try:
+            return model([prompt])[0], None
+        except Exception as error:
+            return None, str(error)
+
+    def ask(model: Reply, asked: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            answers = list(model(asked))
+        except Exception:
+            answers = []
+        if len(answers) == len(asked):
+            return [(reply, None) for reply in answers]
+        return [ask_one(model, prompt) for prompt in asked]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for frame in frames:
-            asked = list(frame["prompt"])
-            try:
-                answers = [(reply, None) for reply in model(asked)]
-                if len(answers) != len(asked):
-                    raise ValueError("the model returned another number of replies")
-            except Exception:
-                answers = [_ask_one(model, prompt) for prompt in asked]
-            replies, errors = zip(*answers) if answers else ((), ())
+            answers = ask(model, list(frame["prompt"]))
             yield pd.DataFrame({
                 "id": frame["id"],
                 "facet": frame["facet"],
-                "reply": pd.Series(replies, index=frame.index, dtype=object),
-                "error": pd.Series(errors, index=frame.index, dtype=object),
+                "reply": pd.Series([a[0] for a in answers], index=frame.index, dtype=object),
+                "error": pd.Series([a[1] for a in answers], index=frame.index, dtype=object),
             })
 
     return prompts.select("id", "facet", "prompt").mapInPandas(
@@ -81,13 +90,6 @@ def propose_with_model(
     )
 
 
-def _ask_one(model: Reply, prompt: str) -> tuple[str | None, str | None]:
-    try:
-        return model([prompt])[0], None
-    except Exception as error:
-        return None, str(error)
-
-
 def proposals_from_replies(
     replies: DataFrame, facet_numbers: Iterable[int], profile: Profile
 ) -> DataFrame:

@@ -42,9 +42,8 @@ def consolidate(
     All groups are applied together and published once. With ``dry_run`` the
     same plan and report come back and nothing is changed.
     """
-    tags, pairs, snippets = (
-        store.read_tags(), store.read_snippet_tags(), store.read_snippets()
-    )
+    before = store.snapshot()
+    tags, pairs, snippets = before.tags, before.snippet_tags, before.snippets
     if groups is None:
         if replies is None:
             raise ValueError("consolidate needs planner replies or groups")
@@ -72,13 +71,13 @@ def clear_tags(store: TableStore, confirm: bool = False) -> DataFrame:
     """
     if not confirm:
         raise ValueError("clearing all tags needs confirm=True")
-    store.init_tables()
-    snippets, tags = store.read_snippets(), store.read_tags()
+    before = store.init_tables()
+    snippets, tags = before.snippets, before.tags
     removed = materialize(reports.clear_summary(snippets, tags), "cleared")
     store.publish({
         "snippets": cleared(snippets),
         "tags": tags.limit(0),
-        "snippet_tags": store.read_snippet_tags().limit(0),
+        "snippet_tags": before.snippet_tags.limit(0),
     })
     return removed
 
@@ -88,11 +87,13 @@ def cleared(snippets: DataFrame) -> DataFrame:
 
 
 def status(store: TableStore) -> DataFrame:
-    return reports.status(store.read_snippets(), store.read_tags())
+    now = store.snapshot()
+    return reports.status(now.snippets, now.tags)
 
 
 def queue_status(store: TableStore) -> DataFrame:
-    return reports.queue_status(store.read_snippets(), store.read_tags())
+    now = store.snapshot()
+    return reports.queue_status(now.snippets, now.tags)
 
 
 def list_tags(store: TableStore) -> DataFrame:

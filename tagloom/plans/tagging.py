@@ -38,7 +38,7 @@ from tagloom.operators.propose import (
 from tagloom.operators.reports import apply_usage, run_errors, run_stats, usage_increments
 from tagloom.operators.vocabulary import assign_tags, grow_vocabulary
 from tagloom.session import materialize
-from tagloom.sources.content import missing_content, with_content
+from tagloom.sources.content import Content, content_of, missing_content, with_content
 from tagloom.sources.tables import TableStore
 
 # From documents (id, text) to proposals (id, names and optionally error).
@@ -90,7 +90,7 @@ class Tagged:
 def tag_snippets(
     ids: DataFrame,
     snippets: DataFrame,
-    content: DataFrame,
+    content: Content,
     vocabulary: DataFrame,
     proposer: Proposer,
     settings: Settings,
@@ -102,8 +102,9 @@ def tag_snippets(
     is never asked twice, and an executor lost later costs no re-tagging.
     """
     ids = materialize(ids.select("id").distinct(), "ids")
-    missing = missing_content(ids, snippets, content).select("id", "message")
-    texts = with_content(snippets.join(ids, "id", "left_semi").select("id"), content)
+    stored = content_of(content, ids)
+    missing = missing_content(ids, snippets, stored).select("id", "message")
+    texts = with_content(snippets.join(ids, "id", "left_semi").select("id"), stored)
     proposed = proposer(texts)
     if "error" not in proposed.columns:
         proposed = proposed.withColumn("error", F.lit(None).cast("string"))
@@ -173,7 +174,7 @@ class BatchResult:
 
 def tag_batch(
     store: TableStore,
-    content: DataFrame,
+    content: Content,
     proposer: Proposer,
     settings: Settings = Settings(),
     snippet_id: str | None = None,
@@ -186,8 +187,8 @@ def tag_batch(
     once per call, however many snippets it tags. A single snippet counts as no
     page: it leaves ``processed_snippets`` at 0, and its error is raised.
     """
-    store.init_tables()
-    snippets, tags = store.read_snippets(), store.read_tags()
+    before = store.init_tables()
+    snippets, tags = before.snippets, before.tags
     if snippet_id is not None:
         spark = store.spark
         ids = spark.createDataFrame([(snippet_id,)], "id string")
@@ -199,7 +200,7 @@ def tag_batch(
         ids = next_page(snippets, batch_size, start_from).select("id")
         snippets_of_run = snippets
     tagged = tag_snippets(
-        ids, snippets_of_run, content, tags, proposer, settings, store.high_water
+        ids, snippets_of_run, content, tags, proposer, settings, before.high_water
     )
     outcomes = materialize(tagged.outcomes, "outcomes")
     if snippet_id is not None:
@@ -208,12 +209,12 @@ def tag_batch(
             raise LookupError(error)
     top = tagged.new_tags.agg(F.max("tag_id")).first()[0]
     tables = apply_to_tables(
-        snippets, tags, store.read_snippet_tags(),
+        snippets, tags, before.snippet_tags,
         tagged.processed, tagged.assignments, stored_tags(tagged.new_tags),
         usage_increments(tagged.assignments),
     )
-    store.publish(tables, high_water=top)
-    stats = run_stats(outcomes, store.read_tags().count())
+    after_run = store.publish(tables, high_water=top)
+    stats = run_stats(outcomes, after_run.tags.count())
     cursor = None
     if snippet_id is not None:
         stats = stats.withColumn("processed_snippets", F.lit(0).cast("bigint"))

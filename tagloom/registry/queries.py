@@ -117,7 +117,7 @@ def _store(spark: SparkSession, name: str) -> TableStore:
 
 def _filled_store(spark: SparkSession, sf: str, name: str) -> TableStore:
     """Tables as they stand after the labelled snippets were tagged."""
-    store = _store(spark, name).init_tables()
+    store = _store(spark, name)
     base = v.base(spark, sf)
     store.publish(
         {
@@ -133,11 +133,12 @@ def _filled_store(spark: SparkSession, sf: str, name: str) -> TableStore:
 @query
 def init_schema(spark: SparkSession, sf: str) -> DataFrame:
     """Tables made twice and filled once: rows per table."""
-    store = _store(spark, "init").init_tables()
-    store.publish({"snippets": v.snippets(spark, sf)})
+    store = _store(spark, "init")
     store.init_tables()
+    store.publish({"snippets": v.snippets(spark, sf)})
+    tables = store.init_tables()
     counts = [
-        store.read(name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
+        tables.read(name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
         for name in TABLES
     ]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
@@ -146,7 +147,7 @@ def init_schema(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def publish_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Snippets published twice, the second time from what is being read."""
-    store = _store(spark, "publish").init_tables()
+    store = _store(spark, "publish")
     store.publish({"snippets": v.snippets(spark, sf)})
     empty = F.when(is_untagged(F.col("tags")), F.lit("[]")).otherwise(F.col("tags"))
     store.publish({"snippets": store.read_snippets().withColumn("tags", empty)})
@@ -370,20 +371,19 @@ def facet_prompt_texts(spark: SparkSession, sf: str) -> DataFrame:
     return prompts.withColumn("facet", big("facet"))
 
 
-def load_stub():
-    """A deterministic stand-in for a model: it fails on cut texts."""
-
-    def reply(prompts: list[str]) -> list[str]:
-        if any(p.endswith("...") for p in prompts):
-            raise ValueError("timeout while reading a long text")
-        return [f"{len(p)}\n{p[:5]}" for p in prompts]
+@query
+def model_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """A deterministic stand-in for a model, which fails on cut texts."""
 
-    return reply
+    def load():
+        def reply(prompts: list[str]) -> list[str]:
+            if any(p.endswith("...") for p in prompts):
+                raise ValueError("timeout while reading a long text")
+            return [f"{len(p)}\n{p[:5]}" for p in prompts]
 
+        return reply
 
-@query
-def model_hook(spark: SparkSession, sf: str) -> DataFrame:
-    answered = propose_with_model(facet_prompts(v.docs(spark, sf), v.FACETS), load_stub)
+    answered = propose_with_model(facet_prompts(v.docs(spark, sf), v.FACETS), load)
     return answered.withColumn("facet", big("facet"))
 
 
@@ -532,10 +532,10 @@ def replace_junction(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def tag_backlog(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: tag everything untagged from a lexicon, publish, list the tags."""
-    store = _store(spark, "backlog").init_tables()
+    store = _store(spark, "backlog")
     store.publish({"snippets": v.snippets(spark, sf)})
     proposer = lexicon_proposer(v.lexicon(spark, sf), v.FACET_NUMBERS)
-    tag_batch(store, v.docs(spark, sf), proposer, Settings(WORD), batch_size=None)
+    tag_batch(store, v.docs_by_id(spark, sf), proposer, Settings(WORD), batch_size=None)
     return reports.list_tags(store.read_tags()).select("id", "name", "usage_count")
 
 
@@ -740,7 +740,7 @@ def requeue_backlog(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_tagging(spark: SparkSession, sf: str) -> DataFrame:
     """Messages for all events tagged by the stream and folded into the tables."""
-    store = _store(spark, "stream").init_tables()
+    store = _store(spark, "stream")
     store.publish({"snippets": v.snippets(spark, sf), "tags": v.vocabulary(spark, sf)})
     queue = scratch_path(spark, "queue")
     v.messages(spark, sf).select(
@@ -748,12 +748,13 @@ def stream_tagging(spark: SparkSession, sf: str) -> DataFrame:
     ).write.parquet(queue)
     sink = scratch_path(spark, "results")
     start_tagging_stream(
-        read_messages(spark, queue), store, v.docs(spark, sf), terms_proposer(WORD),
+        read_messages(spark, queue), store, v.docs_by_id(spark, sf), terms_proposer(WORD),
         sink, scratch_path(spark, "marks"), Settings(WORD),
     ).awaitTermination()
     fold_stream(store, sink)
-    pairs = store.read_snippet_tags()
-    tags = store.read_tags().select(F.col("id").alias("tag_id"), "name")
+    tables = store.snapshot()
+    pairs = tables.snippet_tags
+    tags = tables.tags.select(F.col("id").alias("tag_id"), "name")
     return pairs.join(tags, "tag_id").select("snippet_id", "tag_id", "name")
 
 

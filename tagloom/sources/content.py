@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CONTENT_BUCKETS = 1024
+
 
 def read_content_files(spark: SparkSession, folder: str) -> DataFrame:
     """One UTF-8 object per snippet; the file name is the snippet id."""
@@ -17,6 +21,62 @@ def read_content_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class KeyedContent:
+    """Content laid out in folders by a hash of the id.
+
+    A page or micro-batch then reads the folders of its own ids and not the
+    whole store.
+    """
+
+    table: DataFrame
+    buckets: int
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        needed = [
+            row["bucket"]
+            for row in ids.select(bucket(F.col("id"), self.buckets)).distinct().collect()
+        ]  # at most ``buckets`` small numbers
+        table = self.table
+        if len(needed) < self.buckets:
+            table = table.where(F.col("bucket").isin(needed))
+        return table.select("id", "text")
+
+
+Content = DataFrame | KeyedContent
+
+
+def bucket(snippet_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(snippet_id), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def write_content(
+    content: DataFrame, path: str, buckets: int = CONTENT_BUCKETS, files_per_bucket: int = 1
+) -> None:
+    """Lay content out for ``KeyedContent``; more files per bucket for more data."""
+    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(files_per_bucket))
+    (
+        content.select("id", "text", bucket(F.col("id"), buckets))
+        .repartition("bucket", share)
+        .sortWithinPartitions("bucket", "id")
+        .write.partitionBy("bucket").parquet(path)
+    )
+
+
+def read_keyed_content(
+    spark: SparkSession, path: str, buckets: int = CONTENT_BUCKETS
+) -> KeyedContent:
+    schema = "id string, text string, bucket int"
+    return KeyedContent(spark.read.schema(schema).parquet(path), buckets)
+
+
+def content_of(content: Content, ids: DataFrame) -> DataFrame:
+    """``id, text`` in which the texts of ``ids`` can be found."""
+    if isinstance(content, KeyedContent):
+        return content.of(ids)
+    return content.select("id", "text")
+
+
 def with_content(snippets: DataFrame, content: DataFrame) -> DataFrame:
     return snippets.join(content.select("id", "text"), "id")
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.sources.schemas import TABLES
@@ -22,6 +23,40 @@ MANIFEST_SCHEMA = (
 )
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """All tables as of one publish.
+
+    ``high_water`` is the largest tag id ever given out; it survives deletes and
+    clears. ``folded`` is the newest batch of each stream sink that is included.
+    """
+
+    spark: SparkSession
+    base: str
+    version: int = 0
+    folders: Mapping[str, str] = field(default_factory=dict)
+    high_water: int = 0
+    folded: Mapping[str, int] = field(default_factory=dict)
+
+    def read(self, table: str) -> DataFrame:
+        if table not in self.folders:
+            raise LookupError(f"table {table} is not initialised below {self.base}")
+        path = f"{self.base}/{self.folders[table]}"
+        return self.spark.read.schema(TABLES[table]).parquet(path)
+
+    @property
+    def snippets(self) -> DataFrame:
+        return self.read("snippets")
+
+    @property
+    def tags(self) -> DataFrame:
+        return self.read("tags")
+
+    @property
+    def snippet_tags(self) -> DataFrame:
+        return self.read("snippet_tags")
+
+
 class TableStore:
     """Snippets, tags and their junction below one base folder."""
 
@@ -29,93 +64,72 @@ class TableStore:
         self.spark = spark
         self.base = base.rstrip("/")
 
-    # -- manifest ------------------------------------------------------------
-    def _manifest(self) -> tuple[int, dict[str, Row]]:
-        """Newest manifest: its version and one row per table (three rows)."""
+    def snapshot(self) -> Snapshot:
+        """The newest publish; every manifest has one row per table."""
+        schema = MANIFEST_SCHEMA + ", version bigint"
         try:
-            log = self.spark.read.schema(MANIFEST_SCHEMA + ", version bigint").json(
-                f"{self.base}/_manifest"
-            )
+            log = self.spark.read.schema(schema).json(f"{self.base}/_manifest")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return 0, {}
-        newest = log.select(F.max("version")).first()[0]
-        if newest is None:
-            return 0, {}
-        rows = log.where(F.col("version") == newest).limit(len(TABLES)).collect()
-        return newest, {row["table_name"]: row for row in rows}
-
-    def exists(self) -> bool:
-        return self._manifest()[0] > 0
-
-    @property
-    def high_water(self) -> int:
-        """Largest tag id ever given out; survives deletes and clears."""
-        _, rows = self._manifest()
-        return max((row["high_water"] for row in rows.values()), default=0)
-
-    def folded_batch(self, sink: str) -> int:
-        """Newest batch of a stream sink that is in the tables, -1 for none."""
-        return self._folded(self._manifest()[1]).get(sink, -1)
-
-    @staticmethod
-    def _folded(rows: Mapping[str, Row]) -> dict[str, int]:
-        return next((dict(row["folded"] or {}) for row in rows.values()), {})
-
-    # -- reads ---------------------------------------------------------------
-    def read(self, table: str) -> DataFrame:
-        _, rows = self._manifest()
-        if table not in rows:
-            raise LookupError(f"table {table} is not initialised below {self.base}")
-        folder = f"{self.base}/{rows[table]['folder']}"
-        return self.spark.read.schema(TABLES[table]).parquet(folder)
+            return Snapshot(self.spark, self.base)
+        rows = log.orderBy(F.desc("version")).limit(len(TABLES)).collect()
+        if not rows:
+            return Snapshot(self.spark, self.base)
+        return Snapshot(
+            self.spark,
+            self.base,
+            rows[0]["version"],
+            {row["table_name"]: row["folder"] for row in rows},
+            rows[0]["high_water"],
+            dict(rows[0]["folded"] or {}),
+        )
 
     def read_snippets(self) -> DataFrame:
-        return self.read("snippets")
+        return self.snapshot().snippets
 
     def read_tags(self) -> DataFrame:
-        return self.read("tags")
+        return self.snapshot().tags
 
     def read_snippet_tags(self) -> DataFrame:
-        return self.read("snippet_tags")
+        return self.snapshot().snippet_tags
 
-    # -- writes --------------------------------------------------------------
-    def init_tables(self) -> TableStore:
+    def init_tables(self) -> Snapshot:
         """Create empty tables where there are none; otherwise change nothing."""
-        if not self.exists():
-            self.publish({
-                name: self.spark.createDataFrame([], schema)
-                for name, schema in TABLES.items()
-            })
-        return self
+        current = self.snapshot()
+        return current if current.version else self.publish({})
 
     def publish(
         self,
         frames: Mapping[str, DataFrame],
         high_water: int | None = None,
         folded: Mapping[str, int] | None = None,
-    ) -> int:
-        """Write new versions of the given tables and switch to them at once."""
-        version, rows = self._manifest()
+    ) -> Snapshot:
+        """Write new versions of the given tables and switch to them at once.
+
+        Tables that were never written start out empty.
+        """
         unknown = set(frames) - set(TABLES)
         if unknown:
             raise ValueError(f"unknown tables: {sorted(unknown)}")
-        folders = {name: row["folder"] for name, row in rows.items()}
-        for name, frame in frames.items():
-            folder = f"{name}/{version + 1:08d}-{uuid.uuid4().hex}"
-            columns = [
-                F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]
-            ]
-            frame.select(*columns).write.parquet(f"{self.base}/{folder}")
-            folders[name] = folder
-        kept_mark = max((r["high_water"] for r in rows.values()), default=0)
-        mark = max(kept_mark, high_water or 0)
-        batches = {**self._folded(rows), **(folded or {})}
-        entries = [(name, folder, mark, batches) for name, folder in folders.items()]
+        old = self.snapshot()
+        version = old.version + 1
+        folders = dict(old.folders)
+        for name, schema in TABLES.items():
+            frame = frames.get(name)
+            if frame is None and name in folders:
+                continue
+            if frame is None:
+                frame = self.spark.createDataFrame([], schema)
+            folders[name] = f"{name}/{version:08d}-{uuid.uuid4().hex}"
+            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]
+            frame.select(*columns).write.parquet(f"{self.base}/{folders[name]}")
+        mark = max(old.high_water, high_water or 0)
+        batches = {**old.folded, **(folded or {})}
+        entries = [(name, folders[name], mark, batches) for name in TABLES]
         (
             self.spark.createDataFrame(entries, MANIFEST_SCHEMA)
             .coalesce(1)
-            .write.json(f"{self.base}/_manifest/version={version + 1}")
+            .write.json(f"{self.base}/_manifest/version={version}")
         )
-        return version + 1
+        return Snapshot(self.spark, self.base, version, folders, mark, batches)

@@ -25,7 +25,8 @@ from tagloom.plans.tagging import (
     tag_snippets,
 )
 from tagloom.session import materialize
-from tagloom.sources.tables import TableStore
+from tagloom.sources.content import Content
+from tagloom.sources.tables import Snapshot, TableStore
 from tagloom.streaming.routing import route
 
 KINDS = {
@@ -58,7 +59,7 @@ def _write(df: DataFrame, sink: str, kind: str, batch_id: int) -> None:
 def start_tagging_stream(
     messages: DataFrame,
     store: TableStore,
-    content: DataFrame,
+    content: Content,
     proposer: Proposer,
     sink: str,
     checkpoint: str,
@@ -87,7 +88,7 @@ def run_batch(
     batch: DataFrame,
     batch_id: int,
     store: TableStore,
-    content: DataFrame,
+    content: Content,
     proposer: Proposer,
     sink: str,
     settings: Settings,
@@ -100,17 +101,16 @@ def run_batch(
     wanted = materialize(
         batch.groupBy("snippet_id").agg(F.max("attempts").alias("attempts")), "wanted"
     )
-    before = _unfolded(store.spark, store, sink, "new_tags").where(
-        F.col("batch_id") < batch_id
-    )
+    tables = store.snapshot()
+    before = _unfolded(tables, sink, "new_tags").where(F.col("batch_id") < batch_id)
     grown = before.select(F.col("tag_id").alias("id"), "name")
     vocabulary = materialize(
-        store.read_tags().select("id", "name").unionByName(grown), "vocabulary"
+        tables.tags.select("id", "name").unionByName(grown), "vocabulary"
     )
     top = vocabulary.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     tagged = tag_snippets(
-        wanted.select(F.col("snippet_id").alias("id")), store.read_snippets(), content,
-        vocabulary, proposer, settings, max(top, store.high_water),
+        wanted.select(F.col("snippet_id").alias("id")), tables.snippets, content,
+        vocabulary, proposer, settings, max(top, tables.high_water),
     )
     outcomes = tagged.outcomes.select(
         F.col("id").alias("snippet_id"), "error", F.col("error").isNotNull().alias("failed")
@@ -121,11 +121,9 @@ def run_batch(
     _write(routed, sink, "outcomes", batch_id)
 
 
-def _unfolded(
-    spark: SparkSession, store: TableStore, sink: str, kind: str
-) -> DataFrame:
-    rows = read_results(spark, sink, kind)
-    return rows.where(F.col("batch_id") > store.folded_batch(sink))
+def _unfolded(tables: Snapshot, sink: str, kind: str) -> DataFrame:
+    rows = read_results(tables.spark, sink, kind)
+    return rows.where(F.col("batch_id") > tables.folded.get(sink, -1))
 
 
 def latest_assignments(
@@ -148,17 +146,17 @@ def fold_stream(store: TableStore, sink: str) -> bool:
     towards the usage counters, as each run does; lists and junction show the
     latest.
     """
-    spark = store.spark
-    outcomes = _unfolded(spark, store, sink, "outcomes")
+    before = store.snapshot()
+    outcomes = _unfolded(before, sink, "outcomes")
     newest = outcomes.agg(F.max("batch_id")).first()[0]
     if newest is None:
         return False
     finished = F.col("batch_id") <= newest
-    assignments = _unfolded(spark, store, sink, "assignments").where(finished)
-    new_tags = _unfolded(spark, store, sink, "new_tags").where(finished)
+    assignments = _unfolded(before, sink, "assignments").where(finished)
+    new_tags = _unfolded(before, sink, "new_tags").where(finished)
     processed, latest = latest_assignments(outcomes, assignments)
     tables = apply_to_tables(
-        store.read_snippets(), store.read_tags(), store.read_snippet_tags(),
+        before.snippets, before.tags, before.snippet_tags,
         processed, latest, stored_tags(new_tags), usage_increments(assignments),
     )
     top = new_tags.agg(F.max("tag_id")).first()[0]
