@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from tagloom.functions.text import SPACE, unicode_trim
 
-# Ids are read as doubles because JSON has one number type; a text id becomes
-# NULL and is dropped by validation.
-PLAN_SCHEMA = (
-    "struct<consolidations: array<struct<"
-    "primary_tag_id: double, primary_tag_name: string, "
-    "merge_tag_ids: array<double>, reason: string>>>"
+PLAN_GROUPS = (
+    "array<struct<primary_tag_id: bigint, primary_tag_name: string, "
+    "merge_tag_ids: array<bigint>, reason: string>>"
 )
 
 # --- fixed values: where the JSON of a reply is looked for --------------------
@@ -45,12 +42,39 @@ def scrub_json(text: Column) -> Column:
     return unicode_trim(text)
 
 
-def parse_plan(reply: Column) -> Column:
-    """Merge groups of a reply; an empty array for anything unreadable."""
-    parsed = F.from_json(scrub_json(extract_json(reply)), PLAN_SCHEMA)
-    groups = parsed["consolidations"]
-    return F.coalesce(groups, _no_groups())
+def _is_number(value: Column) -> Column:
+    return F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+
+
+def _whole_number(value: Column) -> Column:
+    """A JSON number without a fraction as a bigint, else NULL."""
+    number = F.when(_is_number(value), F.try_variant_get(value, "$", "double"))
+    return F.when(number == F.floor(number), number.cast("bigint"))
+
 
+def _group(entry: Column) -> Column:
+    merged = F.transform(
+        F.try_variant_get(entry, "$.merge_tag_ids", "array<variant>"), _whole_number
+    )
+    return F.struct(
+        _whole_number(F.try_variant_get(entry, "$.primary_tag_id", "variant"))
+        .alias("primary_tag_id"),
+        F.try_variant_get(entry, "$.primary_tag_name", "string").alias("primary_tag_name"),
+        F.filter(merged, lambda i: i.isNotNull()).alias("merge_tag_ids"),
+        F.try_variant_get(entry, "$.reason", "string").alias("reason"),
+    )
+
+
+def parse_plan(reply: Column) -> Column:
+    """Merge groups of a reply; an empty array for anything unreadable.
 
-def _no_groups() -> Column:
-    return F.from_json(F.lit('{"consolidations": []}'), PLAN_SCHEMA)["consolidations"]
+    A value of the wrong type spoils nothing but itself: a text among the merge
+    ids goes, a group with a text as its primary id has a NULL there. The object
+    is parsed inside brackets, so that text behind it makes it unreadable.
+    """
+    text = scrub_json(extract_json(reply))
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    entries = F.try_variant_get(parsed, "$[0].consolidations", "array<variant>")
+    only_one = F.try_variant_get(parsed, "$[1]", "variant").isNull()
+    groups = F.when(only_one, F.transform(entries, _group)).cast(PLAN_GROUPS)
+    return F.coalesce(groups, F.array().cast(PLAN_GROUPS))

@@ -3,7 +3,7 @@
 Taken one after the other in a fixed order, an item becomes a leader unless an
 earlier leader is its neighbour. The same set comes out of parallel rounds: in
 each, every item without an undecided earlier neighbour leads, and its later
-neighbours follow. A round is two joins over the edges that are still open.
+neighbours follow. A round is a few joins over the edges that are still open.
 """
 
 from __future__ import annotations
@@ -16,26 +16,36 @@ from pyspark.sql import functions as F
 from tagloom.session import materialize
 
 
+def _with_heads(edges: DataFrame) -> DataFrame:
+    """Edges with ``leads``: whether nothing undecided comes before ``earlier``."""
+    waiting = edges.select(F.col("later").alias("earlier"), F.lit(True).alias("waits"))
+    return edges.join(waiting.distinct(), "earlier", "left").select(
+        "earlier", "later", F.col("waits").isNull().alias("leads")
+    )
+
+
+def _lost(edges: DataFrame) -> DataFrame:
+    return edges.where("leads").select(F.col("later").alias("item")).distinct()
+
+
 def followers(edges: DataFrame) -> DataFrame:
     """``item`` for every item that does not lead.
 
     ``edges`` has ``earlier, later``, directed along the order. Items without
     edges need no rounds and are leaders. The number of rounds is at most the
-    longest chain of names that each depend on the one before.
+    longest chain of names that each depend on the one before; each round writes
+    the edges that are still open, which shrink quickly.
     """
-    still_open = materialize(edges.select("earlier", "later").distinct(), "edges")
-    decided = [still_open.select(F.col("later").alias("item")).limit(0)]
-    while not still_open.isEmpty():
-        waiting = still_open.select(F.col("later").alias("earlier")).distinct()
-        leading = still_open.join(waiting, "earlier", "left_anti")
-        lost = materialize(
-            leading.select(F.col("later").alias("item")).distinct(), "followers"
-        )
+    still_open = edges.select("earlier", "later").distinct()
+    decided: list[DataFrame] = []
+    while True:
+        still_open = materialize(_with_heads(still_open), "edges")
+        lost = _lost(still_open)
         decided.append(lost)
-        still_open = materialize(
-            still_open
+        if still_open.isEmpty():
+            return reduce(DataFrame.unionByName, decided)
+        still_open = (
+            still_open.select("earlier", "later")
             .join(lost.withColumnRenamed("item", "earlier"), "earlier", "left_anti")
-            .join(lost.withColumnRenamed("item", "later"), "later", "left_anti"),
-            "edges",
+            .join(lost.withColumnRenamed("item", "later"), "later", "left_anti")
         )
-    return reduce(DataFrame.unionByName, decided)

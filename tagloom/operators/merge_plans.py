@@ -57,14 +57,14 @@ def resolve_plan(groups: DataFrame, tags: DataFrame) -> DataFrame:
     )
     mentions = (
         groups
-        .join(primaries, F.col("primary_tag_id") == F.col("primary_id").cast("double"))
+        .join(primaries, F.col("primary_tag_id") == F.col("primary_id"))
         .select(
             "reply_no", "group_no", "primary_id", "primary_name", "primary_tag_name",
             "reason", F.posexplode("merge_tag_ids").alias("at", "named"),
         )
     )
     known = tags.select(F.col("id").alias("merge_id"))
-    return mentions.join(known, F.col("named") == F.col("merge_id").cast("double")).select(
+    return mentions.join(known, F.col("named") == F.col("merge_id")).select(
         "reply_no", "group_no", "primary_id", "primary_name", "primary_tag_name",
         "reason", (F.col("at") + 1).cast("bigint").alias("pos"), "merge_id",
     )

@@ -90,12 +90,10 @@ def grow_vocabulary(
     """New tags: ``tag_id, name, key, born_id, born_idx``.
 
     ``proposals`` is ``id, idx, name``; ``vocabulary`` is ``id, name``. Ids
-    continue behind ``high_water``, by default the largest existing id.
+    continue behind ``high_water``, by default the largest existing id. Both
+    inputs are read more than once and should be stored or materialized.
     """
-    known = materialize(
-        vocabulary.select(F.col("id").alias("tag_id"), F.lower("name").alias("key")),
-        "known",
-    )
+    known = vocabulary.select(F.col("id").alias("tag_id"), F.lower("name").alias("key"))
     n_known, top_id = known.agg(
         F.count("*"), F.coalesce(F.max("tag_id"), F.lit(0))
     ).first()
@@ -103,9 +101,7 @@ def grow_vocabulary(
     mark = top_id if high_water is None else high_water
     fresh = first_seen(proposals).join(known.select("key"), "key", "left_anti")
     if _similar(theta, max_length):
-        fresh = materialize(fresh, "fresh")
-        fresh = _unlike(fresh, known, theta, max_length)
-        fresh = materialize(fresh, "unlike")
+        fresh = materialize(_unlike(fresh, known, theta, max_length), "unlike")
         head_size = NAMES_PER_PLACE * room
         if fresh.count() > head_size:
             chosen = _with_head(fresh, head_size, room, theta, max_length)
@@ -172,7 +168,6 @@ def assign_tags(
         tags = tags.unionByName(
             new_tags.select("tag_id", "key", born.alias("born"))
         )
-    tags = materialize(tags, "tags-at-work")
     equal = tags.select(
         "key", F.array(F.struct(F.lit(-1.0).alias("rank"), "tag_id", "born")).alias("options")
     )

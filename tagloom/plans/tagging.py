@@ -112,7 +112,7 @@ def tag_snippets(
     failed = proposed.where(F.col("error").isNotNull()).select(
         "id", F.col("error").alias("message")
     )
-    errors = materialize(missing.unionByName(failed), "errors")
+    errors = missing.unionByName(failed).withColumnRenamed("message", "error")
     names = explode_names(proposed.where(F.col("error").isNull()))
     limits = (settings.theta, settings.max_tags, high_water, settings.profile.max_length)
     new_tags = grow_vocabulary(names, vocabulary, *limits)
@@ -120,20 +120,19 @@ def tag_snippets(
         assign_tags(names, vocabulary, new_tags, settings.theta, settings.profile.max_length),
         "assignments",
     )
-    processed = ids.join(errors.select("id"), "id", "left_anti")
     uses = assignments.groupBy("id").agg(
         F.count_if("is_new").alias("new_tags"),
         F.count_if(~F.col("is_new")).alias("existing_tags"),
     )
-    outcomes = (
-        ids.join(errors.withColumnRenamed("message", "error"), "id", "left")
-        .join(uses, "id", "left")
-        .select(
+    outcomes = materialize(
+        ids.join(errors, "id", "left").join(uses, "id", "left").select(
             "id", "error",
             F.coalesce("new_tags", F.lit(0)).alias("new_tags"),
             F.coalesce("existing_tags", F.lit(0)).alias("existing_tags"),
-        )
+        ),
+        "outcomes",
     )
+    processed = outcomes.where(F.col("error").isNull()).select("id")
     return Tagged(processed, assignments, new_tags, outcomes)
 
 
@@ -202,7 +201,7 @@ def tag_batch(
     tagged = tag_snippets(
         ids, snippets_of_run, content, tags, proposer, settings, before.high_water
     )
-    outcomes = materialize(tagged.outcomes, "outcomes")
+    outcomes = tagged.outcomes
     if snippet_id is not None:
         error = outcomes.select("error").first()["error"]
         if error is not None:

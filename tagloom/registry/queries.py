@@ -567,9 +567,9 @@ def scrub_json(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def parse_plan(spark: SparkSession, sf: str) -> DataFrame:
     return mp.plan_groups(_replies(spark, sf)).select(
-        "reply_no", "group_no", big("primary_tag_id").alias("primary_id"),
+        "reply_no", "group_no", F.col("primary_tag_id").alias("primary_id"),
         "primary_tag_name",
-        as_text(F.transform("merge_tag_ids", lambda i: i.cast("bigint"))).alias("merge_ids"),
+        as_text("merge_tag_ids").alias("merge_ids"),
         "reason",
     )
 

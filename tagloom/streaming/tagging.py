@@ -104,9 +104,7 @@ def run_batch(
     tables = store.snapshot()
     before = _unfolded(tables, sink, "new_tags").where(F.col("batch_id") < batch_id)
     grown = before.select(F.col("tag_id").alias("id"), "name")
-    vocabulary = materialize(
-        tables.tags.select("id", "name").unionByName(grown), "vocabulary"
-    )
+    vocabulary = tables.tags.select("id", "name").unionByName(grown)
     top = vocabulary.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     tagged = tag_snippets(
         wanted.select(F.col("snippet_id").alias("id")), tables.snippets, content,
