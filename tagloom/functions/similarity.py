@@ -35,17 +35,10 @@ def first_length_with_edits(edits: int, theta: float) -> int:
     return length
 
 
-def one_shorter(text: Column) -> Column:
-    """Every text made by removing one character."""
-    size = F.length(text)
-    return F.transform(
-        F.sequence(F.lit(1), size),
-        lambda i: F.concat(
-            F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, size)
-        ),
-    )
-
-
-def shorter_by(texts: Column) -> Column:
-    """One removal applied to each text of an array, without repeats."""
-    return F.array_distinct(F.flatten(F.transform(texts, one_shorter)))
+def shorter_by_one(texts: str) -> Column:
+    """Each text of an array column with one character removed, no repeats."""
+    return F.expr(f"""
+        array_distinct(flatten(transform({texts}, t ->
+            transform(sequence(1, length(t)), i ->
+                concat(substr(t, 1, i - 1), substr(t, i + 1))))))
+    """)

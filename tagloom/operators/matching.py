@@ -22,7 +22,7 @@ from tagloom.config import SIMILARITY_THRESHOLD
 from tagloom.functions.similarity import (
     allowed_edits,
     first_length_with_edits,
-    shorter_by,
+    shorter_by_one,
     similarity,
 )
 
@@ -45,7 +45,7 @@ def removal_keys(names: DataFrame, theta: float) -> DataFrame:
     levels = ["k0"]
     for removed in range(1, MOST_REMOVALS + 1):
         enough = size >= first_length_with_edits(removed, theta)
-        shorter = F.when(enough, shorter_by(F.col(levels[-1]))).otherwise(none)
+        shorter = F.when(enough, shorter_by_one(levels[-1])).otherwise(none)
         step = step.withColumn(f"k{removed}", shorter)
         levels.append(f"k{removed}")
     texts = F.array_distinct(F.concat(*levels))

@@ -38,7 +38,7 @@ from tagloom.operators.propose import (
 from tagloom.operators.reports import apply_usage, run_errors, run_stats, usage_increments
 from tagloom.operators.vocabulary import assign_tags, grow_vocabulary
 from tagloom.session import materialize
-from tagloom.sources.content import Content, content_of, missing_content, with_content
+from tagloom.sources.content import Content, content_of, missing_content
 from tagloom.sources.tables import TableStore
 
 # From documents (id, text) to proposals (id, names and optionally error).
@@ -103,8 +103,12 @@ def tag_snippets(
     """
     ids = materialize(ids.select("id").distinct(), "ids")
     stored = content_of(content, ids)
-    missing = missing_content(ids, snippets, stored).select("id", "message")
-    texts = with_content(snippets.join(ids, "id", "left_semi").select("id"), stored)
+    missing = materialize(
+        missing_content(ids, snippets, stored).select("id", "message"), "missing"
+    )
+    # the ids have a known size: few of them are broadcast to the content scan
+    found = ids.join(missing.select("id"), "id", "left_anti")
+    texts = stored.join(found, "id", "left_semi")
     proposed = proposer(texts)
     if "error" not in proposed.columns:
         proposed = proposed.withColumn("error", F.lit(None).cast("string"))

@@ -91,13 +91,16 @@ def missing_content(
 ) -> DataFrame:
     """Ids without metadata or without text: ``id, message, error``.
 
-    Both lookups are marks on one pass over the ids, so the id list is shuffled
-    once and not scanned again for each kind of miss.
+    Each big table is first cut down to the ids asked for. With few ids they are
+    broadcast and neither table is shuffled; with many, everything is exchanged
+    by id once and the second step finds it in place.
     """
-    known = snippets.select("id", F.lit(True).alias("has_row"))
-    texts = content.select("id", F.lit(True).alias("has_text"))
+    asked = ids.select("id").distinct()
+    known = snippets.select("id").join(asked, "id", "left_semi")
+    texts = content.select("id").join(asked, "id", "left_semi")
     marked = (
-        ids.select("id").distinct().join(known, "id", "left").join(texts, "id", "left")
+        asked.join(known.withColumn("has_row", F.lit(True)), "id", "left")
+        .join(texts.withColumn("has_text", F.lit(True)), "id", "left")
     )
     key = F.col("id")
     message = (

