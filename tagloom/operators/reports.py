@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.config import CONSUMER_BATCH, MAX_RETRIES, RETRY_DELAY_SECONDS
 from tagloom.functions.predicates import is_tagged
 from tagloom.sources.content import snippet_error
 
@@ -48,7 +49,10 @@ def status(snippets: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def queue_status(snippets: DataFrame, tags: DataFrame) -> DataFrame:
-    """Status with progress in percent and hints while work is pending."""
+    """Status with progress in percent, the consumer's settings, and hints.
+
+    Hints are given while work is pending.
+    """
     counts = status(snippets, tags)
     ratio = F.col("tagged_snippets") / F.col("total_snippets") * 100
     percent = F.when(F.col("total_snippets") > 0, F.round(ratio, 1)).otherwise(0.0)
@@ -64,6 +68,9 @@ def queue_status(snippets: DataFrame, tags: DataFrame) -> DataFrame:
         F.col("untagged_snippets").alias("pending_snippets"),
         F.when(waiting, "processing").otherwise("idle").alias("status"),
         F.when(waiting, F.array(*map(F.lit, HINTS))).otherwise(no_hints).alias("hints"),
+        F.lit(CONSUMER_BATCH).alias("consumer_batch"),
+        F.lit(MAX_RETRIES).alias("max_retries"),
+        F.lit(RETRY_DELAY_SECONDS).alias("retry_delay_seconds"),
     )
 
 
