@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from types import ModuleType
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +52,20 @@ def sha256_hex(text: Column) -> Column:
 def quoted(words) -> str:
     """SQL string literals, comma separated."""
     return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+
+
+def travels_with_tasks(module: str) -> None:
+    """Functions of the module go to Python workers by value.
+
+    So executors need the libraries it imports, but not this package.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def worker_cache(name: str) -> dict:
+    """A dict that lives as long as the worker process, whatever task asks."""
+    keeper = sys.modules.setdefault("_tagloom_worker", ModuleType("_tagloom_worker"))
+    return vars(keeper).setdefault(name, {})
+
+
+travels_with_tasks(__name__)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagloom.llm.common import table
+from tagloom.llm.bpe import decode_documents, encode_documents
+from tagloom.llm.common import sha256_hex, table
+from tagloom.llm.html_extract import extract_pages
 from tagloom.llm.license_scan import scan_licenses
 from tagloom.llm.quality_rules import judge_quality
+from tagloom.llm.toxicity import score_documents
 from tagloom.llm.url_filters import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +23,28 @@ def query(build):
     return build
 
 
+def word_bpe() -> str:
+    """Vocabulary file that every machine has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_html_extraction(spark, sf):
+    return extract_pages(table(spark, sf, "pages"))
+
+
+@query
+def op3_bpe_coding(spark, sf):
+    path = word_bpe()
+    encoded = encode_documents(table(spark, sf, "documents"), path)
+    return decode_documents(encoded, path).select(
+        "doc_id", "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 @query
 def op4_license_scan(spark, sf):
     return scan_licenses(table(spark, sf, "documents"))
@@ -32,6 +58,11 @@ def op6_quality_rules(spark, sf):
     )
 
 
+@query
+def op8_toxicity(spark, sf):
+    return score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op9_url_filters(spark, sf):
     return judge_urls(table(spark, sf, "pages")).select(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import ascii_lower, whole
 
 ALLOW, BLOCK = "allow", "block"
-TOKEN = r"[0-9a-z\u0080-￿]+"
+TOKEN = "[0-9a-z\u0080-\U0010ffff]+"
 TOKEN_SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
