@@ -18,6 +18,24 @@ def _rules(rules) -> str:
 
 BLANK = r"[\x20\x09-\x0D]"
 
+OP5 = r"""
+WITH lines AS (
+  SELECT doc_id, i, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+), owners AS (
+  SELECT k, min(doc_id) AS owner FROM lines WHERE length(k) >= 10
+  GROUP BY k HAVING count(DISTINCT doc_id) > 1
+)
+SELECT doc_id, count(*) AS n_lines,
+       count(*) FILTER (owner IS NOT NULL AND owner <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i)
+              FILTER (owner IS NULL OR owner = doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN owners USING (k) GROUP BY doc_id
+"""
+
 OP6 = rf"""
 WITH words AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -75,4 +93,4 @@ SELECT t.page_id, t.host, t.path, base.rule, coalesce(base.action, pat.action, '
 FROM t LEFT JOIN base USING (page_id) LEFT JOIN pat USING (page_id)
 """
 
-ORACLE = {"op6_quality_rules": OP6, "op9_url_filters": OP9}
+ORACLE = {"op5_line_dedup": OP5, "op6_quality_rules": OP6, "op9_url_filters": OP9}

@@ -11,6 +11,7 @@ from tagloom.llm.bpe import decode_documents, encode_documents
 from tagloom.llm.common import sha256_hex, table
 from tagloom.llm.html_extract import extract_pages
 from tagloom.llm.license_scan import scan_licenses
+from tagloom.llm.line_dedup import dedup_lines
 from tagloom.llm.quality_rules import judge_quality
 from tagloom.llm.toxicity import score_documents
 from tagloom.llm.url_filters import judge_urls
@@ -50,6 +51,13 @@ def op4_license_scan(spark, sf):
     return scan_licenses(table(spark, sf, "documents"))
 
 
+@query
+def op5_line_dedup(spark, sf):
+    return dedup_lines(table(spark, sf, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", sha256_hex(F.col("text")).alias("kept_sha256")
+    )
+
+
 @query
 def op6_quality_rules(spark, sf):
     return judge_quality(table(spark, sf, "documents")).select(
