@@ -12,6 +12,7 @@ from tagloom.llm.common import sha256_hex, table
 from tagloom.llm.html_extract import extract_pages
 from tagloom.llm.license_scan import scan_licenses
 from tagloom.llm.line_dedup import dedup_lines
+from tagloom.llm.ngram_join import similar_components
 from tagloom.llm.quality_rules import judge_quality
 from tagloom.llm.toxicity import score_documents
 from tagloom.llm.url_filters import judge_urls
@@ -66,6 +67,11 @@ def op6_quality_rules(spark, sf):
     )
 
 
+@query
+def op7_ngram_jaccard_join(spark, sf):
+    return similar_components(table(spark, sf, "documents"), size=3, percent=90)
+
+
 @query
 def op8_toxicity(spark, sf):
     return score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
