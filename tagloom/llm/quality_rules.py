@@ -114,17 +114,19 @@ def default_rules() -> list[Rule]:
 
 
 def cascade_order(
-    counted: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS
+    docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS,
+    id_col: str = "doc_id", text: str = "text",
 ) -> list[Rule]:
     """Rules by rejections per second on about ``sample_rows`` rows.
 
-    With no rows to sample the given order stays.
+    Only the sampled texts are counted. With no rows to sample the given order
+    stays.
     """
-    total = counted.count()
+    total = docs.count()
     if not total or len(rules) < 2:
         return list(rules)
     sample = materialize(
-        counted.sample(min(1.0, sample_rows / total), 7), "rule-sample"
+        with_counters(docs.sample(min(1.0, sample_rows / total), 7), id_col, text), "rule-sample"
     )
     measured = []
     for place, rule in enumerate(rules):
@@ -157,7 +159,7 @@ def judge_quality(
     """
     rules = default_rules() if rules is None else list(rules)
     counted = with_counters(docs, id_col, text)
-    ordered = cascade_order(counted, rules, sample_rows)
+    ordered = cascade_order(docs, rules, sample_rows, id_col, text)
     return (
         counted.withColumn("base_failed", base_failed())
         .withColumn("kept", ~F.col("base_failed") & first_rejection(ordered).isNull())
