@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.bpe import decode_documents, encode_documents
 from tagloom.llm.common import sha256_hex, table
+from tagloom.llm.fingerprints import fingerprint_edits
 from tagloom.llm.html_extract import extract_pages
 from tagloom.llm.license_scan import scan_licenses
 from tagloom.llm.line_dedup import dedup_lines
@@ -32,6 +33,11 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_document_fingerprints(spark, sf):
+    return fingerprint_edits(table(spark, sf, "documents"))
+
+
 @query
 def op2_html_extraction(spark, sf):
     return extract_pages(table(spark, sf, "pages"))
