@@ -13,6 +13,7 @@ from tagloom.llm.fingerprints import fingerprint_edits
 from tagloom.llm.html_extract import extract_pages
 from tagloom.llm.license_scan import scan_licenses
 from tagloom.llm.line_dedup import dedup_lines
+from tagloom.llm.mixing import mix_documents
 from tagloom.llm.ngram_join import similar_components
 from tagloom.llm.quality_rules import judge_quality
 from tagloom.llm.toxicity import score_documents
@@ -88,3 +89,32 @@ def op9_url_filters(spark, sf):
     return judge_urls(table(spark, sf, "pages")).select(
         "page_id", "host", "path", "rule", "verdict"
     )
+
+
+# Domains of the labelled table, the shares of tokens that they should have, and
+# the wanted total over the present one.
+DOMAINS = ("good", "poor")
+WEIGHTS = (0.88, 0.12)
+GROWTH = 1.2
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """``doc_id`` and the number of its domain, by quality; others are left out."""
+    domain = F.when(F.col("quality") == 1, 0).when(F.col("quality") == 0, 1)
+    return labels.select("doc_id", domain.alias("domain")).where(F.col("domain").isNotNull())
+
+
+@query
+def op10_source_mixing(spark, sf):
+    mixed = mix_documents(
+        table(spark, sf, "documents"), domains(table(spark, sf, "labels")), WEIGHTS, GROWTH
+    )
+    shares = (F.col("posterior")[k].alias(f"p_{name}") for k, name in enumerate(DOMAINS))
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
+@query
+def pipeline(spark, sf):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
