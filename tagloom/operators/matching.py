@@ -15,6 +15,8 @@ together they cover every length.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,11 @@ MOST_REMOVALS = 3
 
 
 def exact_match(proposals: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Proposals whose lower-cased name is a tag: adds ``tag_id``."""
-    tags = vocabulary.select(
-        F.lower("name").alias("_key"), F.col("id").alias("tag_id")
-    )
+    """Proposals whose lower-cased name is a tag: adds ``tag_id``.
+
+    Of tags that differ in case only, the lowest id stands for all.
+    """
+    tags = vocabulary.groupBy(F.lower("name").alias("_key")).agg(F.min("id").alias("tag_id"))
     return proposals.join(tags, F.lower(proposals["name"]) == F.col("_key")).drop("_key")
 
 
@@ -120,22 +123,30 @@ def _meet(left: DataFrame, right: DataFrame, theta: float, once: bool) -> DataFr
     return l.join(r, met).select("left_name", "right_name")
 
 
+def longest_name(*names: DataFrame) -> int:
+    """Length of the longest ``name`` of all inputs, 0 if there is none."""
+    sizes = [df.select(F.length("name").alias("size")) for df in names]
+    found = reduce(DataFrame.unionByName, sizes).agg(F.max("size")).first()[0]
+    return found or 0
+
+
 def fuzzy_pairs(
     left: DataFrame,
     right: DataFrame,
     theta: float = SIMILARITY_THRESHOLD,
-    max_length: int | None = None,
     once: bool = False,
 ) -> DataFrame:
     """All pairs of distinct names with similarity of at least ``theta``.
 
-    Both inputs have a column ``name``; compare lower-cased names. ``max_length``
-    states that no name is longer, which leaves out the plan for long names.
-    With ``once`` the inputs are the same names and every pair comes once.
+    Both inputs have a column ``name``; compare lower-cased names. They are read
+    more than once and should be stored or materialized. The longest name there is
+    decides which of the plans are needed. With ``once`` the inputs are the same
+    names and every pair comes once.
     """
+    longest = longest_name(left, right)
     long_from = first_length_with_edits(MOST_REMOVALS + 1, theta)
     l, r = left.select("name"), right.select("name")
-    if max_length is not None and allowed_edits(max_length, theta) == 0:
+    if allowed_edits(longest, theta) == 0:
         keyed = [F.xxhash64("name").alias("key")]
         found = _meet(l.select("name", *keyed), r.select("name", *keyed), theta, once)
     else:
@@ -144,7 +155,7 @@ def fuzzy_pairs(
             removal_keys(l.where(short), theta), removal_keys(r.where(short), theta),
             theta, once,
         )
-        if max_length is None or max_length >= long_from:
+        if longest >= long_from:
             longer_left = _meet(
                 _pieces(l, theta, long_from), _windows(r, theta, long_from), theta, False
             )

@@ -122,32 +122,37 @@ def merge_mapping(resolved: DataFrame) -> DataFrame:
 def renames(mapping: DataFrame, tags: DataFrame, profile: Profile) -> DataFrame:
     """Suggested names of merging groups with ``verdict`` ``rename`` or why not.
 
-    A name has to be valid once cleaned and must not belong to any tag or to an
-    earlier rename, since names are unique.
+    A name has to be valid once cleaned and must not belong to any other tag or to
+    an earlier rename, since names are unique whatever their case.
     """
     asked = (
         mapping.where(F.col("suggested_name").isNotNull())
         .select("reply_no", "group_no", "primary_id", "primary_name", "suggested_name")
         .distinct()
         .withColumn("new_name", clean_tag(F.col("suggested_name"), profile))
+        .withColumn("key", F.lower("new_name"))
     )
     fits = valid_tag(F.col("new_name"), profile) & (
         F.length("new_name") <= profile.max_length
     )
-    holders = tags.select(F.col("name").alias("new_name"), F.col("id").alias("holder"))
+    holders = tags.groupBy(F.lower("name").alias("key")).agg(
+        F.collect_set(F.struct("id", "name")).alias("holders")
+    )
+    own = F.filter("holders", lambda h: h["id"] == F.col("primary_id"))
+    others = F.filter("holders", lambda h: h["id"] != F.col("primary_id"))
     first = (
-        asked.groupBy("new_name")
+        asked.groupBy("key")
         .agg(F.min(F.struct("reply_no", "group_no")).alias("first_asked"))
     )
     verdict = (
         F.when(~fits, "invalid name")
-        .when(F.col("holder") == F.col("primary_id"), "unchanged")
-        .when(F.col("holder").isNotNull(), "name in use")
+        .when(F.exists(own, lambda h: h["name"] == F.col("new_name")), "unchanged")
+        .when(F.size(others) > 0, "name in use")
         .when(F.col("first_asked") != F.struct("reply_no", "group_no"), "name in use")
         .otherwise("rename")
     )
     return (
-        asked.join(holders, "new_name", "left").join(first, "new_name")
+        asked.join(holders, "key", "left").join(first, "key")
         .withColumn("verdict", verdict)
         .select(
             "reply_no", "group_no", "primary_id", "primary_name",
@@ -158,17 +163,24 @@ def renames(mapping: DataFrame, tags: DataFrame, profile: Profile) -> DataFrame:
 
 # -- planners that need no model ------------------------------------------------
 def edit_pairs(
-    tags: DataFrame, phi: float = SIMILARITY_THRESHOLD, max_length: int | None = None
+    tags: DataFrame, phi: float = SIMILARITY_THRESHOLD
 ) -> DataFrame:
-    """``a, b, similarity`` for tags with similar names."""
+    """``a, b, similarity`` for tags with similar names.
+
+    Tags that differ in case only are pairs too, each with the lowest id.
+    """
     keyed = tags.select(F.col("id"), F.lower("name").alias("key"))
     names = keyed.select(F.col("key").alias("name")).distinct()
-    pairs = fuzzy_pairs(names, names, phi, max_length, once=True)
+    pairs = fuzzy_pairs(names, names, phi, once=True)
+    lowest = keyed.groupBy("key").agg(F.min("id").alias("a"))
+    variants = keyed.join(lowest, "key").where(F.col("id") != F.col("a")).select(
+        "a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")
+    )
     left = keyed.select(F.col("id").alias("a"), F.col("key").alias("left_name"))
     right = keyed.select(F.col("id").alias("b"), F.col("key").alias("right_name"))
     return pairs.join(left, "left_name").join(right, "right_name").select(
         "a", "b", "similarity"
-    )
+    ).unionByName(variants)
 
 
 def jaccard_pairs(pairs: DataFrame, phi: float) -> DataFrame:
@@ -299,14 +311,13 @@ def plan_by_similarity(
     phi: float,
     pairs: DataFrame | None = None,
     vectors: DataFrame | None = None,
-    max_length: int | None = None,
 ) -> DataFrame:
     """Merge groups from name (``edit``), vector (``cosine``) or use (``jaccard``).
 
     ``pairs`` is the junction table, ``vectors`` has ``id, vector`` per tag.
     """
     if how == "edit":
-        return star_groups(tags, edit_pairs(tags, phi, max_length), "similar names")
+        return star_groups(tags, edit_pairs(tags, phi), "similar names")
     if how == "cosine":
         return star_groups(tags, cosine_pairs(vectors, phi), "similar vectors")
     if how == "jaccard":

@@ -16,11 +16,6 @@ from tagloom.functions.text import (
     truncate_text,
     words,
 )
-from tagloom.session import within
-
-# Lexicons up to this many rows (of short terms) are broadcast; larger ones meet
-# pre-aggregated word counts in an ordinary join.
-BROADCAST_TERMS = 200_000
 
 Reply = Callable[[list[str]], list[str]]
 
@@ -93,11 +88,12 @@ def propose_with_model(
 def proposals_from_replies(
     replies: DataFrame, facet_numbers: Iterable[int], profile: Profile
 ) -> DataFrame:
-    """``id, names, error`` from ``id, facet, reply, error``.
+    """``id, names, error, failed`` from ``id, facet, reply, error``.
 
-    Facets are combined in the given order. The first error of a snippet, by
-    facet, is kept and the snippet then has no names. A snippet has one row per
-    facet, so the lists here are as short as the facet list.
+    Facets are combined in the given order; one that failed adds no names. The
+    first error of a snippet, by facet, is kept; ``failed`` says that no facet
+    answered. A snippet has one row per facet, so the lists here are as short as
+    the facet list.
     """
     passes = replies.select(
         "id", "error",
@@ -105,14 +101,12 @@ def proposals_from_replies(
         F.when(F.col("error").isNotNull(), F.struct("facet", "error")).alias("failure"),
     )
     per_snippet = passes.groupBy("id").agg(
-        F.collect_list("part").alias("parts"), F.min("failure").alias("failure")
+        F.collect_list("part").alias("parts"), F.min("failure").alias("failure"),
+        F.bool_and(F.col("failure").isNotNull()).alias("failed"),
     )
     names = combine_passes(*[_pass_tags("parts", n) for n in facet_numbers])
-    error = F.col("failure.error")
     return per_snippet.select(
-        "id",
-        F.when(error.isNull(), names).otherwise(_no_names()).alias("names"),
-        error.alias("error"),
+        "id", names.alias("names"), F.col("failure.error").alias("error"), "failed"
     )
 
 
@@ -126,19 +120,40 @@ def _pass_tags(parts: str, number: int) -> Column:
     return tags
 
 
+def term_counts(terms: Column) -> Column:
+    """``array<struct<rank, term>>``: distinct terms by descending count, then term.
+
+    Works inside the row: equal terms are neighbours once sorted, and the distances
+    between the places where a new term starts are the counts. ``rank`` is the
+    negative count.
+    """
+    ordered = F.array_sort(terms)
+    n = F.size(ordered)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(
+        places,
+        lambda i: (i == 0) | (F.get(ordered, i) != F.coalesce(F.get(ordered, i - 1), F.lit(""))),
+    )
+    return F.sort_array(F.transform(starts, lambda s, j: F.struct(
+        (s - F.coalesce(F.get(starts, j + 1), n)).cast("bigint").alias("rank"),
+        F.get(ordered, s).alias("term"),
+    )))
+
+
 def lexicon_counts(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``id, facet, term, hits`` over the whole text of every document.
 
-    ``lexicon`` is ``term, facet``. A small lexicon filters the words before they
-    are counted, so only hits are shuffled. A large one meets words that were
-    already counted per document, which takes the weight off frequent words.
+    ``lexicon`` is ``term, facet``; repeated rows count once. Each document's words
+    are counted inside its row, so texts are never exchanged and a common word
+    brings a row per document, not per occurrence. Spark broadcasts the lexicon if
+    it is small and splits skewed terms otherwise.
     """
-    found = documents.select("id", F.explode(words(F.col("text"))).alias("term"))
-    if within(lexicon, BROADCAST_TERMS):
-        hits = found.join(F.broadcast(lexicon), "term")
-        return hits.groupBy("id", "facet", "term").agg(F.count("*").alias("hits"))
-    counted = found.groupBy("id", "term").agg(F.count("*").alias("hits"))
-    return counted.join(lexicon, "term").select("id", "facet", "term", "hits")
+    counted = documents.select(
+        "id", F.explode(term_counts(words(F.col("text")))).alias("t")
+    ).select("id", "t.term", (-F.col("t.rank")).alias("hits"))
+    return counted.join(lexicon.select("term", "facet").distinct(), "term").select(
+        "id", "facet", "term", "hits"
+    )
 
 
 def propose_with_lexicon(
@@ -171,16 +186,15 @@ def propose_with_lexicon(
 def top_terms(
     documents: DataFrame, profile: Profile, n: int = LINES_PER_REPLY
 ) -> DataFrame:
-    """``id, names``: the ``n`` most frequent valid words, ties by word."""
-    found = documents.select("id", F.explode(words(F.col("text"))).alias("term"))
-    counted = (
-        found.where(F.col("term").rlike(profile.valid))
-        .groupBy("id", "term").agg(F.count("*").alias("hits"))
-    )
-    entry = F.struct((-F.col("hits")).alias("rank"), "term")
-    ranked = counted.groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
+    """``id, names``: the ``n`` most frequent valid words, ties by word.
+
+    A document is one row and is worked on alone. Documents without a valid word
+    have no row.
+    """
+    valid = F.filter(words(F.col("text")), lambda w: w.rlike(profile.valid))
+    ranked = documents.select("id", term_counts(valid).alias("ranked"))
     names = F.transform(F.slice("ranked", 1, n), lambda e: e["term"])
-    return ranked.select("id", names.alias("names"))
+    return ranked.where(F.size("ranked") > 0).select("id", names.alias("names"))
 
 
 def explode_names(proposals: DataFrame) -> DataFrame:

@@ -9,15 +9,6 @@ from tagloom.config import CONSUMER_BATCH, MAX_RETRIES, RETRY_DELAY_SECONDS
 from tagloom.functions.predicates import is_tagged
 from tagloom.sources.content import snippet_error
 
-# --- fixed values: hints shown while snippets are waiting ---------------------
-HINTS = (
-    "Run retry to queue the remaining snippets again",
-    "Check the dead letters for failed messages",
-    "Verify that the stream is processing messages",
-)
-# ----------------------------------------------------------------------------
-
-
 def _counts(snippets: DataFrame, tags: DataFrame) -> DataFrame:
     """Totals of both tables in one row, each table read once."""
     of_snippets = snippets.select("tags").agg(
@@ -51,13 +42,20 @@ def status(snippets: DataFrame, tags: DataFrame) -> DataFrame:
 def queue_status(snippets: DataFrame, tags: DataFrame) -> DataFrame:
     """Status with progress in percent, the consumer's settings, and hints.
 
-    Hints are given while work is pending.
+    The hints name the backlog to enqueue and, as long as there is no tag at all,
+    the vocabulary that has yet to grow.
     """
     counts = status(snippets, tags)
     ratio = F.col("tagged_snippets") / F.col("total_snippets") * 100
     percent = F.when(F.col("total_snippets") > 0, F.round(ratio, 1)).otherwise(0.0)
     waiting = F.col("untagged_snippets") > 0
-    no_hints = F.array().cast("array<string>")
+    hints = F.filter(F.array(
+        F.when(waiting, F.concat(
+            F.lit("backlog() has "), F.col("untagged_snippets").cast("string"),
+            F.lit(" snippets to enqueue"),
+        )),
+        F.when(F.col("total_tags") == 0, F.lit("no tag yet: the first batch makes them")),
+    ), lambda h: h.isNotNull())
     return counts.select(
         "total_snippets",
         "total_tags",
@@ -67,7 +65,7 @@ def queue_status(snippets: DataFrame, tags: DataFrame) -> DataFrame:
         F.concat(percent.cast("string"), F.lit("%")).alias("progress"),
         F.col("untagged_snippets").alias("pending_snippets"),
         F.when(waiting, "processing").otherwise("idle").alias("status"),
-        F.when(waiting, F.array(*map(F.lit, HINTS))).otherwise(no_hints).alias("hints"),
+        hints.alias("hints"),
         F.lit(CONSUMER_BATCH).alias("consumer_batch"),
         F.lit(MAX_RETRIES).alias("max_retries"),
         F.lit(RETRY_DELAY_SECONDS).alias("retry_delay_seconds"),

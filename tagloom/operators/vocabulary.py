@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tagloom.config import MAX_TAGS, SIMILARITY_THRESHOLD
 from tagloom.functions.similarity import allowed_edits
 from tagloom.operators.leaders import followers
-from tagloom.operators.matching import fuzzy_pairs
+from tagloom.operators.matching import fuzzy_pairs, longest_name
 from tagloom.session import materialize
 
 # Names looked at first, per free place in the vocabulary. Only speed depends on
@@ -36,27 +36,26 @@ def first_seen(proposals: DataFrame) -> DataFrame:
     )
 
 
-def _similar(theta: float, max_length: int | None) -> bool:
-    """Whether names under this profile can be similar without being equal."""
-    return max_length is None or allowed_edits(max_length, theta) > 0
+def _similar(theta: float, *names: DataFrame) -> bool:
+    """Whether names of these lengths can be similar without being equal."""
+    keys = (df.select(F.col("key").alias("name")) for df in names)
+    return allowed_edits(longest_name(*keys), theta) > 0
 
 
-def _unlike(names, known, theta, max_length):
+def _unlike(names, known, theta):
     """Names that resemble none of the known keys."""
     left = names.select(F.col("key").alias("name"))
     right = known.select(F.col("key").alias("name"))
-    taken = fuzzy_pairs(left, right, theta, max_length).select(
+    taken = fuzzy_pairs(left, right, theta).select(
         F.col("left_name").alias("key")
     )
     return names.join(taken.distinct(), "key", "left_anti")
 
 
-def _leaders(names, theta, max_length):
+def _leaders(names, theta):
     """First-come leaders among materialized ``key, first`` rows."""
-    if not _similar(theta, max_length):
-        return names
     keys = names.select(F.col("key").alias("name"))
-    pairs = fuzzy_pairs(keys, keys, theta, max_length, once=True)
+    pairs = fuzzy_pairs(keys, keys, theta, once=True)
     left = names.select(F.col("key").alias("left_name"), F.col("first").alias("a"))
     right = names.select(F.col("key").alias("right_name"), F.col("first").alias("b"))
     ordered = pairs.join(left, "left_name").join(right, "right_name")
@@ -85,7 +84,6 @@ def grow_vocabulary(
     theta: float = SIMILARITY_THRESHOLD,
     max_tags: int = MAX_TAGS,
     high_water: int | None = None,
-    max_length: int | None = None,
 ) -> DataFrame:
     """New tags: ``tag_id, name, key, born_id, born_idx``.
 
@@ -93,20 +91,20 @@ def grow_vocabulary(
     continue behind ``high_water``, by default the largest existing id. Both
     inputs are read more than once and should be stored or materialized.
     """
-    known = vocabulary.select(F.col("id").alias("tag_id"), F.lower("name").alias("key"))
-    n_known, top_id = known.agg(
-        F.count("*"), F.coalesce(F.max("tag_id"), F.lit(0))
+    n_known, top_id = vocabulary.agg(
+        F.count("*"), F.coalesce(F.max("id"), F.lit(0))
     ).first()
+    known = vocabulary.select(F.lower("name").alias("key")).distinct()
     room = max(0, max_tags - n_known)
     mark = top_id if high_water is None else high_water
-    fresh = first_seen(proposals).join(known.select("key"), "key", "left_anti")
-    if _similar(theta, max_length):
-        fresh = materialize(_unlike(fresh, known, theta, max_length), "unlike")
+    fresh = materialize(first_seen(proposals).join(known, "key", "left_anti"), "fresh")
+    if room and _similar(theta, fresh, known):
+        fresh = materialize(_unlike(fresh, known, theta), "unlike")
         head_size = NAMES_PER_PLACE * room
         if fresh.count() > head_size:
-            chosen = _with_head(fresh, head_size, room, theta, max_length)
+            chosen = _with_head(fresh, head_size, room, theta)
         else:
-            chosen = _leaders(fresh, theta, max_length)
+            chosen = _leaders(fresh, theta)
     else:
         chosen = fresh
     kept = chosen.orderBy("first").limit(room)
@@ -120,14 +118,14 @@ def grow_vocabulary(
     return materialize(grown, "new-tags")
 
 
-def _with_head(fresh, head_size, room, theta, max_length):
+def _with_head(fresh, head_size, room, theta):
     """Leaders found in the first names alone, and in the rest only if needed.
 
     Whether a name leads depends on earlier names only, so once the first names
     fill the room the rest cannot add anything.
     """
     head = materialize(fresh.orderBy("first").limit(head_size), "head")
-    leaders = materialize(_leaders(head, theta, max_length), "leaders")
+    leaders = materialize(_leaders(head, theta), "leaders")
     if leaders.count() >= room:
         return leaders
     last = head.agg(F.max("first").alias("last")).first()["last"]
@@ -137,8 +135,8 @@ def _with_head(fresh, head_size, room, theta, max_length):
         F.lit(last["name"]).alias("name"),
     )
     rest = fresh.where(F.col("first") > end_of_head)
-    rest = materialize(_unlike(rest, leaders, theta, max_length), "rest")
-    return leaders.unionByName(_leaders(rest, theta, max_length))
+    rest = materialize(_unlike(rest, leaders, theta), "rest")
+    return leaders.unionByName(_leaders(rest, theta))
 
 
 def assign_tags(
@@ -146,7 +144,6 @@ def assign_tags(
     vocabulary: DataFrame,
     new_tags: DataFrame | None = None,
     theta: float = SIMILARITY_THRESHOLD,
-    max_length: int | None = None,
 ) -> DataFrame:
     """``id, idx, name, tag_id, similarity, is_new`` per matched proposal.
 
@@ -154,13 +151,12 @@ def assign_tags(
     ``vocabulary`` and those of ``new_tags`` born there or earlier. Ties go to
     the lowest id. ``is_new`` marks the occurrence that created its tag. A name
     that equals a tag always gets it, since a tag is born where its name first
-    occurs; similarity is only worked out for the other names.
+    occurs; similarity is only worked out for the other names. Of tags that differ
+    in case only, the lowest id stands for all.
     """
-    tags = vocabulary.select(
-        F.col("id").alias("tag_id"),
-        F.lower("name").alias("key"),
-        F.lit(None).cast("struct<id: string, idx: int>").alias("born"),
-    )
+    tags = vocabulary.groupBy(F.lower("name").alias("key")).agg(
+        F.min("id").alias("tag_id")
+    ).select("tag_id", "key", F.lit(None).cast("struct<id: string, idx: int>").alias("born"))
     if new_tags is not None:
         born = F.struct(
             F.col("born_id").alias("id"), F.col("born_idx").cast("int").alias("idx")
@@ -172,14 +168,13 @@ def assign_tags(
         "key", F.array(F.struct(F.lit(-1.0).alias("rank"), "tag_id", "born")).alias("options")
     )
     options = equal
-    if _similar(theta, max_length):
-        names = proposals.select(F.lower("name").alias("key")).distinct()
-        open_names = names.join(tags.select("key"), "key", "left_anti")
+    names = proposals.select(F.lower("name").alias("key")).distinct()
+    open_names = materialize(names.join(tags.select("key"), "key", "left_anti"), "open-names")
+    if _similar(theta, open_names, tags):
         pairs = fuzzy_pairs(
             open_names.select(F.col("key").alias("name")),
             tags.select(F.col("key").alias("name")),
             theta,
-            max_length,
         )
         scored = pairs.join(tags, pairs["right_name"] == tags["key"]).select(
             F.col("left_name").alias("key"),

@@ -55,6 +55,7 @@ def consolidate(
         ops.consolidation_report(mapping, pairs, snippets), "consolidation"
     )
     if not dry_run and not mapping.isEmpty():
+        store.note_merges(mapping)
         store.publish({
             "snippets": ops.rewrite_arrays(snippets, pairs, mapping),
             "tags": ops.rename_tags(ops.rollup_usage(tags, mapping), named),
@@ -67,7 +68,8 @@ def consolidate(
 def clear_tags(store: TableStore, confirm: bool = False) -> DataFrame:
     """Remove all tags from everything and say what was there.
 
-    Ids of removed tags are not given out again.
+    Ids of removed tags are not given out again. Results that a stream found before
+    are void and will not be folded in.
     """
     if not confirm:
         raise ValueError("clearing all tags needs confirm=True")
@@ -78,7 +80,7 @@ def clear_tags(store: TableStore, confirm: bool = False) -> DataFrame:
         "snippets": cleared(snippets),
         "tags": tags.limit(0),
         "snippet_tags": before.snippet_tags.limit(0),
-    })
+    }, clear=True)
     return removed
 
 

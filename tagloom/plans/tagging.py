@@ -41,7 +41,8 @@ from tagloom.session import materialize
 from tagloom.sources.content import Content, content_of, missing_content
 from tagloom.sources.tables import TableStore
 
-# From documents (id, text) to proposals (id, names and optionally error).
+# From documents (id, text) to proposals: id, names and optionally error and failed
+# (no names at all; without it every error counts as that).
 Proposer = Callable[[DataFrame], DataFrame]
 
 
@@ -112,16 +113,18 @@ def tag_snippets(
     proposed = proposer(texts)
     if "error" not in proposed.columns:
         proposed = proposed.withColumn("error", F.lit(None).cast("string"))
-    proposed = materialize(proposed.select("id", "names", "error"), "proposals")
-    failed = proposed.where(F.col("error").isNotNull()).select(
-        "id", F.col("error").alias("message")
-    )
+    if "failed" not in proposed.columns:
+        proposed = proposed.withColumn("failed", F.col("error").isNotNull())
+    # what some facets answered counts, whatever error another facet left
+    proposed = materialize(proposed.select("id", "names", "error", "failed"), "proposals")
+    failed = proposed.where("failed").select("id", F.col("error").alias("message"))
     errors = missing.unionByName(failed).withColumnRenamed("message", "error")
-    names = explode_names(proposed.where(F.col("error").isNull()))
-    limits = (settings.theta, settings.max_tags, high_water, settings.profile.max_length)
-    new_tags = grow_vocabulary(names, vocabulary, *limits)
+    names = explode_names(proposed.where(~F.col("failed")))
+    new_tags = grow_vocabulary(
+        names, vocabulary, settings.theta, settings.max_tags, high_water
+    )
     assignments = materialize(
-        assign_tags(names, vocabulary, new_tags, settings.theta, settings.profile.max_length),
+        assign_tags(names, vocabulary, new_tags, settings.theta),
         "assignments",
     )
     uses = assignments.groupBy("id").agg(

@@ -6,7 +6,6 @@ ones it needs and they are put in front of it with everything they build on.
 
 from __future__ import annotations
 
-from tagloom.config import MAX_TAGS
 from tagloom.registry import queries as q
 from tagloom.registry import views as v
 
@@ -34,7 +33,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT row_number() OVER (ORDER BY first) AS id, name, usage_count FROM (
           SELECT name, min(id || lpad(idx::VARCHAR, 3, '0')) AS first, count(*) AS usage_count
           FROM prop WHERE id IN (SELECT id FROM snip WHERE tags IS NOT NULL AND tags <> '[]')
-          GROUP BY name ORDER BY first LIMIT {MAX_TAGS})"""),
+          GROUP BY name)"""),
     "asg": (("prop", "vocab"), """
         SELECT p.id, p.idx, p.name, t.id AS tag_id
         FROM prop p JOIN vocab t ON lower(p.name) = lower(t.name)"""),
@@ -192,7 +191,7 @@ def assignment(source: str, existing: str) -> str:
           WHERE c.born <= p.id || lpad(p.idx::VARCHAR, 3, '0')) WHERE best = 1)"""
 
 
-def kept(existing: str, cap: int = MAX_TAGS) -> str:
+def kept(existing: str, cap: int = q.ROOM) -> str:
     return f"""
       kept AS (SELECT * FROM leaders WHERE n <= {cap} - (SELECT count(*) FROM {existing}))"""
 
@@ -382,7 +381,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT total_snippets, total_tags, tagged_snippets, pending_snippets,
                    round(tagged_snippets / total_snippets * 100, 1) AS percent,
                    CASE WHEN pending_snippets > 0 THEN 'processing' ELSE 'idle' END AS status,
-                   CASE WHEN pending_snippets > 0 THEN 3 ELSE 0 END::BIGINT AS n_hints
+                   (CASE WHEN pending_snippets > 0 THEN 1 ELSE 0 END
+                    + CASE WHEN total_tags = 0 THEN 1 ELSE 0 END)::BIGINT AS n_hints
             FROM (SELECT count(*) AS total_snippets, (SELECT count(*) FROM vocab) AS total_tags,
                          count(*) FILTER (tags <> '[]') AS tagged_snippets,
                          count(*) FILTER (tags IS NULL OR tags = '[]') AS pending_snippets
@@ -490,7 +490,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT {v.UNKNOWN_ID} + row_number() OVER (ORDER BY first) AS id, name,
                    left(first, 10) AS born_id, right(first, 3)::BIGINT AS born_idx
             FROM (SELECT name, min(id || lpad(idx::VARCHAR, 3, '0')) AS first
-                  FROM final GROUP BY name ORDER BY first LIMIT {MAX_TAGS})"""),
+                  FROM final GROUP BY name ORDER BY first LIMIT {q.ROOM})"""),
         "assign_tags_to_proposals": with_ctes("final vocab", f"""{final}
             SELECT id, idx, tag_id, round(sim, 6) AS similarity, is_new FROM given""", True),
         "snippet_tag_arrays": with_ctes("final vocab", f"""{final}

@@ -65,7 +65,8 @@ OFFSET = 100
 COSINE = 0.35
 JACCARD = 0.5
 SMALL_CAP = 1000
-LENGTH = WORD.max_length
+# Above every derived vocabulary, so that growing has room.
+ROOM = 10_000_000
 
 
 def query(build: Query) -> Query:
@@ -325,7 +326,7 @@ def exact_match_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 def _name_pairs(base: v.Base) -> DataFrame:
     names = base.names.select("name").distinct()
-    return fuzzy_pairs(names, base.tags.select("name"), max_length=LENGTH)
+    return fuzzy_pairs(names, base.tags.select("name"))
 
 
 @query
@@ -390,7 +391,7 @@ def model_hook(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def lexicon_proposals(spark: SparkSession, sf: str) -> DataFrame:
     found = propose_with_lexicon(
-        v.docs_by_id(spark, sf), v.lexicon(spark, sf), v.FACET_NUMBERS
+        v.docs(spark, sf), v.lexicon(spark, sf), v.FACET_NUMBERS
     )
     return found.select("id", F.array_join("names", ",").alias("names"))
 
@@ -472,7 +473,7 @@ def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
 def _grown(spark: SparkSession, sf: str, **limits) -> DataFrame:
     base = v.base(spark, sf)
     names = v.of_untagged(spark, sf, base.names)
-    return grow_vocabulary(names, base.tags, max_length=LENGTH, **limits)
+    return grow_vocabulary(names, base.tags, **{"max_tags": ROOM, **limits})
 
 
 def _new_tag_columns(grown: DataFrame) -> DataFrame:
@@ -496,15 +497,15 @@ def allocate_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Exact matching only, behind ids that were given out and cleared."""
     grown = grow_vocabulary(
         v.of_untagged(spark, sf), spark.createDataFrame([], "id bigint, name string"),
-        theta=1.0, high_water=v.UNKNOWN_ID, max_length=LENGTH,
+        theta=1.0, high_water=v.UNKNOWN_ID, max_tags=ROOM,
     )
     return _new_tag_columns(grown)
 
 
 def _assigned(spark: SparkSession, sf: str, base: v.Base) -> DataFrame:
     names = materialize(v.of_untagged(spark, sf, base.names), "open-names")
-    new = grow_vocabulary(names, base.tags, max_length=LENGTH)
-    return assign_tags(names, base.tags, new, max_length=LENGTH)
+    new = grow_vocabulary(names, base.tags, max_tags=ROOM)
+    return assign_tags(names, base.tags, new)
 
 
 @query
@@ -535,7 +536,7 @@ def tag_backlog(spark: SparkSession, sf: str) -> DataFrame:
     store = _store(spark, "backlog")
     store.publish({"snippets": v.snippets(spark, sf)})
     proposer = lexicon_proposer(v.lexicon(spark, sf), v.FACET_NUMBERS)
-    tag_batch(store, v.docs_by_id(spark, sf), proposer, Settings(WORD), batch_size=None)
+    tag_batch(store, v.docs(spark, sf), proposer, Settings(WORD, max_tags=ROOM), batch_size=None)
     return reports.list_tags(store.read_tags()).select("id", "name", "usage_count")
 
 
@@ -664,7 +665,7 @@ def _star_columns(groups: DataFrame) -> DataFrame:
 @query
 def plan_edit(spark: SparkSession, sf: str) -> DataFrame:
     tags = v.base(spark, sf).tags
-    return _star_columns(mp.plan_by_similarity(tags, "edit", 0.75, max_length=LENGTH))
+    return _star_columns(mp.plan_by_similarity(tags, "edit", 0.75))
 
 
 @query
@@ -748,8 +749,8 @@ def stream_tagging(spark: SparkSession, sf: str) -> DataFrame:
     ).write.parquet(queue)
     sink = scratch_path(spark, "results")
     start_tagging_stream(
-        read_messages(spark, queue), store, v.docs_by_id(spark, sf), terms_proposer(WORD),
-        sink, scratch_path(spark, "marks"), Settings(WORD),
+        read_messages(spark, queue), store, v.docs(spark, sf), terms_proposer(WORD),
+        sink, scratch_path(spark, "marks"), Settings(WORD, max_tags=ROOM),
     ).awaitTermination()
     fold_stream(store, sink)
     tables = store.snapshot()

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagloom.config import MAX_TAGS, WORD
+from tagloom.config import WORD
 from tagloom.functions.predicates import is_tagged, is_untagged
 from tagloom.functions.text import words
 from tagloom.operators.matching import exact_match
+from tagloom.operators.paging import numbered
 from tagloom.operators.propose import Facet, explode_names, top_terms
 from tagloom.session import materialize
 
@@ -37,16 +38,6 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(key("doc_id").alias("id"), "text")
 
 
-def docs_by_id(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents partitioned by id, so that counting words per id stays local.
-
-    The text is exchanged once. Exchanging the counted words would move more:
-    every distinct word of a document carries the id with it, and counting and
-    ranking would each need an exchange.
-    """
-    return docs(spark, sf).repartition("id")
-
-
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as snippets; labels say which are tagged, empty or untried."""
     labels = table(spark, sf, "labels")
@@ -77,7 +68,7 @@ def page_content(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def proposals(spark: SparkSession, sf: str) -> DataFrame:
-    return explode_names(top_terms(docs_by_id(spark, sf), WORD))
+    return explode_names(top_terms(docs(spark, sf), WORD))
 
 
 def of_untagged(spark: SparkSession, sf: str, names: DataFrame | None = None) -> DataFrame:
@@ -87,16 +78,15 @@ def of_untagged(spark: SparkSession, sf: str, names: DataFrame | None = None) ->
 
 
 def vocabulary(spark: SparkSession, sf: str, names: DataFrame | None = None) -> DataFrame:
-    """Names proposed by tagged snippets, in order of first use, up to the cap."""
+    """Names proposed by tagged snippets, in order of first use."""
     names = proposals(spark, sf) if names is None else names
     tagged = snippets(spark, sf).where(is_tagged(F.col("tags"))).select("id")
     named = (
         names.join(tagged, "id", "left_semi").groupBy("name")
         .agg(F.min(F.struct("id", "idx")).alias("first"), F.count("*").alias("usage_count"))
-        .orderBy("first").limit(MAX_TAGS)
     )
-    return named.select(
-        F.row_number().over(W.orderBy("first")).cast("bigint").alias("id"),
+    return numbered(named, "first", "place").select(
+        F.col("place").cast("bigint").alias("id"),
         "name",
         F.lit("2024-01-01 00:00:00").cast("timestamp").alias("created_at"),
         "usage_count",

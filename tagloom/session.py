@@ -12,8 +12,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and stream checkpoints.
 
     A cluster names it in ``spark.checkpoint.dir`` (or through
-    ``setCheckpointDir``). Only where neither is set, as in local tests, a
-    temporary folder is made and registered.
+    ``setCheckpointDir``). Where neither is set, a local session gets a temporary
+    folder; any other session has to name one that all its machines share.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -21,6 +21,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     registered = spark.sparkContext.getCheckpointDir()
     if registered:
         return registered.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tagloom-")
     spark.sparkContext.setCheckpointDir(folder)
     return checkpoint_dir(spark)
@@ -43,8 +45,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def within(df: DataFrame, max_rows: int) -> bool:
-    """Size check that has to pass before ``df`` may be broadcast."""
-    return df.count() <= max_rows

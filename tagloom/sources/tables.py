@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from tagloom.sources.schemas import TABLES
 
 MANIFEST_SCHEMA = (
-    "table_name string, folder string, high_water bigint, folded map<string, bigint>"
+    "table_name string, folder string, high_water bigint, folded map<string, bigint>, "
+    "cleared bigint"
 )
+MERGE_SCHEMA = "merge_id bigint, primary_id bigint"
 
 
 @dataclass(frozen=True)
@@ -28,7 +30,8 @@ class Snapshot:
     """All tables as of one publish.
 
     ``high_water`` is the largest tag id ever given out; it survives deletes and
-    clears. ``folded`` is the newest batch of each stream sink that is included.
+    clears. ``folded`` is the newest batch of each stream sink that is included,
+    ``cleared`` the version of the last clear.
     """
 
     spark: SparkSession
@@ -37,6 +40,7 @@ class Snapshot:
     folders: Mapping[str, str] = field(default_factory=dict)
     high_water: int = 0
     folded: Mapping[str, int] = field(default_factory=dict)
+    cleared: int = 0
 
     def read(self, table: str) -> DataFrame:
         if table not in self.folders:
@@ -83,6 +87,7 @@ class TableStore:
             {row["table_name"]: row["folder"] for row in rows},
             rows[0]["high_water"],
             dict(rows[0]["folded"] or {}),
+            rows[0]["cleared"] or 0,
         )
 
     def read_snippets(self) -> DataFrame:
@@ -104,10 +109,13 @@ class TableStore:
         frames: Mapping[str, DataFrame],
         high_water: int | None = None,
         folded: Mapping[str, int] | None = None,
+        clear: bool = False,
     ) -> Snapshot:
         """Write new versions of the given tables and switch to them at once.
 
-        Tables that were never written start out empty.
+        Tables that were never written start out empty. Without tables only the
+        marks move, which is how a stream reserves the ids it gives out. ``clear``
+        notes that results found before this version are void.
         """
         unknown = set(frames) - set(TABLES)
         if unknown:
@@ -126,10 +134,29 @@ class TableStore:
             frame.select(*columns).write.parquet(f"{self.base}/{folders[name]}")
         mark = max(old.high_water, high_water or 0)
         batches = {**old.folded, **(folded or {})}
-        entries = [(name, folders[name], mark, batches) for name in TABLES]
+        cleared = version if clear else old.cleared
+        entries = [(name, folders[name], mark, batches, cleared) for name in TABLES]
         (
             self.spark.createDataFrame(entries, MANIFEST_SCHEMA)
             .coalesce(1)
             .write.json(f"{self.base}/_manifest/version={version}")
         )
-        return Snapshot(self.spark, self.base, version, folders, mark, batches)
+        return Snapshot(self.spark, self.base, version, folders, mark, batches, cleared)
+
+    def note_merges(self, mapping: DataFrame) -> None:
+        """Remember which tag every merged tag went into."""
+        mapping.select("merge_id", "primary_id").write.mode("append").parquet(
+            f"{self.base}/_merges"
+        )
+
+    def merges(self) -> DataFrame:
+        """``merge_id, primary_id`` of all consolidations; each id merges once.
+
+        A primary tag may have merged in a later consolidation itself.
+        """
+        try:
+            return self.spark.read.schema(MERGE_SCHEMA).parquet(f"{self.base}/_merges")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], MERGE_SCHEMA)

@@ -4,6 +4,11 @@ A batch appends what it found below ``sink``, in folders named by its batch id,
 and rewrites exactly those folders when it is replayed. So delivery may repeat,
 while lists, junction and counters come out once. ``fold_stream`` brings the
 appended results into the tables in one publish; the stream never rewrites them.
+
+Other jobs may run between a micro-batch and its folding. A batch reserves the ids
+of its new tags in the manifest, so no other job gives them out. Folding looks up
+every tag again: one that another job made meanwhile under the same name wins, a
+merged tag stands for what it merged into, and batches from before a clear are void.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ KINDS = {
     "assignments": "id string, idx int, tag_id bigint, is_new boolean",
     "outcomes": (
         "snippet_id string, attempts int, error string, failed boolean, kind string, "
-        "action string, delay_seconds bigint, next_at bigint"
+        "action string, delay_seconds bigint, next_at bigint, version bigint"
     ),
 }
 
@@ -97,6 +102,12 @@ def run_batch(
 ) -> None:
     """One micro-batch. The vocabulary grows once for all of its snippets."""
     now = int(time.time() * 1000) if now_ms is None else now_ms
+    newest = read_results(store.spark, sink, "outcomes").agg(F.max("batch_id")).first()[0]
+    if newest is not None and newest > batch_id:
+        raise ValueError(
+            f"{sink} holds batch {newest}, behind batch {batch_id}: "
+            "a new checkpoint needs a new sink"
+        )
     # one row per snippet: repeats in the queue are combined map-side
     wanted = materialize(
         batch.groupBy("snippet_id").agg(F.max("attempts").alias("attempts")), "wanted"
@@ -113,7 +124,12 @@ def run_batch(
     outcomes = tagged.outcomes.select(
         F.col("id").alias("snippet_id"), "error", F.col("error").isNotNull().alias("failed")
     )
-    routed = route(wanted.join(outcomes, "snippet_id"), now, max_retries)
+    routed = route(wanted.join(outcomes, "snippet_id"), now, max_retries).withColumn(
+        "version", F.lit(tables.version).cast("bigint")
+    )
+    given = tagged.new_tags.agg(F.max("tag_id")).first()[0]
+    if given is not None:
+        store.publish({}, high_water=given)
     _write(tagged.new_tags, sink, "new_tags", batch_id)
     _write(tagged.assignments, sink, "assignments", batch_id)
     _write(routed, sink, "outcomes", batch_id)
@@ -135,6 +151,38 @@ def latest_assignments(
     return done.select("id"), assignments.join(done, ["id", "batch_id"])
 
 
+def final_tags(found: DataFrame, tags: DataFrame, merges: DataFrame) -> DataFrame:
+    """``tag_id, final_id``: the tag that each id a stream used stands for now.
+
+    ``found`` are the stream's new tags, ``tags`` the stored ones. Ids that no tag
+    stands for any more have no row.
+    """
+    stored = tags.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("stored_id"))
+    first = found.groupBy("key").agg(F.min("tag_id").alias("first_id"))
+    new = found.join(stored, "key", "left").join(first, "key").select(
+        "tag_id", F.coalesce("stored_id", "first_id").alias("final_id")
+    )
+    known = tags.select(F.col("id").alias("tag_id"), F.col("id").alias("final_id"))
+    # follow merges of merges; as many steps as consolidations were chained
+    step = merges.select(F.col("merge_id").alias("tag_id"), F.col("primary_id").alias("at"))
+    onward = merges.select(F.col("merge_id").alias("at"), F.col("primary_id").alias("beyond"))
+    while True:
+        moved = materialize(
+            step.join(onward, "at", "left").select(
+                "tag_id", F.coalesce("beyond", "at").alias("at"),
+                F.col("beyond").isNotNull().alias("moved"),
+            ),
+            "merged",
+        )
+        step = moved.select("tag_id", "at")
+        if moved.where("moved").isEmpty():
+            break
+    merged = step.join(tags.select(F.col("id").alias("at")), "at", "left_semi").select(
+        "tag_id", F.col("at").alias("final_id")
+    )
+    return new.unionByName(known).unionByName(merged)
+
+
 def fold_stream(store: TableStore, sink: str) -> bool:
     """Bring finished batches into the tables; True if there were any.
 
@@ -142,21 +190,35 @@ def fold_stream(store: TableStore, sink: str) -> bool:
     folded in per sink, so that folding again adds nothing. A batch is finished
     once its outcomes are there, since they are written last. Every batch counts
     towards the usage counters, as each run does; lists and junction show the
-    latest.
+    latest. Batches found before the last clear are passed over.
     """
     before = store.snapshot()
     outcomes = _unfolded(before, sink, "outcomes")
     newest = outcomes.agg(F.max("batch_id")).first()[0]
     if newest is None:
         return False
+    void = outcomes.where(F.col("version") < before.cleared).select("batch_id").distinct()
+    outcomes = outcomes.join(void, "batch_id", "left_anti")
     finished = F.col("batch_id") <= newest
-    assignments = _unfolded(before, sink, "assignments").where(finished)
-    new_tags = _unfolded(before, sink, "new_tags").where(finished)
+
+    def valid(kind: str) -> DataFrame:
+        rows = _unfolded(before, sink, kind).where(finished)
+        return rows.join(void, "batch_id", "left_anti")
+
+    found = valid("new_tags")
+    final = materialize(final_tags(found, before.tags, store.merges()), "final-tags")
+    assignments = valid("assignments").join(final, "tag_id").withColumn(
+        "tag_id", F.col("final_id")
+    ).drop("final_id")
+    new_tags = found.join(
+        final.where(F.col("tag_id") == F.col("final_id")).select("tag_id"), "tag_id", "left_semi"
+    )
     processed, latest = latest_assignments(outcomes, assignments)
     tables = apply_to_tables(
         before.snippets, before.tags, before.snippet_tags,
         processed, latest, stored_tags(new_tags), usage_increments(assignments),
     )
-    top = new_tags.agg(F.max("tag_id")).first()[0]
-    store.publish(tables, high_water=top, folded={sink: newest})
+    store.publish(
+        tables, high_water=found.agg(F.max("tag_id")).first()[0], folded={sink: newest}
+    )
     return True

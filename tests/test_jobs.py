@@ -6,7 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom.config import WORD
-from tagloom.operators.propose import Facet
+from tagloom.operators.integrity import integrity_report
+from tagloom.operators.matching import exact_match
+from tagloom.operators.merge_plans import edit_pairs
+from tagloom.operators.propose import Facet, propose_with_lexicon
+from tagloom.operators.vocabulary import assign_tags, grow_vocabulary
 from tagloom.plans import maintenance
 from tagloom.plans.tagging import Settings, model_proposer, tag_batch
 from tagloom.sources import content as cont
@@ -224,3 +228,108 @@ def test_nothing_to_queue_is_completed(spark):
     row = progress(chunked, spark.createDataFrame([], "id string, ok boolean")).first()
     assert (row["status"], row["total"], row["total_chunks"], row["current_chunk"]) == (
         "completed", 0, 0, 0)
+
+
+def one_batch(store, content, ids, batch_id, sink):
+    waiting = store.read_snippets().where(F.col("id").isin(ids))
+    run_batch(as_messages(waiting, 1), batch_id, store, content, make_proposer(), sink,
+              SETTINGS, now_ms=5)
+
+
+def assert_sound(store):
+    now = store.snapshot()
+    report = integrity_report(now.snippets, now.tags, now.snippet_tags)
+    assert {r["n_rows"] for r in report.collect()} == {0}
+    lists = {i: set(json.loads(t)) for i, t in lists_of(store).items() if t}
+    known = {i for i, _ in tags_of(store).values()}
+    assert set().union(*lists.values()) <= known
+    assert {(i, t) for i, ts in lists.items() for t in ts} == set(pairs_of(store))
+
+
+def test_a_batch_between_stream_and_fold(store, content, tmp_path):
+    sink = str(tmp_path / "sink")
+    one_batch(store, content, ["s01"], 0, sink)       # apple, banana
+    tag_batch(store, content, make_proposer(), SETTINGS, snippet_id="s02")  # banana, cherry
+    assert fold_stream(store, sink)
+    assert_sound(store)
+    ids = {n: i for n, (i, _) in tags_of(store).items()}
+    assert set(ids) == {"apple", "banana", "cherry"} and len(set(ids.values())) == 3
+    assert json.loads(lists_of(store)["s01"]) == [ids["apple"], ids["banana"]]
+    assert json.loads(lists_of(store)["s02"]) == [ids["banana"], ids["cherry"]]
+
+
+def test_a_consolidation_between_stream_and_fold(store, content, tmp_path, spark):
+    sink = str(tmp_path / "sink")
+    tag_batch(store, content, make_proposer(), SETTINGS, snippet_id="s02")  # banana 1, cherry 2
+    one_batch(store, content, ["s01", "s05"], 0, sink)
+    plan = {"consolidations": [{
+        "primary_tag_id": 2, "primary_tag_name": None, "merge_tag_ids": [1], "reason": ""}]}
+    replies = spark.createDataFrame([(1, json.dumps(plan))], "reply_no bigint, reply string")
+    maintenance.consolidate(store, replies, profile=WORD)
+    assert fold_stream(store, sink)
+    assert_sound(store)
+    assert json.loads(lists_of(store)["s01"])[1] == 2
+
+
+def test_a_clear_between_stream_and_fold(store, content, tmp_path):
+    sink = str(tmp_path / "sink")
+    one_batch(store, content, ["s01"], 0, sink)
+    maintenance.clear_tags(store, confirm=True)
+    assert fold_stream(store, sink)
+    assert_sound(store)
+    assert tags_of(store) == {} and lists_of(store)["s01"] is None
+    one_batch(store, content, ["s05"], 1, sink)
+    assert fold_stream(store, sink)
+    assert_sound(store)
+    assert list(tags_of(store)) == ["cherry"] and tags_of(store)["cherry"][0] > 2
+
+
+def test_a_new_checkpoint_on_an_old_sink_is_refused(store, content, tmp_path):
+    sink = str(tmp_path / "sink")
+    for batch_id in (0, 1):
+        one_batch(store, content, ["s01"], batch_id, sink)
+    with pytest.raises(ValueError, match="new sink"):
+        one_batch(store, content, ["s02"], 0, sink)
+
+
+def test_a_failed_facet_keeps_the_others(spark):
+    def loader():
+        def reply(prompts):
+            if any(p.startswith("b|") for p in prompts):
+                raise RuntimeError("upstream answered 503")
+            return ["\n".join(p.split("|")[1].split()) for p in prompts]
+
+        return reply
+
+    docs = spark.createDataFrame([("x", "apple banana")], "id string, text string")
+    row = model_proposer(FACETS, loader, WORD)(docs).first()
+    assert (row["names"], row["error"], row["failed"]) == (
+        ["apple", "banana"], "upstream answered 503", False)
+
+
+def test_tags_that_differ_in_case_only(spark):
+    tags = spark.createDataFrame([(2, "kitchen"), (1, "Kitchen")], "id bigint, name string")
+    names = spark.createDataFrame([("a", 1, "KITCHEN")], "id string, idx int, name string")
+    given = assign_tags(names, tags).collect()
+    assert [(r["tag_id"], r["is_new"]) for r in given] == [(1, False)]
+    assert [r["tag_id"] for r in exact_match(names, tags).collect()] == [1]
+    assert grow_vocabulary(names, tags).isEmpty()
+    pairs = [(r["a"], r["b"], r["similarity"]) for r in edit_pairs(tags).collect()]
+    assert pairs == [(1, 2, 1.0)]
+
+
+def test_short_profiles_still_match_long_names(spark):
+    names = spark.createDataFrame(
+        [("a", 1, "kitchen"), ("b", 1, "kitchens")], "id string, idx int, name string")
+    none = spark.createDataFrame([], "id bigint, name string")
+    assert [r["name"] for r in grow_vocabulary(names, none).collect()] == ["kitchen"]
+
+
+def test_repeated_lexicon_rows_count_once(spark):
+    docs = spark.createDataFrame(
+        [("x", "delta alpha alpha bravo bravo bravo")], "id string, text string")
+    rows = [("bravo", 0), ("alpha", 0), ("delta", 0)]
+    for lexicon in (rows, rows + [("delta", 0)] * 3):
+        frame = spark.createDataFrame(lexicon, "term string, facet int")
+        plan = propose_with_lexicon(docs, frame, [0])
+        assert plan.first()["names"] == ["bravo", "alpha", "delta"]

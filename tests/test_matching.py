@@ -85,8 +85,8 @@ def test_short_names_match_exactly_only(spark):
     proposals = spark.createDataFrame(
         [("1", 1, "激情"), ("1", 2, "激烈"), ("2", 1, "激情")], "id string, idx int, name string")
     vocabulary = spark.createDataFrame([], "id bigint, name string")
-    grown = grow_vocabulary(proposals, vocabulary, max_length=4)
+    grown = grow_vocabulary(proposals, vocabulary)
     assert [(r["tag_id"], r["name"]) for r in grown.orderBy("tag_id").collect()] == [(1, "激情"), (2, "激烈")]
-    given = assign_tags(proposals, vocabulary, grown, max_length=4)
+    given = assign_tags(proposals, vocabulary, grown)
     assert sorted((r["id"], r["idx"], r["tag_id"], r["is_new"]) for r in given.collect()) == [
         ("1", 1, 1, True), ("1", 2, 2, True), ("2", 1, 1, False)]
