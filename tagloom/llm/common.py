@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from types import ModuleType
 
 from pyspark import cloudpickle
@@ -54,6 +55,22 @@ def quoted(words) -> str:
     return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
 
 
+def write_bucketed(df: DataFrame, keys: list[str], path: str, name: str) -> str:
+    """Writes ``df`` below ``path`` as a table bucketed and sorted by ``keys``.
+
+    Returns the table's name in the session's catalog. Joins on the keys don't
+    shuffle such a table; the folder ``path/<name>`` can also be read as plain files.
+    """
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    (
+        df.repartition(buckets, *keys)
+        .write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+        .option("path", f"{path}/{table_name}").saveAsTable(table_name)
+    )
+    return table_name
+
+
 def travels_with_tasks(module: str) -> None:
     """Functions of the module go to Python workers by value.
 

@@ -13,13 +13,12 @@ Only hashes (16 bytes a line) travel; lines themselves stay with their documents
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import BLANKS, ascii_lower, long_hash, whole
+from tagloom.llm.common import BLANKS, ascii_lower, long_hash, whole, write_bucketed
 from tagloom.session import materialize, scratch_path
 
 MIN_CHARS = 10
@@ -43,17 +42,9 @@ class LineRuns:
     def __init__(self, spark: SparkSession, folder: str, fanout: int = FANOUT):
         self.spark, self.folder, self.fanout = spark, folder, fanout
         self.levels: list[list[str]] = []
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def _write(self, rows: DataFrame, name: str) -> str:
-        """A table bucketed and sorted by hash, at a path of its own."""
-        table = f"line_run_{name}_{uuid.uuid4().hex}"
-        (
-            rows.repartition(self.buckets, *HASH)
-            .write.format("parquet").bucketBy(self.buckets, *HASH).sortBy(*HASH)
-            .option("path", f"{self.folder}/{table}").saveAsTable(table)
-        )
-        return table
+
+    def _write(self, rows: DataFrame, level: int) -> str:
+        return write_bucketed(rows, HASH, self.folder, f"line_run_{level}")
 
     def _run(self, table: str) -> DataFrame:
         return self.spark.table(table).where(~F.col("seen")).select(*HASH)
@@ -73,7 +64,7 @@ class LineRuns:
             marked = marked.join(run.hint("merge"), HASH, "left")
             seen.append(F.col(f"in{i}").isNotNull())
         known = reduce(lambda a, b: a | b, seen, F.lit(False))
-        table = self._write(marked.select(*HASH, "first", "last", known.alias("seen")), "0")
+        table = self._write(marked.select(*HASH, "first", "last", known.alias("seen")), 0)
         self._place(table, 0)
         # read by path: both sides of a join with lines can then be split if skewed
         fresh = self.spark.read.parquet(f"{self.folder}/{table}")
@@ -89,7 +80,7 @@ class LineRuns:
             runs, self.levels[level] = self.levels[level], []
             merged = reduce(DataFrame.unionByName, map(self._run, runs))
             self._place(
-                self._write(merged.withColumn("seen", F.lit(False)), str(level + 1)), level + 1
+                self._write(merged.withColumn("seen", F.lit(False)), level + 1), level + 1
             )
 
     def forget(self) -> None:

@@ -38,6 +38,8 @@ SAMPLE_COUNT = 3
 MAX_FREQUENT = 200_000
 FRAGMENTS = 8
 LEADER_ROUNDS = 2
+PAIRS_PER_TASK = 1_000
+SLOTS = 1 << 20
 CACHED_WORDS = 500_000
 
 
@@ -134,25 +136,33 @@ def signatures(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -
     )
 
 
-def fragments(docs: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, part, grams``: the sets cut along the global order."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def overlaps(pairs: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
+    """``a, b, na, nb, part, overlap``: common n-grams per pair and fragment.
+
+    ``pairs`` holds both texts. The sets are cut along the global order: by the
+    first bits of the hash, frequent n-grams in a fragment of their own.
+    """
+    shared = pairs.sparkSession.sparkContext.broadcast(frequent)
     shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, left = None, np.empty(0, np.uint64)
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                grams = ngram_set(text, size)
-                part = (grams >> shift).astype(np.int32)
-                part[is_frequent(grams, shared.value)] = FRAGMENTS
-                found = np.unique(part)
-                yield pd.DataFrame({
-                    "doc_id": doc_id, "n": len(grams), "part": found,
-                    "grams": [grams[part == p].view(np.int64) for p in found],
-                })
-
-    return docs.select("doc_id", "text").mapInPandas(
-        cut, "doc_id long, n long, part int, grams array<long>"
+            rows = []
+            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
+                if a != last:
+                    last, left = a, ngram_set(ta, size)
+                right = ngram_set(tb, size)
+                common = np.intersect1d(left, right, assume_unique=True)
+                part = (common >> shift).astype(np.int64)
+                part[is_frequent(common, shared.value)] = FRAGMENTS
+                counts = np.bincount(part, minlength=FRAGMENTS + 1)
+                rows += [(a, b, len(left), len(right), p, counts[p])
+                         for p in range(FRAGMENTS + 1) if counts[p]]
+            yield pd.DataFrame(rows, columns=["a", "b", "na", "nb", "part", "overlap"])
+
+    return pairs.select("a", "b", "ta", "tb").mapInPandas(
+        count, "a long, b long, na long, nb long, part int, overlap long"
     )
 
 
@@ -185,28 +195,62 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_reaches(most, F.col("na"), F.col("nb"), percent)).select("a", "b", "shared")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int, frequent) -> DataFrame:
-    """The pairs that link: overlaps per fragment, summed per pair."""
-    wanted = materialize(
-        pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted"
+def texts_of(ids: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+    """``id, text`` of the documents in ``ids``, written once.
+
+    A table of ``SLOTS`` flags by hash of the id, as large for any input, leaves
+    most other texts out at the scan; the join then is exact. Rows of one id are
+    one document, so one of its texts is enough.
+    """
+    spark = docs.sparkSession
+    slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("s")).distinct()
+    flags = np.zeros(SLOTS, np.uint8)
+    flags[slots.toPandas()["s"].to_numpy(np.int64)] = 1
+    table = spark.createDataFrame([(bytearray(flags.tobytes()),)], "flags binary")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int")
+    maybe = docs.where(
+        F.substring(table.scalar(), slot + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+    )
+    found = maybe.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+    return materialize(found.dropDuplicates(["id"]) if repeats else found, "texts")
+
+
+def linked(pairs, docs, size: int, percent: int, frequent, repeats: bool) -> DataFrame:
+    """The pairs that link: overlaps per fragment, summed per pair.
+
+    Only texts that occur in a pair are fetched. Of each pair the document with
+    more pairs is the hub; a hub's pairs are dealt to as many tasks as they need,
+    and its text goes to each of them.
+    """
+    ids = materialize(
+        pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted"
     )
-    cut = materialize(
-        fragments(docs.join(wanted, "doc_id", "left_semi"), size, frequent)
-        .dropDuplicates(["doc_id", "part"]),
-        "fragments",
+    texts = texts_of(ids, docs, repeats)
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
+    degrees = ends.groupBy("end").agg(F.count("*").alias("degree"))
+    known = pairs.join(degrees.withColumnRenamed("end", "a").withColumnRenamed("degree", "da"), "a")
+    known = known.join(degrees.withColumnRenamed("end", "b").withColumnRenamed("degree", "db"), "b")
+    first = F.col("da") >= F.col("db")
+    dealt = materialize(known.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"),
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"),
+        F.ceil(F.greatest("da", "db") / PAIRS_PER_TASK).alias("tasks"),
+    ).select("hub", "other", F.pmod(F.xxhash64("other"), F.col("tasks")).alias("salt")), "dealt")
+    hubs = dealt.select("hub", "salt").distinct().join(
+        texts.select(F.col("id").alias("hub"), F.col("text").alias("ta")), "hub"
     )
-    left = cut.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "part",
-                      F.col("grams").alias("ga"))
-    right = cut.select(F.col("doc_id").alias("b"), "part", F.col("grams").alias("gb"))
-    sizes = cut.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")).distinct()
-    partial = (
-        pairs.select("a", "b").join(left, "a").join(right, ["b", "part"])
-        .select("a", "b", "na", F.size(F.array_intersect("ga", "gb")).alias("overlap"))
+    others = dealt.join(
+        texts.select(F.col("id").alias("other"), F.col("text").alias("tb")), "other"
+    )
+    both = hubs.join(others, ["hub", "salt"]).select(
+        F.col("hub").alias("a"), F.col("other").alias("b"), "ta", "tb"
+    )
+    summed = overlaps(both, size, frequent).groupBy("a", "b", "na", "nb").agg(
+        F.sum("overlap").alias("overlap")
+    )
+    return summed.where(_reaches(F.col("overlap"), F.col("na"), F.col("nb"), percent)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
-    summed = partial.groupBy("a", "b", "na").agg(F.sum("overlap").alias("overlap"))
-    return summed.join(sizes, "b").where(
-        _reaches(F.col("overlap"), F.col("na"), F.col("nb"), percent)
-    ).select("a", "b")
 
 
 def similar_components(
@@ -241,15 +285,22 @@ def similar_components(
     grams = (
         signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
         .join(others, "doc_id", "left_anti")
-        .select("doc_id", "n", F.posexplode("prefix").alias("at", "gram"))
+        .select("doc_id", F.posexplode("prefix").alias("at", "gram"))
     )
     shared = grams.groupBy("gram").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
     ).where(F.col("low") != F.col("high")).select("gram")
-    held = materialize(
-        grams.join(shared, "gram").select("gram", F.col("doc_id").alias("id"), "n", "at"), "held"
+    met = materialize(
+        grams.join(shared, "gram").select("gram", F.col("doc_id").alias("id"), "at"), "met"
     )
-
+    holders = materialize(
+        met.select("id").distinct().join(
+            light.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id"
+        ),
+        "holders",
+    )
+    held = met.join(holders, "id")
+    repeats = not light.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty()
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint")
     checked = links
@@ -283,14 +334,13 @@ def similar_components(
             best = ends.groupBy("end").agg(F.max(F.struct("shared", "a", "b")).alias("p"))
             pairs = best.select("p.a", "p.b").distinct()
         else:
-            lower = side(rows, "a"), side(rows, "b").where(F.lit(True))
-            pairs = _candidates(*lower, percent).select("a", "b")
+            pairs = _candidates(side(rows, "a"), side(rows, "b"), percent).select("a", "b")
         pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if turn < LEADER_ROUNDS:
                 continue
             break
-        found = materialize(linked(pairs, own, size, percent, frequent), "links")
+        found = materialize(linked(pairs, own, size, percent, frequent, repeats), "links")
         checked = checked.unionByName(pairs)
         links = links.unionByName(found)
         classes = components(links)
