@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
@@ -34,14 +35,18 @@ from pyspark.sql import types as T
 from tagloom.llm.common import travels_with_tasks, whole, worker_cache
 
 END = "</w>"
-CACHED_WORDS = 300_000
-CACHED_PAIRS = 1_000_000
+CACHED_WORDS = 120_000
+CACHED_PAIRS = 200_000
 
 # White space and word pattern of the vocabulary file's tokenizer.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACES + r"\p{L}\p{N}]+"
 )
+# The same for lower-case ASCII text.
+ASCII_WORDS = re.compile(
+    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
+)
 # str.split() also splits at these, the tokenizer doesn't
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -67,7 +72,9 @@ class Transducer:
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(pair): i for i, pair in enumerate(model["merges"])}
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.ids | self.special).items()}
+        spelled = {i: t for t, i in (self.ids | self.special).items()}
+        self.tokens = [spelled.get(i, "") for i in range(max(spelled, default=-1) + 1)]
+        self.packed = {t: pack("<I", i) for t, i in self.ids.items()}
         self.letters = str.maketrans({i: c for i, c in enumerate(byte_letters())})
         self.byte_of = {c: b for b, c in enumerate(byte_letters())}
         self.split_special = regex.compile(
@@ -78,6 +85,7 @@ class Transducer:
         self.pairs: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _symbols(token: str) -> int:
@@ -86,22 +94,18 @@ class Transducer:
     def merge(self, symbols: list[str]) -> list[str]:
         """Merges of lowest rank first, leftmost first among equals."""
         rank, none = self.ranks.get, len(self.ranks)
-        while len(symbols) > 1:
-            found = [rank(pair, none) for pair in pairwise(symbols)]
+        found = [rank(pair, none) for pair in pairwise(symbols)]
+        while found:
             lowest = min(found)
             if lowest == none:
                 break
             i = found.index(lowest)
-            left, right = symbols[i], symbols[i + 1]
-            out, last = symbols[:i], len(symbols) - 1
-            while i <= last:
-                if i < last and symbols[i] == left and symbols[i + 1] == right:
-                    out.append(left + right)
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+            symbols[i: i + 2] = [symbols[i] + symbols[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = rank((symbols[i - 1], symbols[i]), none)
+            if i < len(found):
+                found[i] = rank((symbols[i], symbols[i + 1]), none)
         return symbols
 
     def _letters_of(self, token: str) -> list[str]:
@@ -168,7 +172,7 @@ class Transducer:
             letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
             symbols = [*letters[:-1], letters[-1] + END]
             tokens = self.merge(symbols) if len(symbols) <= self.lookahead else self.stream(symbols)
-            known = b"".join(pack("<I", self.ids[t]) for t in tokens)
+            known = b"".join([self.packed[t] for t in tokens])
             if len(word) <= self.lookahead:
                 if len(self.words) >= CACHED_WORDS:
                     self.words.clear()
@@ -177,15 +181,21 @@ class Transducer:
 
     def _normalized(self, text: str) -> bytes:
         """White space takes part in no word, so it need not be made uniform."""
+        if text.isascii():
+            return b"".join(map(self.word, ASCII_WORDS.findall(text.lower())))
         text = unicodedata.normalize("NFC", text)
         # lower-cased letter by letter, without the rule for a sigma at a word's end
         text = text.replace("\u03a3", "\u03c3").lower()
         return b"".join(map(self.word, WORDS.findall(text)))
 
     def _chunk(self, chunk: str) -> bytes:
-        known = self._normalized(chunk)
+        known = self.older.get(chunk)
+        if known is None:
+            known = self._normalized(chunk)
         if len(chunk) <= self.lookahead:
             if len(self.chunks) >= CACHED_WORDS:
+                # what is in use comes back from here
+                self.older = dict(self.chunks)
                 self.chunks.clear()
             self.chunks[chunk] = known
         return known
@@ -210,8 +220,7 @@ class Transducer:
 
     def vocabulary_text(self, packed: bytes | None) -> str:
         """The tokens as the vocabulary spells them, a space between any two."""
-        ids = np.frombuffer(packed or b"", "<u4").tolist()
-        return " ".join([self.tokens[i] for i in ids if i in self.tokens])
+        return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
 
     def pieces(self, packed: bytes | None) -> Iterator[str]:
         """Text that each token completes; word ends become spaces.
@@ -221,7 +230,7 @@ class Transducer:
         """
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         for i in np.frombuffer(packed or b"", "<u4").tolist():
-            token = self.tokens.get(i, "")
+            token = self.tokens[i]
             if token in self.special:
                 yield machine.decode(b"", True) + token
                 machine.reset()
