@@ -67,7 +67,8 @@ class LineRuns:
         table = self._write(marked.select(*HASH, "first", "last", known.alias("seen")), 0)
         self._place(table, 0)
         # read by path: both sides of a join with lines can then be split if skewed
-        fresh = self.spark.read.parquet(f"{self.folder}/{table}")
+        schema = "h1 bigint, h2 bigint, first bigint, last bigint, seen boolean"
+        fresh = self.spark.read.schema(schema).parquet(f"{self.folder}/{table}")
         return fresh.where(F.col("seen") | (F.col("first") != F.col("last"))).select(
             *HASH, F.when(~F.col("seen"), F.col("first")).alias("owner")
         )

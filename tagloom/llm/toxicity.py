@@ -109,8 +109,8 @@ def _g2(a, b, n1, n0):
 
 def learn_lexicon(
     rows: DataFrame, max_entries: int = MAX_ENTRIES
-) -> tuple[dict[str, float], int, int]:
-    """Weights of significant entries; the texts of label 1 and 0.
+) -> dict[str, float]:
+    """Weights of significant entries; none without texts of both labels.
 
     Counts are summed by term in a shuffle with partial sums; at most
     ``max_entries`` of the strongest come to the driver.
@@ -123,7 +123,7 @@ def learn_lexicon(
     n = {r["label"]: r["count"] for r in sizes}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        return {}, n1, n0
+        return {}
     counts = (
         rows.select("label", F.explode(terms("text")).alias("term"))
         .groupBy("term")
@@ -138,7 +138,7 @@ def learn_lexicon(
         .where((F.col("g2") > limit) & (F.col("weight") > MIN_WEIGHT))
         .orderBy(F.desc("g2"), "term").limit(max_entries)
     )
-    return {r["term"]: r["weight"] for r in strong.collect()}, n1, n0
+    return {r["term"]: r["weight"] for r in strong.collect()}
 
 
 @dataclass(frozen=True)
@@ -219,9 +219,9 @@ def learn(
 ) -> ToxicityModel:
     """Fits lexicon and score on at most about ``rows`` labelled rows."""
     known = training_rows(docs, labels, label, rows)
-    lexicon, n1, n0 = learn_lexicon(known)
+    lexicon = learn_lexicon(known)
     model = ToxicityModel(lexicon, tuple(exceptions))
-    if not n1 or not n0:
+    if not lexicon:
         return model
 
     def measure(batches):
@@ -256,8 +256,8 @@ def score_documents(
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every row.
 
     Only the text is scored. Empty and null texts get the score of a text without
-    matches; repeated rows are scored each; without labels of both kinds nothing
-    is learned and all scores are low.
+    matches; repeated rows are scored each; without labels of both kinds, or where
+    no entry is significant, nothing is learned and all scores are low.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     model = learn(own, labels)

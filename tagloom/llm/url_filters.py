@@ -54,7 +54,7 @@ BASE_RULES = (
 PATTERN_RULES = tuple(
     UrlRule(pattern, pattern, BLOCK)
     for pattern in (
-        "||spam-farm^", "||spam.*", "-spam.*", "||cheap-pills.*", "-pills-*.",
+        "||spam-farm.", "||spam.*", "-spam.*", "||cheap-pills.*", "-pills-*.",
         "||casino.*", "-casino.*", "||free-money.*", "||adult.*", "-adult.*",
         "||xxx.*", "||warez.*", "/wp-login.php", "/phishing/", "/malware/",
         "||click-here-now.*", "||lottery-*.", "||payday-loan*.",
