@@ -17,6 +17,7 @@ from tagloom.sources import content as cont
 from tagloom.sources.messages import as_messages, enqueue, read_messages
 from tagloom.sources.schemas import SNIPPETS
 from tagloom.sources.tables import TableStore
+from tagloom.streaming.loop import Queue
 from tagloom.streaming.progress import backlog, progress
 from tagloom.streaming.tagging import (
     fold_stream,
@@ -333,3 +334,27 @@ def test_repeated_lexicon_rows_count_once(spark):
         frame = spark.createDataFrame(lexicon, "term string, facet int")
         plan = propose_with_lexicon(docs, frame, [0])
         assert plan.first()["names"] == ["bravo", "alpha", "delta"]
+
+
+def test_the_queue_loop_ends_every_message(store, content, tmp_path, spark):
+    queue = Queue(spark, *(str(tmp_path / n) for n in ("queue", "sink", "dead")))
+    assert queue.state().first()["status"] == "idle"
+    waiting = backlog(store.read_snippets())
+    enqueue(waiting.where("id in ('s01', 's04', 's07')"), queue.messages, 1000)
+    with pytest.raises(RuntimeError, match="3 snippets"):
+        queue.check_idle()
+    now = 0
+    for delivery in range(1, 5):
+        messages = queue.delivered().where(F.col("attempts") == delivery)
+        run_batch(messages, delivery, store, content, make_proposer(), queue.results,
+                  SETTINGS, now_ms=now)
+        now += 10_000_000
+        assert queue.feed_retries(now) == (1 if delivery < 4 else 0)
+        assert queue.feed_retries(now) == 0
+    queue.check_idle()
+    queue.write_dead_letters()
+    dead = [(r["snippet_id"], r["attempts"]) for r in queue.read_dead_letters().collect()]
+    assert dead == [("s04", 4)]
+    row = queue.state().first()
+    assert (row["status"], row["in_flight"], row["dead_letters"]) == ("completed", 0, 1)
+    assert backlog(store.read_snippets(), queue.in_flight()).count() == 7
