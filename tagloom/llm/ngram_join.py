@@ -13,7 +13,7 @@ cut into fragments. Equal sets are folded into one representative first.
   separately, a row per pair and fragment, and summed per pair.
 
 Links are wanted for components only, so pairs that are already connected need no
-check. In the first rounds every n-gram proposes one leader, not all pairs of its
+check. In the first round every n-gram proposes one leader, not all pairs of its
 holders; documents linked by then share a component. The last round takes all
 remaining pairs of different components. No link between different components is
 lost, whatever the leaders were.
@@ -29,15 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import travels_with_tasks, whole, worker_cache
+from tagloom.llm.common import travels_with_tasks, whole, worker_cache, write_bucketed
 from tagloom.llm.components import components
-from tagloom.session import materialize
+from tagloom.session import materialize, scratch_path
 
 SAMPLE_DOCS = 5_000
 SAMPLE_COUNT = 3
 MAX_FREQUENT = 200_000
 FRAGMENTS = 8
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 PAIRS_PER_TASK = 1_000
 SLOTS = 1 << 20
 CACHED_WORDS = 500_000
@@ -171,20 +171,21 @@ def _reaches(shared, na, nb, percent: int):
     return (100 + percent) * shared >= percent * (na + nb)
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+def _candidates(left: DataFrame, right: DataFrame, percent: int, wanted) -> DataFrame:
     """``a, b, shared`` of pairs that hold a common prefix n-gram and may still link.
 
-    ``left`` and ``right`` have ``gram`` and ``id, n, at, component``, renamed.
-    All common n-grams up to the last common one of the prefixes are counted, so
+    ``left`` and ``right`` have ``gram`` and ``id, n, at, component``, renamed;
+    ``wanted`` compares the components so that a pair comes once per n-gram. All
+    common n-grams up to the last common one of the prefixes are counted, so
     what follows it bounds the rest.
     """
     pairs = (
         left.join(right, "gram")
-        .where(F.col("ca") != F.col("cb"))
+        .where(wanted)
         .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .agg(
-            F.countDistinct("gram").alias("shared"),
+            F.count("*").alias("shared"),
             F.max(F.when(F.col("a") < F.col("b"), F.col("pa")).otherwise(F.col("pb"))).alias("pa"),
             F.max(F.when(F.col("a") < F.col("b"), F.col("pb")).otherwise(F.col("pa"))).alias("pb"),
             F.first(F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb"))).alias("na"),
@@ -196,7 +197,7 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
 
 
 def texts_of(ids: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
-    """``id, text`` of the documents in ``ids``, written once.
+    """``id, text`` of the documents in ``ids``.
 
     A table of ``SLOTS`` flags by hash of the id, as large for any input, leaves
     most other texts out at the scan; the join then is exact. Rows of one id are
@@ -212,20 +213,20 @@ def texts_of(ids: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
         F.substring(table.scalar(), slot + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
     )
     found = maybe.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    return materialize(found.dropDuplicates(["id"]) if repeats else found, "texts")
+    return found.dropDuplicates(["id"]) if repeats else found
 
 
-def linked(pairs, docs, size: int, percent: int, frequent, repeats: bool) -> DataFrame:
+def linked(pairs, docs, bucketed, size: int, percent: int, frequent, repeats) -> DataFrame:
     """The pairs that link: overlaps per fragment, summed per pair.
 
-    Only texts that occur in a pair are fetched. Of each pair the document with
+    Only texts that occur in a pair are fetched, and written by id. Of each pair the document with
     more pairs is the hub; a hub's pairs are dealt to as many tasks as they need,
     and its text goes to each of them.
     """
     ids = materialize(
         pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted"
     )
-    texts = texts_of(ids, docs, repeats)
+    texts = bucketed(texts_of(ids, docs, repeats), "id")
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
     degrees = ends.groupBy("end").agg(F.count("*").alias("degree"))
     known = pairs.join(degrees.withColumnRenamed("end", "a").withColumnRenamed("degree", "da"), "a")
@@ -287,34 +288,37 @@ def similar_components(
         .join(others, "doc_id", "left_anti")
         .select("doc_id", F.posexplode("prefix").alias("at", "gram"))
     )
-    shared = grams.groupBy("gram").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    ).where(F.col("low") != F.col("high")).select("gram")
+    shared = grams.groupBy("gram").count().where(F.col("count") > 1).select("gram")
     met = materialize(
         grams.join(shared, "gram").select("gram", F.col("doc_id").alias("id"), "at"), "met"
     )
-    holders = materialize(
-        met.select("id").distinct().join(
-            light.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n")), "id"
-        ),
-        "holders",
-    )
-    held = met.join(holders, "id")
+    sizes = light.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n"))
+    held = met.join(sizes, "id")
     repeats = not light.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty()
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint")
     checked = links
     classes = spark.createDataFrame([], "id bigint, component bigint")
 
+    folder = scratch_path(spark, "prefixes")
+    made: list[str] = []
+
+    def bucketed(rows: DataFrame, key: str) -> DataFrame:
+        made.append(write_bucketed(rows, [key], folder, "ngram_join"))
+        return spark.table(made[-1])
+
     def located() -> DataFrame:
-        """Prefix rows with their component; only n-grams of several components."""
-        rows = held.join(classes, "id", "left").withColumn(
+        """Prefix rows with their component; only n-grams of several components.
+
+        Bucketed by n-gram, so nothing that follows moves them again.
+        """
+        rows = bucketed(held.join(classes, "id", "left").withColumn(
             "component", F.coalesce("component", "id")
-        )
+        ), "gram")
         open_grams = rows.groupBy("gram").agg(
             F.min("component").alias("low"), F.max("component").alias("high")
         ).where(F.col("low") != F.col("high")).select("gram")
-        return materialize(rows.join(open_grams, "gram", "left_semi"), "open")
+        return rows.join(open_grams.hint("merge"), "gram", "left_semi")
 
     def side(rows: DataFrame, mark: str) -> DataFrame:
         return rows.select(
@@ -328,23 +332,29 @@ def similar_components(
             leaders = rows.groupBy("gram").agg(
                 F.min(F.struct("component", "id", "n", "at")).alias("l")
             ).select("gram", "l.*")
-            pairs = _candidates(side(rows, "a"), side(leaders, "b"), percent)
+            other = F.col("ca") != F.col("cb")
+            pairs = _candidates(
+                side(rows, "a"), side(leaders, "b").hint("merge"), percent, other
+            )
             # of a document's leaders the one with most in common
             ends = pairs.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("end"))
             best = ends.groupBy("end").agg(F.max(F.struct("shared", "a", "b")).alias("p"))
             pairs = best.select("p.a", "p.b").distinct()
         else:
-            pairs = _candidates(side(rows, "a"), side(rows, "b"), percent).select("a", "b")
+            smaller = F.col("ca") < F.col("cb")
+            pairs = _candidates(side(rows, "a"), side(rows, "b"), percent, smaller).select("a", "b")
         pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             if turn < LEADER_ROUNDS:
                 continue
             break
-        found = materialize(linked(pairs, own, size, percent, frequent, repeats), "links")
+        found = materialize(linked(pairs, own, bucketed, size, percent, frequent, repeats), "links")
         checked = checked.unionByName(pairs)
         links = links.unionByName(found)
         classes = components(links)
 
+    for name in made:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     ids = copied.withColumnRenamed("set_id", "of")
     lowest = classes.withColumnRenamed("id", "of")
     return (
