@@ -80,9 +80,15 @@ def travels_with_tasks(module: str) -> None:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the worker process, whatever task asks."""
+    """A dict that lives as long as the worker process, whatever task asks.
+
+    One at a time: asking for another drops it, so that operators that follow each
+    other in a process don't add up.
+    """
     keeper = sys.modules.setdefault("_tagloom_worker", ModuleType("_tagloom_worker"))
-    return vars(keeper).setdefault(name, {})
+    if vars(keeper).get("current") != name:
+        keeper.current, keeper.held = name, {}
+    return keeper.held
 
 
 travels_with_tasks(__name__)

@@ -27,7 +27,7 @@ from tagloom.session import materialize
 
 TRAIN_ROWS = 40_000
 BINS = 1 << 16
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 MAX_STEPS = 50
 TOLERANCE = 1e-6
 

@@ -40,7 +40,7 @@ FRAGMENTS = 8
 LEADER_ROUNDS = 1
 PAIRS_PER_TASK = 1_000
 SLOTS = 1 << 20
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
