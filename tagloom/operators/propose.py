@@ -120,6 +120,15 @@ def _pass_tags(parts: str, number: int) -> Column:
     return tags
 
 
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once.
+
+    An expression that a lambda refers to would be worked out for every item, also
+    after the optimizer has moved it there; a lambda's own variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def term_counts(terms: Column) -> Column:
     """``array<struct<rank, term>>``: distinct terms by descending count, then term.
 
@@ -127,17 +136,20 @@ def term_counts(terms: Column) -> Column:
     between the places where a new term starts are the counts. ``rank`` is the
     negative count.
     """
-    ordered = F.array_sort(terms)
-    n = F.size(ordered)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(
-        places,
-        lambda i: (i == 0) | (F.get(ordered, i) != F.coalesce(F.get(ordered, i - 1), F.lit(""))),
-    )
-    return F.sort_array(F.transform(starts, lambda s, j: F.struct(
-        (s - F.coalesce(F.get(starts, j + 1), n)).cast("bigint").alias("rank"),
-        F.get(ordered, s).alias("term"),
-    )))
+    def starts(ordered: Column) -> Column:
+        placed = F.transform(ordered, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+        return F.filter(placed, lambda e: (e["i"] == 0) | (
+            e["t"] != F.coalesce(F.get(ordered, e["i"] - 1), F.lit(""))
+        ))
+
+    def counts(ordered: Column, found: Column) -> Column:
+        return F.sort_array(F.transform(found, lambda e, j: F.struct(
+            (e["i"] - F.coalesce(F.get(found, j + 1)["i"], F.size(ordered)))
+            .cast("bigint").alias("rank"),
+            e["t"].alias("term"),
+        )))
+
+    return _with(F.array_sort(terms), lambda o: _with(starts(o), lambda s: counts(o, s)))
 
 
 def lexicon_counts(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
