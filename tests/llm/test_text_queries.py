@@ -1,7 +1,6 @@
 """Every text query against its SQL or a brute-force version on small tables."""
 
 import hashlib
-import json
 import re
 import sys
 from collections import Counter, defaultdict
@@ -12,7 +11,6 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 
@@ -59,11 +57,15 @@ def brute_fingerprints(texts, band, min_terms=8):
     def term(word):
         return np.uint64(xxhash.xxh64_intdigest(word.encode(), 42)).astype(np.int64).item()
 
+    def number(value, seed=42):
+        return xxhash.xxh64_intdigest(np.uint64(value % 2**64).tobytes(), seed)
+
     def chain(values):
-        seed = 42
-        for value in values:
-            seed = xxhash.xxh64_intdigest(np.int64(value).tobytes(), seed)
-        return seed
+        # several columns are hashed one after the other, each seeding the next
+        acc = number(values[0])
+        for value in values[1:]:
+            acc = number(value, number(acc))
+        return acc
 
     sets = {i: {term(w) for w in re.split(r"[\x00-/:-`{-\x7f]+", lower(t)) if w}
             for i, t in texts.items()}
