@@ -39,7 +39,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def _with_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``docs`` with the new texts, and their lengths where there is such a column."""
     new = texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    return docs.join(new, docs["doc_id"].eqNullSafe(new["_id"])).select(*docs.columns)
+    changed = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    return docs.join(new, docs["doc_id"].eqNullSafe(new["_id"])).select(*(
+        changed[f.name].cast(f.dataType).alias(f.name) if f.name in changed else docs[f.name]
+        for f in docs.schema
+    ))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
