@@ -1,12 +1,14 @@
 """Licence scan: positional index of rare licence words, verified by key phrases.
 
 The document frequencies of all licence words are counted over the whole corpus.
-Every template is filed under its rarest words with their positions. A text looks
-up its own rarest licence words; each (word position in the text, word position
-in the template) gives a start of the template in the text, and starts on which
-several words agree are candidates. A candidate counts if its mandatory phrases
-stand in the text. Exact phrases are found the same way: the rarest word of the
-phrase is the anchor and the words around every anchor are compared.
+Every template is filed under its rarest words with their positions. A text that
+holds enough of a template's index words looks up all their places; each (word
+position in the text, word position in the template) gives a start of the template
+in the text, and starts on which several words agree are candidates. What other
+licence words the text holds makes no difference. A candidate counts if its
+mandatory phrases stand in the text. Exact phrases are found the same way: the
+rarest word of the phrase is the anchor and the words around every anchor are
+compared.
 
 Everything after the count is worked out inside one row; nothing is shuffled.
 """
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import ascii_lower, plain_words, whole
 
-RARE_PER_TEXT = 8
 RARE_PER_TEMPLATE = 8
 TOLERANCE = 3
 
@@ -121,27 +122,45 @@ def _rarest(template: Template, seen: dict[str, int], count: int) -> list[str]:
     return sorted(first, key=lambda w: (seen[w], first[w]))[:count]
 
 
-def _coverage(template: Template, indexed: list[str]) -> Column:
+def _enough(indexed: list[str], min_coverage: float) -> int:
+    """The least number of index words that reaches the coverage."""
+    return next(
+        (n for n in range(len(indexed) + 1) if n / len(indexed) >= min_coverage), len(indexed) + 1
+    )
+
+
+def _coverage(template: Template, indexed: list[str], enough: int) -> Column:
     """Share of the template's indexed words that stand at one agreed start.
 
-    Only the text's rarest licence words (``rare``) are looked up. Places that
-    differ by no more than the tolerance agree, so a few words put in or left
-    out do not hide a notice.
+    Places that differ by no more than the tolerance agree, so a few words put in
+    or left out do not hide a notice. The words around every start are looked at,
+    so the work grows with the number of index words in the text. Texts that hold
+    fewer than ``enough`` of them get 0.
     """
-    def starts(place: int, word: str) -> Column:
-        return F.transform(
-            F.filter(F.col("rare_hits"), lambda h: h["word"] == word),
-            lambda h: F.struct((h["at"] - place).alias("start"), h["word"].alias("word")),
-        )
-
-    found = F.flatten(F.array(*(
-        starts(i, word) for i, word in enumerate(template.words) if word in indexed
-    )))
-    agreeing = F.transform(found, lambda a: F.size(F.array_distinct(F.transform(
-        F.filter(found, lambda b: F.abs(a["start"] - b["start"]) <= TOLERANCE),
-        lambda b: b["word"],
+    places: dict[str, list[int]] = {}
+    for i, word in enumerate(template.words):
+        if word in indexed:
+            places.setdefault(word, []).append(i)
+
+    def agrees(start: Column, word: str) -> Column:
+        def near(place: int) -> Column:
+            first = F.greatest(start + (place - TOLERANCE), F.lit(0))
+            behind = F.greatest(start + (place + TOLERANCE + 1), F.lit(0))
+            return F.array_contains(F.slice("words", first + 1, behind - first), word)
+
+        return reduce(lambda a, b: a | b, map(near, places[word])).cast("int")
+
+    starts = F.array_distinct(F.flatten(F.array(*(
+        F.transform(F.filter("hits", lambda h: h["word"] == word), lambda h: h["at"] - place)
+        for word, own in places.items() for place in own
     ))))
-    return F.coalesce(F.array_max(agreeing), F.lit(0)) / F.lit(len(indexed))
+    agreeing = F.transform(
+        starts, lambda s: reduce(lambda a, b: a + b, (agrees(s, word) for word in places))
+    )
+    present = F.size(F.array_intersect("own_words", F.array(*map(F.lit, indexed))))
+    return F.when(
+        present >= enough, F.coalesce(F.array_max(agreeing), F.lit(0)) / F.lit(len(indexed))
+    ).otherwise(F.lit(0.0))
 
 
 def scan_licenses(
@@ -167,21 +186,13 @@ def scan_licenses(
     seen = document_frequencies(words, vocabulary)
     indexed = {t: _rarest(t, seen, RARE_PER_TEMPLATE) for t in templates}
     looked_up = {w for own in indexed.values() for w in own} | {_anchor(p, seen) for p in phrases}
-    by_rarity = sorted(looked_up, key=lambda w: (seen[w], w))
 
     hits = words.withColumn("hits", F.filter(
         F.transform(F.col("words"), lambda w, i: F.when(
-            w.isin(by_rarity), F.struct(w.alias("word"), i.alias("at")))),
+            w.isin(sorted(looked_up)), F.struct(w.alias("word"), i.alias("at")))),
         lambda h: h.isNotNull(),
     ))
-    own_words = F.col("hits.word")
-    rare = F.slice(
-        F.filter(F.array(*map(F.lit, by_rarity)), lambda w: F.array_contains(own_words, w)),
-        1, RARE_PER_TEXT,
-    )
-    found = hits.withColumn("rare", F.when(F.size("hits") > 0, rare)).withColumn(
-        "rare_hits", F.filter("hits", lambda h: F.array_contains(F.col("rare"), h["word"]))
-    )
+    found = hits.withColumn("own_words", F.array_distinct("hits.word"))
     starts = [
         F.when(F.size("hits") > 0, _phrase_starts(p, seen)).otherwise(F.array().cast("array<int>"))
         for p in phrases
@@ -190,10 +201,10 @@ def scan_licenses(
         "doc_id",
         F.size("words").cast("bigint").alias("n_words"),
         F.array(*starts).alias("starts"),
-        F.when(F.size("rare") > 0, F.array(*(
+        F.when(F.size("hits") > 0, F.array(*(
             F.struct(
                 F.lit(t.label).alias("label"),
-                _coverage(t, indexed[t]).alias("share"),
+                _coverage(t, indexed[t], _enough(indexed[t], min_coverage)).alias("share"),
                 reduce(lambda a, b: a & b, (
                     F.contains(
                         F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")),
