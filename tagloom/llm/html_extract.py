@@ -11,6 +11,11 @@ Tags and names that say what they hold are used as well: paths through scripts,
 menus, footers, forms, adverts, comments and the like never pass; if the page has
 an article or main element whose paths hold the content, every path in it that is
 not ruled out passes, so short paragraphs and headings are kept.
+
+Class names and ids are also put on wrappers of the whole page. A name rules
+nothing out where the element holds a main, more text of articles than is left
+outside of such names, or, on pages without either, most of the page's text. It
+only lowers the features of the paths through the element then.
 """
 
 from __future__ import annotations
@@ -77,8 +82,24 @@ HEAD_TAGS = frozenset(["base", "link", "meta", "noscript", "script", "style", "t
 CONTENT_TAGS = frozenset(["article", "main"])
 NOT_CONTENT_ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search",
                                "form", "dialog", "alert", "menu", "menubar"])
+# Classes that list a post's tags, on the post itself.
+TAXONOMY = re.compile(r"(?:^|(?<= ))(?:tags?|category)-[^ ]+", re.I)
 SMOOTHING = 2
 THRESHOLD = 0.3
+NAMED_RATIO = 0.5
+
+
+@dataclass(frozen=True)
+class Named:
+    """Elements on a path whose names say that they hold no content.
+
+    Each by its place and whether it stands in an article or main. The first ``homes`` of them lie around an article or main, the first ``mains``
+    around a main.
+    """
+
+    places: tuple[tuple[int, bool], ...] = ()
+    homes: int = 0
+    mains: int = 0
 
 
 @dataclass
@@ -87,6 +108,7 @@ class Element:
     step: str
     out: bool
     inside: bool
+    named: Named = Named()
     block: int = 0
 
 
@@ -97,6 +119,7 @@ class Leaf:
     block: int
     out: bool
     inside: bool
+    named: Named = Named()
     fused: float = field(default=0.0)
 
 
@@ -107,7 +130,7 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _element(tag: str, source: str, above: Element | None) -> Element:
+def _element(tag: str, source: str, above: Element | None, place: int) -> Element:
     attributes = _attributes(source) if "=" in source else {}
     names = " ".join(attributes.get(k, "") for k in ("class", "id")).strip()
     role = attributes.get("role", "").lower()
@@ -119,15 +142,25 @@ def _element(tag: str, source: str, above: Element | None) -> Element:
     content = tag in CONTENT_TAGS or role in ("main", "article") or (
         attributes.get("itemprop", "").lower() == "articlebody"
     )
-    named = tag not in ("html", "body", *CONTENT_TAGS) and bool(NOT_CONTENT_NAMES.search(names))
+    inside = bool(above and above.inside)
     out = (
-        tag in NOT_CONTENT_TAGS or tag in RAW or role in NOT_CONTENT_ROLES or hidden or named
+        tag in NOT_CONTENT_TAGS or tag in RAW or role in NOT_CONTENT_ROLES or hidden
         # a page header is none of the article, the one within it may hold its heading
-        or (tag == "header" or PAGE_HEADER.search(names)) and not (above and above.inside)
+        or tag == "header" and not inside
     )
+    named = above.named if above else Named()
+    if content and (tag == "main" or role == "main"):
+        named = Named(named.places, len(named.places), len(named.places))
+    elif content and not NOT_CONTENT_NAMES.search(TAXONOMY.sub("", names)):
+        # articles named as comments, teasers and the like speak for nothing around them
+        named = Named(named.places, len(named.places), named.mains)
+    if tag not in ("html", "body", *CONTENT_TAGS) and (
+        NOT_CONTENT_NAMES.search(names) or PAGE_HEADER.search(names) and not inside
+    ):
+        named = Named((*named.places, (place, inside)), named.homes, named.mains)
     return Element(
         tag, tag + "".join("." + n for n in names.split()),
-        out or bool(above and above.out), content or bool(above and above.inside),
+        out or bool(above and above.out), content or inside, named,
     )
 
 
@@ -136,13 +169,16 @@ def leaves(page: str) -> Iterator[Leaf]:
     stack: list[Element] = []
     block, at, size, lowered = 0, 0, len(page), None
 
+    def leaf(text: str) -> Leaf:
+        top = stack[-1] if stack else Element("", "", False, False)
+        path = "/".join(e.step for e in stack)
+        return Leaf(path, text, block, top.out, top.inside, top.named)
+
     def text(start: int, end: int) -> Iterator[Leaf]:
         if end > start and (raw := page[start:end]) and not raw.isspace():
-            top = stack[-1] if stack else Element("", "", False, False)
-            yield Leaf("/".join(e.step for e in stack), html.unescape(raw), block, top.out, top.inside)
+            yield leaf(html.unescape(raw))
         elif end > start:
-            top = stack[-1] if stack else Element("", "", False, False)
-            yield Leaf("/".join(e.step for e in stack), " ", block, top.out, top.inside)
+            yield leaf(" ")
 
     while at < size:
         found = TAG.search(page, at)
@@ -170,15 +206,14 @@ def leaves(page: str) -> Iterator[Leaf]:
         if stack and stack[-1].tag == "head" and tag not in HEAD_TAGS:
             stack.pop()
         if tag == "br":
-            yield Leaf("/".join(e.step for e in stack), " ", block,
-                       bool(stack) and stack[-1].out, bool(stack) and stack[-1].inside)
+            yield leaf(" ")
         if tag in VOID:
             continue
         if tag in ENDS_P:
             _close(stack, ("p",), BARRIER | {"li", "td", "th", "button", "object"} | FENCE)
         elif tag in SAME_LEVEL:
             _close(stack, SAME_LEVEL[tag], BARRIER | FENCE)
-        element = _element(tag, found[3] or "", stack[-1] if stack else None)
+        element = _element(tag, found[3] or "", stack[-1] if stack else None, at)
         if tag in RAW:
             lowered = page.lower() if lowered is None else lowered
             end = lowered.find(f"</{tag}", at) if len(lowered) == size else page.find(f"</{tag}", at)
@@ -201,9 +236,59 @@ def _close(stack: list[Element], tags: tuple[str, ...], barrier: frozenset[str])
         del stack[lowest:]
 
 
+def wrappers(found: list[Leaf]) -> set[tuple[int, bool]]:
+    """The named elements whose names don't rule out what they hold.
+
+    With an element those around it are wrappers as well.
+    """
+    texts = [x for x in found if not x.out and not x.text.isspace()]
+    kept: set[tuple[int, bool]] = set()
+    if not any(x.named.places for x in texts):
+        return kept
+    homes: dict[tuple, int] = defaultdict(int)
+    direct: dict[tuple, int] = defaultdict(int)
+    held: dict[tuple, int] = defaultdict(int)
+    around: dict[tuple, tuple] = {}
+    for x in texts:
+        size, places = len(x.text), x.named.places
+        for i, place in enumerate(places):
+            held[place] += size
+            around[place] = places[: i + 1]
+            if i < x.named.homes:
+                homes[place] += size
+            if i < x.named.mains:
+                kept.add(place)
+        if places:
+            direct[places[-1]] += size
+
+    def text_of_homes() -> int:
+        return sum(len(x.text) for x in texts if x.inside
+                   and all(p in kept for p in x.named.places if not p[1]))
+
+    def text_left() -> int:
+        return sum(len(x.text) for x in texts if kept.issuperset(x.named.places))
+
+    open_homes = text_of_homes()
+    for place in sorted(homes, key=lambda p: (-homes[p], p)):
+        if place not in kept and homes[place] > open_homes:
+            kept.update(around[place])
+            open_homes = text_of_homes()
+    total = sum(len(x.text) for x in texts)
+    open_text = text_left()
+    for place in sorted(p for p in held if 2 * held[p] > total):
+        # with an article or main in the open only what stands in one
+        if place not in kept and direct[place] > open_text and (place[1] or not open_homes):
+            kept.update(around[place])
+            open_text = text_left()
+    return kept
+
+
 def content_leaves(page: str) -> list[Leaf]:
     """The leaves that hold content, by tag-path ratios and names."""
     found = list(leaves(page))
+    kept = wrappers(found)
+    for leaf in found:
+        leaf.out = leaf.out or not kept.issuperset(leaf.named.places)
     open_leaves = [x for x in found if not x.out and not x.text.isspace()]
     if not open_leaves:
         return []
@@ -220,6 +305,8 @@ def content_leaves(page: str) -> list[Leaf]:
         near = slice(max(0, i - SMOOTHING), i + SMOOTHING + 1)
         window = len(open_leaves[near])
         leaf.fused = sum(texts[near]) * sum(points[near]) / window**2
+        if leaf.named.places and not leaf.inside:
+            leaf.fused *= NAMED_RATIO
     weights = [len(x.text) for x in open_leaves]
     limit = THRESHOLD * sum(w * x.fused for w, x in zip(weights, open_leaves)) / sum(weights)
     # a path passes as a whole, by its best leaf
