@@ -30,18 +30,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that a document of smaller id holds.
 
-    Documents that lose all their lines go as well.
+    Documents that lose all their lines go as well. Rows of one id are one
+    document and stay rows of their own; rows without an id lose nothing.
     """
-    kept = dedup_lines(docs).where((F.col("n_dropped") == 0) | (F.col("text") != ""))
-    return _with_texts(docs, kept.select("doc_id", "text"))
-
-
-def _with_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``docs`` with the new texts, and their lengths where there is such a column."""
-    new = texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    changed = {"text": F.col("_text"), "n_chars": F.length("_text")}
-    return docs.join(new, docs["doc_id"].eqNullSafe(new["_id"])).select(*(
-        changed[f.name].cast(f.dataType).alias(f.name) if f.name in changed else docs[f.name]
+    kept = dedup_lines(docs, carry="row").where(
+        (F.col("n_dropped") == 0) | (F.col("text") != "")
+    )
+    changed = {"text": F.col("text"), "n_chars": F.length("text")}
+    return kept.select(*(
+        changed.get(f.name, F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name)
         for f in docs.schema
     ))
 
@@ -49,7 +46,8 @@ def _with_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of every group of near copies.
 
-    Sets of five words, Jaccard similarity 0.8 and more.
+    Sets of five words, Jaccard similarity 0.8 and more. Rows of one id are one
+    document and stay or go together; rows without an id are in no group and stay.
     """
     groups = similar_components(docs, size=5, percent=80)
     others = materialize(
@@ -59,13 +57,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say."""
-    mixed = mix_documents(docs, domains(table(spark, sf_dir, "labels")), WEIGHTS, GROWTH)
-    times = mixed.select("doc_id", "copies").where(F.col("copies") > 0).distinct()
-    repeated = docs.join(times.withColumnRenamed("copies", "_copies"), "doc_id")
-    return repeated.withColumn("_turn", F.explode(F.sequence(F.lit(1), "_copies"))).select(
-        *docs.columns
+    """Rows as often as their rates say, with or without an id."""
+    mixed = mix_documents(
+        docs, domains(table(spark, sf_dir, "labels")), WEIGHTS, GROWTH, carry="row"
+    )
+    repeated = mixed.where(F.col("copies") > 0).select(
+        "row", F.explode(F.sequence(F.lit(1), "copies"))
     )
+    return repeated.select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

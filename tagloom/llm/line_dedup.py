@@ -142,15 +142,23 @@ def dedup_lines(
     text: str = "text",
     batches: int = BATCHES,
     fanout: int = FANOUT,
+    carry: str | None = None,
 ) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_dropped`` and the kept ``text`` of every row.
 
     A key of at least ten characters that stands in two documents or more keeps
     its lines only in the one of the smallest id. A null or empty text is one
     empty line. Rows of one id are one document; rows without an id lose nothing.
-    Other columns are not read. An empty table gives an empty result.
+    Other columns are not read, unless ``carry`` names a column that holds the
+    input row without its text. An empty table gives an empty result.
     """
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text).alias("text"))
+    rest = [] if carry is None else [
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias(carry)
+    ]
+    own = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), whole(text).alias("text"), *rest
+    )
+    rest = [] if carry is None else [carry]
     drops = repeated_lines(own.where(F.col("doc_id").isNotNull()), batches, fanout)
     lines = F.split("text", "\n")
 
@@ -161,10 +169,10 @@ def dedup_lines(
     kept = F.when(F.col("drops").isNull(), lines).otherwise(F.filter(lines, stays))
     return (
         own.join(drops.hint("shuffle_hash"), "doc_id", "left")
-        .select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), kept.alias("kept"))
+        .select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), kept.alias("kept"), *rest)
         .select(
             "doc_id", "n_lines",
             (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
-            F.array_join("kept", "\n").alias("text"),
+            F.array_join("kept", "\n").alias("text"), *rest,
         )
     )

@@ -147,23 +147,22 @@ def _calibrated(model: DomainModel, held: pd.DataFrame, domains: int) -> DomainM
 
 
 def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """``doc_id``, ``n_tokens`` (words) and ``posterior`` of every row."""
+    """``n_tokens`` (words) and ``posterior`` behind the other columns than ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.weights, model.bias))
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_tokens long, posterior array<double>")
+    def predict(texts: pd.Series) -> pd.DataFrame:
         own = DomainModel(*shared.value)
-        for batch in batches:
-            found = [word_bins(text) for text in batch["text"]]
-            evidence = np.array([own.evidence(bins) for bins, _ in found])
-            evidence = evidence.reshape(len(found), -1)
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"].array, "n_tokens": [n for _, n in found],
-                "posterior": list(own.posterior(evidence)),
-            })
+        found = [word_bins(text) for text in texts]
+        evidence = np.array([own.evidence(bins) for bins, _ in found])
+        evidence = evidence.reshape(len(found), -1)
+        return pd.DataFrame({
+            "n_tokens": np.array([n for _, n in found], np.int64),
+            "posterior": list(own.posterior(evidence)),
+        })
 
-    return docs.select("doc_id", whole("text").alias("text")).mapInPandas(
-        predict, "doc_id long, n_tokens long, posterior array<double>"
-    )
+    kept = [c for c in docs.columns if c != "text"]
+    return docs.withColumn("found", predict(whole("text"))).select(*kept, "found.*")
 
 
 def rate(posterior: Column, theta: Sequence[float]) -> Column:
@@ -207,28 +206,42 @@ def fit_rates(
     return theta.tolist()
 
 
-def copies(rates: Column, doc_id: Column) -> Column:
-    """The rate rounded up or down by a hash of the id, right on average."""
-    even = F.pmod(F.xxhash64(F.lit(3), doc_id), F.lit(1 << 30)) / (1 << 30)
+def copies(rates: Column, spread: Column) -> Column:
+    """The rate rounded up or down by a hash, right on average."""
+    even = F.pmod(spread, F.lit(1 << 30)) / (1 << 30)
     return F.floor(rates + even).cast("int")
 
 
 def mix_documents(
     docs: DataFrame, labels: DataFrame, weights: Sequence[float], growth: float = 1.0,
     id_col: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS,
+    carry: str | None = None,
 ) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``posterior``, ``rate`` and ``copies`` of every row.
 
     ``labels`` has ``doc_id`` and ``domain`` (0, 1, ... as in ``weights``). Null and
     empty texts have no tokens and the posterior of no evidence. Repeated rows get
-    equal results; other columns are not read. An empty table gives no rows.
+    equal results. Rates are rounded by a hash of the id, without an id by one of
+    the text. Other columns are not read, unless ``carry`` names a column that
+    holds the input row. An empty table gives no rows.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     model = fit_domains(labelled_rows(own, labels, train_rows), len(weights))
-    members = materialize(with_posteriors(own, model), "members")
+    rest = [] if carry is None else [
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(carry)
+    ]
+    rows = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"),
+        F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(3), whole(text)))
+        .otherwise(F.xxhash64(F.lit(3), F.col(id_col).cast("bigint"))).alias("spread"),
+        *rest,
+    )
+    members = materialize(with_posteriors(rows, model), "members")
     theta = fit_rates(members, weights, growth)
-    return members.withColumn("rate", rate(F.col("posterior"), theta)).withColumn(
-        "copies", copies(F.col("rate"), F.col("doc_id"))
+    return members.withColumn("rate", rate(F.col("posterior"), theta)).select(
+        "doc_id", "n_tokens", "posterior", "rate",
+        copies(F.col("rate"), F.col("spread")).alias("copies"),
+        *([] if carry is None else [carry]),
     )
 
 

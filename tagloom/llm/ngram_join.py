@@ -50,13 +50,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def ngram_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams.
+def ngram_set(text: str | np.ndarray | None, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word n-grams, of several texts' union.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased.
     A text with fewer words than ``size`` has its whole sequence as one n-gram; no
     words, no n-gram.
     """
+    if isinstance(text, np.ndarray):
+        return np.unique(np.concatenate([ngram_set(one, size) for one in text]))
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
@@ -196,12 +198,26 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int, wanted) -> Data
     return pairs.where(_reaches(most, F.col("na"), F.col("nb"), percent)).select("a", "b", "shared")
 
 
-def texts_of(ids: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """``docs``; if ids are repeated, with the distinct texts of an id in one array.
+
+    Rows without an id stay as they are.
+    """
+    known = docs.where(F.col("doc_id").isNotNull())
+    if known.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty():
+        return docs
+    folded = known.groupBy("doc_id").agg(F.collect_set("text").alias("text"))
+    apart = docs.where(F.col("doc_id").isNull())
+    return materialize(
+        folded.unionByName(apart.withColumn("text", F.array("text"))), "one-row-per-id"
+    )
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """``id, text`` of the documents in ``ids``.
 
     A table of ``SLOTS`` flags by hash of the id, as large for any input, leaves
-    most other texts out at the scan; the join then is exact. Rows of one id are
-    one document, so one of its texts is enough.
+    most other texts out at the scan; the join then is exact.
     """
     spark = docs.sparkSession
     slots = ids.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("s")).distinct()
@@ -212,11 +228,10 @@ def texts_of(ids: DataFrame, docs: DataFrame, repeats: bool) -> DataFrame:
     maybe = docs.where(
         F.substring(table.scalar(), slot + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
     )
-    found = maybe.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    return found.dropDuplicates(["id"]) if repeats else found
+    return maybe.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
 
 
-def linked(pairs, docs, bucketed, size: int, percent: int, frequent, repeats) -> DataFrame:
+def linked(pairs, docs, bucketed, size: int, percent: int, frequent) -> DataFrame:
     """The pairs that link: overlaps per fragment, summed per pair.
 
     Only texts that occur in a pair are fetched, and written by id. Of each pair the document with
@@ -226,7 +241,7 @@ def linked(pairs, docs, bucketed, size: int, percent: int, frequent, repeats) ->
     ids = materialize(
         pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted"
     )
-    texts = bucketed(texts_of(ids, docs, repeats), "id")
+    texts = bucketed(texts_of(ids, docs), "id")
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
     degrees = ends.groupBy("end").agg(F.count("*").alias("degree"))
     known = pairs.join(degrees.withColumnRenamed("end", "a").withColumnRenamed("degree", "da"), "a")
@@ -266,10 +281,13 @@ def similar_components(
 
     Two documents link when ``100 * intersection >= percent * union`` of their
     n-gram sets. Null and empty texts have empty sets and link with nothing.
-    Repeated rows of an id give one row; rows without an id are left apart, each
-    distinct set once, with a null component. Other columns are not read.
+    Rows of one id are one document and give one row; their set is the union of
+    the rows' sets. Rows without an id are left apart, each distinct set once,
+    with a null component. Other columns are not read.
     """
-    own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text).alias("text"))
+    own = one_row_per_id(
+        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text).alias("text"))
+    )
     frequent = frequent_ngrams(own, size, sample_docs)
     signed = materialize(signatures(own, size, percent, frequent), "signatures")
     light = signed.select("doc_id", "n", "s1", "s2")
@@ -292,9 +310,8 @@ def similar_components(
     met = materialize(
         grams.join(shared, "gram").select("gram", F.col("doc_id").alias("id"), "at"), "met"
     )
-    sizes = light.groupBy(F.col("doc_id").alias("id")).agg(F.max("n").alias("n"))
+    sizes = filled.select(F.col("doc_id").alias("id"), "n")
     held = met.join(sizes, "id")
-    repeats = not light.groupBy("doc_id").count().where(F.col("count") > 1).isEmpty()
     spark = docs.sparkSession
     links = spark.createDataFrame([], "a bigint, b bigint")
     checked = links
@@ -348,7 +365,7 @@ def similar_components(
             if turn < LEADER_ROUNDS:
                 continue
             break
-        found = materialize(linked(pairs, own, bucketed, size, percent, frequent, repeats), "links")
+        found = materialize(linked(pairs, own, bucketed, size, percent, frequent), "links")
         checked = checked.unionByName(pairs)
         links = links.unionByName(found)
         classes = components(links)
@@ -357,8 +374,12 @@ def similar_components(
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     ids = copied.withColumnRenamed("set_id", "of")
     lowest = classes.withColumnRenamed("id", "of")
+    apart = light.where(F.col("doc_id").isNull()).groupBy("n", "s1", "s2").agg(
+        F.lit(None).cast("bigint").alias("doc_id")
+    )
+    found = light.where(F.col("doc_id").isNotNull()).unionByName(apart.select(*light.columns))
     return (
-        light.select("doc_id", F.col("n").alias("n_shingles")).distinct()
+        found.select("doc_id", F.col("n").alias("n_shingles"))
         .join(ids, "doc_id", "left")
         .withColumn("of", F.coalesce("of", "doc_id"))
         .join(lowest, "of", "left")
