@@ -16,8 +16,10 @@ from tagloom.llm.line_dedup import dedup_lines
 from tagloom.llm.mixing import mix_documents
 from tagloom.llm.ngram_join import similar_components
 from tagloom.llm.quality_rules import judge_quality
+from tagloom.llm.token_files import read_token_files, write_token_files
 from tagloom.llm.toxicity import score_documents
 from tagloom.llm.url_filters import judge_urls
+from tagloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -113,6 +115,19 @@ def op10_source_mixing(spark, sf):
     return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
 
 
+# Ends every document on file.
+END_ID = 1
+
+
+@query
+def op12_token_files(spark, sf):
+    folder = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf, "documents"), folder, word_bpe(), END_ID)
+    return read_token_files(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 @query
 def pipeline(spark, sf):
     import corpus_pipeline
