@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.bpe import decode_documents, encode_documents
 from tagloom.llm.common import sha256_hex, table
+from tagloom.llm.conversation_repair import damage, repair_conversations
 from tagloom.llm.fingerprints import fingerprint_edits
 from tagloom.llm.html_extract import extract_pages
 from tagloom.llm.license_scan import scan_licenses
@@ -128,6 +129,12 @@ def op12_token_files(spark, sf):
     )
 
 
+@query
+def op13_conversation_repair(spark, sf):
+    conversations = table(spark, sf, "conversations")
+    return repair_conversations(damage(conversations), conversations)
+
+
 @query
 def pipeline(spark, sf):
     import corpus_pipeline
