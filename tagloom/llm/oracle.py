@@ -93,4 +93,31 @@ SELECT t.page_id, t.host, t.path, base.rule, coalesce(base.action, pat.action, '
 FROM t LEFT JOIN base USING (page_id) LEFT JOIN pat USING (page_id)
 """
 
-ORACLE = {"op5_line_dedup": OP5, "op6_quality_rules": OP6, "op9_url_filters": OP9}
+OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS p
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+         list_dot_product(a.p, b.p)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.p) = len(b.p) WHERE a.vec_id % 50 = 0
+), pos AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT pos.anchor_id, positive_id,
+       row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, id)::INTEGER
+         AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s ON pos.anchor_id = s.anchor_id AND NOT same
+  AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+ORACLE = {
+    "op5_line_dedup": OP5, "op6_quality_rules": OP6, "op9_url_filters": OP9,
+    "op11_hard_negatives": OP11,
+}

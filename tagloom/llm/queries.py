@@ -11,6 +11,7 @@ from tagloom.llm.bpe import decode_documents, encode_documents
 from tagloom.llm.common import sha256_hex, table
 from tagloom.llm.conversation_repair import damage, repair_conversations
 from tagloom.llm.fingerprints import fingerprint_edits
+from tagloom.llm.hard_negatives import mine_hard_negatives
 from tagloom.llm.html_extract import extract_pages
 from tagloom.llm.license_scan import scan_licenses
 from tagloom.llm.line_dedup import dedup_lines
@@ -116,6 +117,13 @@ def op10_source_mixing(spark, sf):
     return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
 
 
+@query
+def op11_hard_negatives(spark, sf):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").withColumn("label", moved)
+    return mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 # Ends every document on file.
 END_ID = 1
 
