@@ -628,6 +628,14 @@ def oracle_sql() -> dict[str, str]:
                    count(*) AS n_messages
             FROM judged WHERE action = 'retry' AND timestamp + delay * 1000 <= 1704153600000
             GROUP BY 1, 2, 3"""),
+        "queue_rounds": with_ctes("judged", f"""
+            SELECT snippet_id, run, CASE WHEN tries THEN 4 ELSE 1 END::BIGINT AS attempts,
+                   tries AS dead
+            FROM (SELECT m.snippet_id, coalesce(f.action <> 'ack', false) AS tries
+                  FROM (SELECT DISTINCT snippet_id FROM judged) m LEFT JOIN (
+                    SELECT snippet_id, arg_min(action, event_id) AS action
+                    FROM judged WHERE failed GROUP BY snippet_id) f USING (snippet_id)),
+                 (VALUES ({q.ROUNDS[0]}::BIGINT), ({q.ROUNDS[1]}::BIGINT)) AS r(run)"""),
         "queue_progress": with_ctes("queued", """
             SELECT count(*) AS total, count(*) FILTER (ok) AS queued,
                    count(*) FILTER (NOT ok) AS failed, 'completed' AS status,

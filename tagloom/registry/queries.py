@@ -48,12 +48,13 @@ from tagloom.plans.tagging import (
 from tagloom.registry import views as v
 from tagloom.session import materialize, scratch_path
 from tagloom.sources.content import missing_content, with_content
-from tagloom.sources.messages import as_messages, dead_letters, read_messages
+from tagloom.sources.messages import as_messages, dead_letters, enqueue, read_messages
 from tagloom.sources.schemas import TABLES
 from tagloom.sources.tables import TableStore
+from tagloom.streaming.loop import Queue
 from tagloom.streaming.progress import backlog, progress
 from tagloom.streaming.routing import retry_messages, route
-from tagloom.streaming.tagging import fold_stream, start_tagging_stream
+from tagloom.streaming.tagging import fold_stream, start_tagging_stream, write_outcomes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -186,7 +187,8 @@ def stream_source(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def enqueue_messages(spark: SparkSession, sf: str) -> DataFrame:
     waiting = backlog(v.snippets(spark, sf))
-    return as_messages(waiting, 1704067200000).withColumn("attempts", big("attempts"))
+    queued = as_messages(waiting, 1704067200000).drop("run")
+    return queued.withColumn("attempts", big("attempts"))
 
 
 @query
@@ -725,6 +727,47 @@ def due_retries(spark: SparkSession, sf: str) -> DataFrame:
     ).withColumn("attempts", big("attempts"))
 
 
+# Two rounds of queueing, and the time that is enough for any retry to come due.
+ROUNDS = (1704067200000, 1706745600000)
+LONG_AFTER = 10_000_000
+
+
+@query
+def queue_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Every snippet of the events queued twice: how each round of it ended.
+
+    A snippet fails with the error of its first failed event, in every delivery.
+    """
+    messages = v.messages(spark, sf)
+    first = F.min_by("error", "event_id").alias("error")
+    failing = messages.where("failed").groupBy("snippet_id").agg(first)
+    snippets = materialize(
+        messages.select("snippet_id").distinct()
+        .join(failing.withColumn("failed", F.lit(True)), "snippet_id", "left")
+        .withColumn("failed", F.coalesce("failed", F.lit(False))),
+        "snippets",
+    )
+    queue = Queue(spark, *(scratch_path(spark, name) for name in ("queue", "results", "dead")))
+    batch_id = 0
+    for queued_at in ROUNDS:
+        enqueue(snippets.select(F.col("snippet_id").alias("id")), queue.messages, queued_at)
+        now = queued_at
+        while True:
+            waiting = queue.delivered().where(F.col("timestamp") == now)
+            tried = waiting.join(snippets, "snippet_id").withColumn("queued_at", F.lit(now))
+            write_outcomes(route(tried, now), queue.results, batch_id)
+            batch_id, now = batch_id + 1, now + LONG_AFTER
+            if not queue.feed_retries(now):
+                break
+        queue.settle()
+    queue.check_idle()
+    dead = queue.read_dead_letters().select("snippet_id", "run", F.lit(True).alias("dead"))
+    last = queue.outcomes().groupBy("snippet_id", "run").agg(big(F.max("attempts")).alias("attempts"))
+    return last.join(dead, ["snippet_id", "run"], "left").select(
+        "snippet_id", "run", "attempts", F.coalesce("dead", F.lit(False)).alias("dead")
+    )
+
+
 @query
 def queue_progress(spark: SparkSession, sf: str) -> DataFrame:
     chunked = paging.assign_chunks(backlog(v.snippets(spark, sf)).select("id"))

@@ -31,12 +31,15 @@ CONTENT = T.StructType([
     T.StructField("text", T.StringType(), True),
 ])
 
-# ``timestamp`` is milliseconds since the epoch; ``attempts`` counts deliveries.
+# ``timestamp`` is milliseconds since the epoch; ``attempts`` counts deliveries. ``run``
+# is the time of the first of them, which tells the rounds of a snippet apart; a message
+# without it begins a round of its own.
 MESSAGES = T.StructType([
     T.StructField("snippet_id", T.StringType(), False),
     T.StructField("timestamp", T.LongType(), False),
     T.StructField("priority", T.StringType(), True),
     T.StructField("attempts", T.IntegerType(), True),
+    T.StructField("run", T.LongType(), True),
 ])
 
 TABLES = {"snippets": SNIPPETS, "tags": TAGS, "snippet_tags": SNIPPET_TAGS}

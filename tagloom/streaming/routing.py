@@ -34,7 +34,11 @@ def route(
 
 
 def retry_messages(routed: DataFrame, since_ms: int, until_ms: int) -> DataFrame:
-    """Messages to queue again: retries that came due in a span of time."""
+    """Messages to queue again: retries that came due in a span of time.
+
+    ``routed`` has ``run``, or ``timestamp`` of first deliveries.
+    """
+    run = "run" if "run" in routed.columns else "timestamp"
     due = routed.where(
         (F.col("action") == RETRY)
         & (F.col("next_at") > since_ms) & (F.col("next_at") <= until_ms)
@@ -44,4 +48,5 @@ def retry_messages(routed: DataFrame, since_ms: int, until_ms: int) -> DataFrame
         F.lit(until_ms).cast("bigint").alias("timestamp"),
         F.lit(MESSAGE_PRIORITY).alias("priority"),
         (F.coalesce("attempts", F.lit(1)) + 1).cast("int").alias("attempts"),
+        F.col(run).cast("bigint").alias("run"),
     )

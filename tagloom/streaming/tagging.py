@@ -31,6 +31,7 @@ from tagloom.plans.tagging import (
 )
 from tagloom.session import materialize
 from tagloom.sources.content import Content
+from tagloom.sources.messages import delivery_key
 from tagloom.sources.tables import Snapshot, TableStore
 from tagloom.streaming.routing import route
 
@@ -38,8 +39,9 @@ KINDS = {
     "new_tags": "tag_id bigint, name string, key string, born_id string, born_idx int",
     "assignments": "id string, idx int, tag_id bigint, is_new boolean",
     "outcomes": (
-        "snippet_id string, attempts int, error string, failed boolean, kind string, "
-        "action string, delay_seconds bigint, next_at bigint, version bigint"
+        "snippet_id string, run bigint, attempts int, error string, failed boolean, "
+        "kind string, action string, delay_seconds bigint, next_at bigint, "
+        "version bigint, queued_at bigint"
     ),
 }
 
@@ -61,6 +63,13 @@ def _write(df: DataFrame, sink: str, kind: str, batch_id: int) -> None:
     df.select(*columns).write.mode("overwrite").parquet(path)
 
 
+def write_outcomes(routed: DataFrame, sink: str, batch_id: int) -> None:
+    """What became of a batch's deliveries; written last, it finishes the batch."""
+    if "version" not in routed.columns:
+        routed = routed.withColumn("version", F.lit(0).cast("bigint"))
+    _write(routed, sink, "outcomes", batch_id)
+
+
 def start_tagging_stream(
     messages: DataFrame,
     store: TableStore,
@@ -108,9 +117,9 @@ def run_batch(
             f"{sink} holds batch {newest}, behind batch {batch_id}: "
             "a new checkpoint needs a new sink"
         )
-    # one row per snippet: repeats in the queue are combined map-side
+    # one row per delivery: repeats in the queue are combined map-side
     wanted = materialize(
-        batch.groupBy("snippet_id").agg(F.max("attempts").alias("attempts")), "wanted"
+        batch.groupBy(*delivery_key()).agg(F.max("timestamp").alias("queued_at")), "wanted"
     )
     tables = store.snapshot()
     before = _unfolded(tables, sink, "new_tags").where(F.col("batch_id") < batch_id)
@@ -132,7 +141,7 @@ def run_batch(
         store.publish({}, high_water=given)
     _write(tagged.new_tags, sink, "new_tags", batch_id)
     _write(tagged.assignments, sink, "assignments", batch_id)
-    _write(routed, sink, "outcomes", batch_id)
+    write_outcomes(routed, sink, batch_id)
 
 
 def _unfolded(tables: Snapshot, sink: str, kind: str) -> DataFrame:
