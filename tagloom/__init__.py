@@ -6,6 +6,7 @@ from tagloom.operators.propose import Facet
 from tagloom.plans.maintenance import (
     clear_tags,
     consolidate,
+    delete_rows,
     list_tags,
     queue_status,
     status,
@@ -24,7 +25,7 @@ from tagloom.streaming.tagging import fold_stream, start_tagging_stream
 
 __all__ = [
     "CJK2", "WORD", "Facet", "Profile", "Settings", "TableStore", "backlog",
-    "clear_tags", "consolidate", "enqueue", "fold_stream", "lexicon_proposer",
+    "clear_tags", "consolidate", "delete_rows", "enqueue", "fold_stream", "lexicon_proposer",
     "list_tags", "model_proposer", "plan_by_similarity", "progress",
     "queue_status", "read_messages", "start_tagging_stream", "status",
     "tag_batch", "terms_proposer",

@@ -11,12 +11,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.codec import tags_from_json, tags_to_json
+from tagloom.session import materialize
 
 
 def _targets(mapping: DataFrame) -> DataFrame:
     return mapping.select(F.col("merge_id").alias("tag_id"), "primary_id")
 
 
+def merge_forest(before: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``merge_id, primary_id``: what every merged tag stands for after ``mapping``.
+
+    ``before`` is the forest so far. Pointers are doubled until none moves, which takes
+    as many rounds as the longest chain has binary digits. A chain that is longer than
+    there are merges is a circle and is refused. An id merges once; later mentions of it
+    are left out.
+    """
+    new = mapping.select("merge_id", "primary_id").dropDuplicates(["merge_id"])
+    old = before.select("merge_id", "primary_id").dropDuplicates(["merge_id"])
+    forest = materialize(
+        old.unionByName(new.join(old.select("merge_id"), "merge_id", "left_anti")), "forest"
+    )
+    for _ in range(forest.count().bit_length() + 1):
+        onward = forest.select(
+            F.col("merge_id").alias("primary_id"), F.col("primary_id").alias("beyond")
+        )
+        forest = materialize(
+            forest.select("merge_id", "primary_id").join(onward, "primary_id", "left").select(
+                "merge_id", F.coalesce("beyond", "primary_id").alias("primary_id"),
+                F.col("beyond").isNotNull().alias("moved"),
+            ),
+            "forest",
+        )
+        if forest.where(F.col("moved") | (F.col("merge_id") == F.col("primary_id"))).isEmpty():
+            return forest.select("merge_id", "primary_id")
+    some = [r["merge_id"] for r in forest.where("moved").orderBy("merge_id").limit(5).collect()]
+    raise ValueError(f"tags merge in a circle, among them {some}")
+
+
 def remap_pairs(pairs: DataFrame, mapping: DataFrame) -> DataFrame:
     """Junction with merged tags replaced by their primary tag.
 

@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def fresh_rows(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``new`` whose key is not in ``base`` yet, one per key."""
+    fresh = new.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti")
+    return fresh.select(*base.columns)
+
+
 def insert_or_ignore(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``base`` plus the rows of ``new`` whose key is not there yet."""
-    fresh = new.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti")
-    return base.unionByName(fresh.select(*base.columns))
+    return base.unionByName(fresh_rows(base, new, keys))
 
 
 def snippets_with_tags(snippets: DataFrame, pairs: DataFrame, tags: DataFrame) -> DataFrame:

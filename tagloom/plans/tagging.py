@@ -19,7 +19,7 @@ from tagloom.config import (
 )
 from tagloom.functions.predicates import after, is_untagged, snippet_by_id
 from tagloom.operators.keyed import (
-    insert_or_ignore,
+    fresh_rows,
     replace_pairs,
     snippet_arrays,
     update_tags_column,
@@ -39,7 +39,7 @@ from tagloom.operators.reports import apply_usage, run_errors, run_stats, usage_
 from tagloom.operators.vocabulary import assign_tags, grow_vocabulary
 from tagloom.session import materialize
 from tagloom.sources.content import Content, content_of, missing_content
-from tagloom.sources.tables import TableStore
+from tagloom.sources.tables import Snapshot, TableStore
 
 # From documents (id, text) to proposals: id, names and optionally error and failed
 # (no names at all; without it every error counts as that).
@@ -153,22 +153,41 @@ def stored_tags(new_tags: DataFrame) -> DataFrame:
     )
 
 
-def apply_to_tables(
-    snippets: DataFrame,
-    tags: DataFrame,
-    pairs: DataFrame,
+@dataclass(frozen=True)
+class Change:
+    """New rows of the buckets of each table that a run touches."""
+
+    frames: dict[str, DataFrame]
+    touched: dict[str, set[int]]
+
+
+def changed_tables(
+    before: Snapshot,
     processed: DataFrame,
     assignments: DataFrame,
     new_rows: DataFrame,
     increments: DataFrame,
-) -> dict[str, DataFrame]:
-    """The three tables after a run: lists, junction, counters and new tags."""
-    grown = insert_or_ignore(tags, new_rows, ["name"])
-    return {
+) -> Change:
+    """Lists, junction, counters and new tags after a run.
+
+    Only buckets that hold a processed snippet, a counted or a new tag are read and
+    written.
+    """
+    fresh = materialize(fresh_rows(before.tags, new_rows, ["name"]), "fresh-tags")
+    increments = materialize(increments, "increments")
+    counted = increments.select("tag_id").unionByName(fresh.select(F.col("id").alias("tag_id")))
+    ids = processed.select("id")
+    touched = {
+        "snippets": before.touched("snippets", ids),
+        "tags": before.touched("tags", counted),
+        "snippet_tags": before.touched("snippet_tags", ids),
+    }
+    snippets, tags, pairs = (before.read(name, touched[name]) for name in touched)
+    return Change({
         "snippets": update_tags_column(snippets, snippet_arrays(processed, assignments)),
-        "tags": apply_usage(grown, increments),
+        "tags": apply_usage(tags.unionByName(fresh), increments),
         "snippet_tags": replace_pairs(pairs, processed, assignments),
-    }
+    }, touched)
 
 
 @dataclass(frozen=True)
@@ -189,8 +208,8 @@ def tag_batch(
 ) -> BatchResult:
     """Tag one snippet, the next page, or with ``batch_size=None`` everything.
 
-    A whole backlog in one call is the efficient way: every table is rewritten
-    once per call, however many snippets it tags. A single snippet counts as no
+    Tables are rewritten by the buckets that hold something new, so a page costs its
+    own buckets and a whole backlog every bucket once. A single snippet counts as no
     page: it leaves ``processed_snippets`` at 0, and its error is raised.
     """
     before = store.init_tables()
@@ -214,12 +233,11 @@ def tag_batch(
         if error is not None:
             raise LookupError(error)
     top = tagged.new_tags.agg(F.max("tag_id")).first()[0]
-    tables = apply_to_tables(
-        snippets, tags, before.snippet_tags,
-        tagged.processed, tagged.assignments, stored_tags(tagged.new_tags),
+    change = changed_tables(
+        before, tagged.processed, tagged.assignments, stored_tags(tagged.new_tags),
         usage_increments(tagged.assignments),
     )
-    after_run = store.publish(tables, high_water=top)
+    after_run = store.publish(change.frames, high_water=top, touched=change.touched)
     stats = run_stats(outcomes, after_run.tags.count())
     cursor = None
     if snippet_id is not None:

@@ -343,6 +343,13 @@ def oracle_sql() -> dict[str, str]:
         "stream_source": with_ctes("msg", """
             SELECT snippet_id, count(*) AS n_messages, max(timestamp) AS last_timestamp,
                    max(attempts) AS most_attempts FROM msg GROUP BY snippet_id"""),
+        "delete_cascade": with_ctes("pairs vocab snip docs", """
+            SELECT p.snippet_id, t.id AS tag_id, t.usage_count, s.author
+            FROM (SELECT * FROM vocab WHERE usage_count <> 1) t LEFT JOIN (
+              SELECT * FROM pairs
+              WHERE snippet_id NOT IN (SELECT id FROM docs WHERE length(text) < 500)
+            ) p ON p.tag_id = t.id
+            LEFT JOIN snip s ON s.id = p.snippet_id"""),
         "enqueue_messages": with_ctes("backlog", """
             SELECT id AS snippet_id, 1704067200000::BIGINT AS timestamp,
                    'medium' AS priority, 1::BIGINT AS attempts FROM backlog"""),

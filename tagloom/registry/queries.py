@@ -165,6 +165,20 @@ def integrity_audit(spark: SparkSession, sf: str) -> DataFrame:
     return integrity_report(v.snippets(spark, sf), v.vocabulary(spark, sf), pairs)
 
 
+@query
+def delete_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags used once and short snippets deleted: the pairs, with what is left of tags."""
+    store = _filled_store(spark, sf, "delete")
+    tables = store.snapshot()
+    used_once = tables.tags.where(F.col("usage_count") == 1).select("id")
+    short = v.docs(spark, sf).where(F.length("text") < 500).select("id")
+    maintenance.delete_rows(store, snippets=short, tags=used_once)
+    after = store.snapshot()
+    tags = after.tags.select(F.col("id").alias("tag_id"), "usage_count")
+    snippets = after.snippets.select(F.col("id").alias("snippet_id"), "author")
+    return after.snippet_tags.join(tags, "tag_id", "full").join(snippets, "snippet_id", "left")
+
+
 @query
 def stream_source(spark: SparkSession, sf: str) -> DataFrame:
     """All messages through a stream: what came out per snippet."""

@@ -25,7 +25,7 @@ from tagloom.operators.reports import usage_increments
 from tagloom.plans.tagging import (
     Proposer,
     Settings,
-    apply_to_tables,
+    changed_tables,
     stored_tags,
     tag_snippets,
 )
@@ -163,8 +163,9 @@ def latest_assignments(
 def final_tags(found: DataFrame, tags: DataFrame, merges: DataFrame) -> DataFrame:
     """``tag_id, final_id``: the tag that each id a stream used stands for now.
 
-    ``found`` are the stream's new tags, ``tags`` the stored ones. Ids that no tag
-    stands for any more have no row.
+    ``found`` are the stream's new tags, ``tags`` the stored ones, ``merges`` a forest
+    in which every merged tag names what it stands for now. Ids that no tag stands for
+    any more have no row; each other id has one.
     """
     stored = tags.groupBy(F.lower("name").alias("key")).agg(F.min("id").alias("stored_id"))
     first = found.groupBy("key").agg(F.min("tag_id").alias("first_id"))
@@ -172,22 +173,10 @@ def final_tags(found: DataFrame, tags: DataFrame, merges: DataFrame) -> DataFram
         "tag_id", F.coalesce("stored_id", "first_id").alias("final_id")
     )
     known = tags.select(F.col("id").alias("tag_id"), F.col("id").alias("final_id"))
-    # follow merges of merges; as many steps as consolidations were chained
-    step = merges.select(F.col("merge_id").alias("tag_id"), F.col("primary_id").alias("at"))
-    onward = merges.select(F.col("merge_id").alias("at"), F.col("primary_id").alias("beyond"))
-    while True:
-        moved = materialize(
-            step.join(onward, "at", "left").select(
-                "tag_id", F.coalesce("beyond", "at").alias("at"),
-                F.col("beyond").isNotNull().alias("moved"),
-            ),
-            "merged",
-        )
-        step = moved.select("tag_id", "at")
-        if moved.where("moved").isEmpty():
-            break
-    merged = step.join(tags.select(F.col("id").alias("at")), "at", "left_semi").select(
-        "tag_id", F.col("at").alias("final_id")
+    merged = merges.select(
+        F.col("merge_id").alias("tag_id"), F.col("primary_id").alias("final_id")
+    ).join(tags.select(F.col("id").alias("final_id")), "final_id", "left_semi").select(
+        "tag_id", "final_id"
     )
     return new.unionByName(known).unionByName(merged)
 
@@ -215,7 +204,7 @@ def fold_stream(store: TableStore, sink: str) -> bool:
         return rows.join(void, "batch_id", "left_anti")
 
     found = valid("new_tags")
-    final = materialize(final_tags(found, before.tags, store.merges()), "final-tags")
+    final = materialize(final_tags(found, before.tags, before.merges), "final-tags")
     assignments = valid("assignments").join(final, "tag_id").withColumn(
         "tag_id", F.col("final_id")
     ).drop("final_id")
@@ -223,11 +212,11 @@ def fold_stream(store: TableStore, sink: str) -> bool:
         final.where(F.col("tag_id") == F.col("final_id")).select("tag_id"), "tag_id", "left_semi"
     )
     processed, latest = latest_assignments(outcomes, assignments)
-    tables = apply_to_tables(
-        before.snippets, before.tags, before.snippet_tags,
-        processed, latest, stored_tags(new_tags), usage_increments(assignments),
+    change = changed_tables(
+        before, processed, latest, stored_tags(new_tags), usage_increments(assignments)
     )
     store.publish(
-        tables, high_water=found.agg(F.max("tag_id")).first()[0], folded={sink: newest}
+        change.frames, high_water=found.agg(F.max("tag_id")).first()[0],
+        folded={sink: newest}, touched=change.touched,
     )
     return True
