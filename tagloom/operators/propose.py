@@ -149,23 +149,20 @@ def term_counts(terms: Column) -> Column:
             e["t"].alias("term"),
         )))
 
-    return _with(F.array_sort(terms), lambda o: _with(starts(o), lambda s: counts(o, s)))
+    return _with(F.sort_array(terms), lambda o: _with(starts(o), lambda s: counts(o, s)))
 
 
 def lexicon_counts(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
     """``id, facet, term, hits`` over the whole text of every document.
 
-    ``lexicon`` is ``term, facet``; repeated rows count once. Each document's words
-    are counted inside its row, so texts are never exchanged and a common word
-    brings a row per document, not per occurrence. Spark broadcasts the lexicon if
-    it is small and splits skewed terms otherwise.
+    ``lexicon`` is ``term, facet``; repeated rows count once. Words meet the lexicon
+    first, so only its own are exchanged, already summed by each task. Spark broadcasts
+    the lexicon if it is small and splits skewed terms otherwise.
     """
-    counted = documents.select(
-        "id", F.explode(term_counts(words(F.col("text")))).alias("t")
-    ).select("id", "t.term", (-F.col("t.rank")).alias("hits"))
-    return counted.join(lexicon.select("term", "facet").distinct(), "term").select(
-        "id", "facet", "term", "hits"
+    found = documents.select("id", F.explode(words(F.col("text"))).alias("term")).join(
+        lexicon.select("term", "facet").distinct(), "term"
     )
+    return found.groupBy("id", "facet", "term").agg(F.count("*").alias("hits"))
 
 
 def propose_with_lexicon(

@@ -10,19 +10,21 @@ names only; occurrences are joined back by name at the end.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.config import MAX_TAGS, SIMILARITY_THRESHOLD
 from tagloom.functions.similarity import allowed_edits
 from tagloom.operators.leaders import followers
 from tagloom.operators.matching import fuzzy_pairs, longest_name
+from tagloom.operators.paging import numbered
 from tagloom.session import materialize
 
 # Names looked at first, per free place in the vocabulary. Only speed depends on
 # it: if they leave room, all remaining names follow.
 NAMES_PER_PLACE = 4
 
+NEW_TAGS = "tag_id bigint, name string, key string, born_id string, born_idx int"
+
 
 def first_seen(proposals: DataFrame) -> DataFrame:
     """``key, first``: distinct lower-cased names with their first occurrence.
@@ -69,13 +71,9 @@ def _leaders(names, theta):
 
 
 def allocate_ids(new: DataFrame, high_water: int, order: str = "first") -> DataFrame:
-    """Adds ``tag_id`` behind the largest id ever used, in ``order``.
-
-    Runs over at most as many rows as the vocabulary has free places, so one
-    partition is enough for the window.
-    """
-    place = F.row_number().over(W.orderBy(order))
-    return new.withColumn("tag_id", place.cast("bigint") + F.lit(high_water))
+    """Adds ``tag_id`` behind the largest id ever used, in ``order``."""
+    placed = numbered(new, order, "place_no")
+    return placed.withColumn("tag_id", F.col("place_no") + F.lit(high_water)).drop("place_no")
 
 
 def grow_vocabulary(
@@ -97,8 +95,10 @@ def grow_vocabulary(
     known = vocabulary.select(F.lower("name").alias("key")).distinct()
     room = max(0, max_tags - n_known)
     mark = top_id if high_water is None else high_water
+    if not room:
+        return proposals.sparkSession.createDataFrame([], NEW_TAGS)
     fresh = materialize(first_seen(proposals).join(known, "key", "left_anti"), "fresh")
-    if room and _similar(theta, fresh, known):
+    if _similar(theta, fresh, known):
         fresh = materialize(_unlike(fresh, known, theta), "unlike")
         head_size = NAMES_PER_PLACE * room
         if fresh.count() > head_size:
@@ -107,8 +107,7 @@ def grow_vocabulary(
             chosen = _leaders(fresh, theta)
     else:
         chosen = fresh
-    kept = chosen.orderBy("first").limit(room)
-    grown = allocate_ids(kept, mark).select(
+    grown = allocate_ids(chosen, mark).where(F.col("tag_id") <= mark + room).select(
         "tag_id",
         F.col("first.name").alias("name"),
         "key",
@@ -124,17 +123,12 @@ def _with_head(fresh, head_size, room, theta):
     Whether a name leads depends on earlier names only, so once the first names
     fill the room the rest cannot add anything.
     """
-    head = materialize(fresh.orderBy("first").limit(head_size), "head")
+    placed = numbered(fresh, "first", "place_no")
+    head = materialize(placed.where(F.col("place_no") <= head_size).drop("place_no"), "head")
     leaders = materialize(_leaders(head, theta), "leaders")
     if leaders.count() >= room:
         return leaders
-    last = head.agg(F.max("first").alias("last")).first()["last"]
-    end_of_head = F.struct(
-        F.lit(last["id"]).alias("id"),
-        F.lit(last["idx"]).cast("int").alias("idx"),
-        F.lit(last["name"]).alias("name"),
-    )
-    rest = fresh.where(F.col("first") > end_of_head)
+    rest = placed.where(F.col("place_no") > head_size).drop("place_no")
     rest = materialize(_unlike(rest, leaders, theta), "rest")
     return leaders.unionByName(_leaders(rest, theta))
 
