@@ -8,74 +8,59 @@ encoding of any longer input runs through one of the last ``lookahead`` places,
 ``lookahead`` being the length of the longest token of the merge list. As soon as
 the encodings of all these places run through one common place, the tokens up to
 it are stable; they are emitted and forgotten. So memory does not grow with the
-word. Words that end within the lookahead need no such bookkeeping: their end is
-in sight and they are merged at once.
-
-Decoding is a state machine too: tokens become bytes, and an incremental UTF-8
-decoder turns bytes into text as characters are completed.
+word. Words within twice the lookahead are emitted once, at their end. A column's
+distinct words go through the transducer once and are kept within bounds of bytes.
+
+Decoding is a state machine too: it takes one token after the other and puts out
+what is complete, either in the vocabulary's alphabet, where every byte is a letter
+and word ends are marked, or as text, where an incremental UTF-8 decoder keeps the
+bytes of a character until it is completed. Word ends bring the machine back to its
+first state, so of a column each distinct word of ids runs through it once.
 """
 
 from __future__ import annotations
 
 import codecs
 import json
-import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 from struct import pack
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm.common import travels_with_tasks, whole, worker_cache
+from tagloom.llm.pieces import WORDS, BoundedCache, ColumnEncoder, byte_letters
 
 END = "</w>"
-CACHED_WORDS = 120_000
-CACHED_PAIRS = 200_000
-
-# White space and word pattern of the vocabulary file's tokenizer.
-SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = regex.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACES + r"\p{L}\p{N}]+"
-)
-# The same for lower-case ASCII text.
-ASCII_WORDS = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+"
-)
-# str.split() also splits at these, the tokenizer doesn't
-SEPARATORS = regex.compile("[\x1c-\x1f]")
-
-
-def byte_letters() -> list[str]:
-    """The printable letter that stands for each byte in the vocabulary.
-
-    Printable Latin-1 bytes stand for themselves, the others for the letters from
-    U+0100 on, in order.
-    """
-    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = iter(range(0x100, 0x200))
-    return [chr(b if b in plain else next(others)) for b in range(256)]
-
+CACHED_PAIRS = 100_000
+CACHED_BEGINNINGS = 50_000
+BEGIN = 6  # letters of a beginning
 
-class Transducer:
+class Transducer(ColumnEncoder):
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
+        super().__init__(30_000_000, 30_000_000)
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         model = config["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.ranks = {tuple(pair): i for i, pair in enumerate(model["merges"])}
+        # by token: rank and parts of the merge that makes it
+        self.made = {a + b: (i, a, b) for (a, b), i in self.ranks.items()}
+        if len(self.made) < len(self.ranks):
+            raise ValueError(f"{path} has tokens that several merges make")
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         spelled = {i: t for t, i in (self.ids | self.special).items()}
         self.tokens = [spelled.get(i, "") for i in range(max(spelled, default=-1) + 1)]
         self.packed = {t: pack("<I", i) for t, i in self.ids.items()}
-        self.letters = str.maketrans({i: c for i, c in enumerate(byte_letters())})
         self.byte_of = {c: b for b, c in enumerate(byte_letters())}
         self.split_special = regex.compile(
             "(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")"
@@ -83,14 +68,25 @@ class Transducer:
         self.length = {t: self._symbols(t) for t in self.ids}
         self.lookahead = max(self.length.values(), default=1)
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.ends = np.array([t.endswith(END) or t in self.special for t in self.tokens])
+        self.longest, self.longest_last = self._longest(False), self._longest(True)
+        self.begun: dict[str, list] = {}
+        self.shown: dict[int, str] = {}
+        self.decoded = BoundedCache(20_000_000)
 
     @staticmethod
     def _symbols(token: str) -> int:
         return len(token.removesuffix(END)) or len(token)
 
+    def _longest(self, last: bool) -> dict[str, int]:
+        """By three letters the length of the longest token that they end."""
+        out: dict[str, int] = {}
+        for token in self.ids:
+            body = token.removesuffix(END)
+            if (body != token) == last and len(body) > 2:
+                out[body[-3:]] = max(out.get(body[-3:], 0), len(body))
+        return out
+
     def merge(self, symbols: list[str]) -> list[str]:
         """Merges of lowest rank first, leftmost first among equals."""
         rank, none = self.ranks.get, len(self.ranks)
@@ -115,14 +111,33 @@ class Transducer:
         return [*body[:-1], body[-1] + END]
 
     def compatible(self, left: str, right: str) -> bool:
+        """Whether merging the two tokens' joined symbols gives just these two back.
+
+        The tokens' merges are undone from the last one on. A merge across the border
+        that would have come before the one undone last makes them incompatible; of
+        equal ranks the one further left comes first.
+        """
         known = self.pairs.get((left, right))
         if known is None:
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
-            joined = self._letters_of(left) + self._letters_of(right)
-            known = self.pairs[left, right] = self.merge(joined) == [left, right]
+            known = self.pairs[left, right] = self._holds(left, right)
         return known
 
+    def _holds(self, left: str, right: str) -> bool:
+        ranks, made = self.ranks, self.made
+        bound = none = len(ranks)
+        while True:
+            if ranks.get((left, right), none) < bound:
+                return False
+            a, b = made.get(left), made.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and a[0] > b[0]):
+                bound, _, left = a
+            else:
+                bound, right = b[0] + 1, b[1]
+
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word's symbols, each as soon as it is stable."""
         base, done = 0, None  # place and last token before the window
@@ -165,62 +180,112 @@ class Transducer:
             place -= self.length[out[-1]]
         return out[::-1]
 
-    def word(self, word: str) -> bytes:
-        """Packed ids of one word of normalized text."""
-        known = self.words.get(word)
-        if known is None:
-            letters = word.encode("utf-8").decode("latin-1").translate(self.letters)
-            symbols = [*letters[:-1], letters[-1] + END]
-            tokens = self.merge(symbols) if len(symbols) <= self.lookahead else self.stream(symbols)
-            known = b"".join([self.packed[t] for t in tokens])
-            if len(word) <= self.lookahead:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[word] = known
-        return known
+    def transduce(self, letters: str) -> list[str]:
+        """Tokens of a word's letters; the last one ends the word."""
+        n = len(letters)
+        if n > 2 * self.lookahead:
+            return list(self.stream([*letters[:-1], letters[-1] + END]))
+        known, out, place = self.length, [], n
+        # words share beginnings, and what was read there doesn't depend on the rest
+        begun = self.begun.get(letters[:BEGIN]) if n > BEGIN else None
+        if begun is None:
+            begun = [None]
+            self._read_on(letters, begun, min(BEGIN + 1, n))
+            if n > BEGIN:
+                if len(self.begun) >= CACHED_BEGINNINGS:
+                    self.begun.clear()
+                self.begun[letters[:BEGIN]] = begun
+        last = begun.copy()
+        self._read_on(letters, last, n)
+        self._read_on(letters + END, last, n + 1, n)
+        while place:
+            out.append(last[place])
+            place -= known[last[place]]
+        return out[::-1]
+
+    def _read_on(self, letters: str, last: list, stop: int, width: int = 0) -> None:
+        """Adds the last tokens of the places before ``stop`` to those known.
+
+        With ``width`` the letters after that many belong to the last place.
+        """
+        known, pairs, compatible = self.length, self.pairs, self.compatible
+        longest = self.longest_last if width else self.longest
+        for place in range(len(last), stop):
+            end = len(letters) if place == width else place
+            most = longest.get(letters[place - 3: place], 2) if place > 2 else 2
+            for first in range(max(0, place - most), place):
+                token = letters[first:end]
+                if token in known and (
+                    not first or pairs.get((last[first], token)) or compatible(last[first], token)
+                ):
+                    last.append(token)
+                    break
+
+    def merged(self, word: str) -> bytes:
+        return b"".join([self.packed[t] for t in self.transduce(word)])
 
     def _normalized(self, text: str) -> bytes:
         """White space takes part in no word, so it need not be made uniform."""
-        if text.isascii():
-            return b"".join(map(self.word, ASCII_WORDS.findall(text.lower())))
         text = unicodedata.normalize("NFC", text)
         # lower-cased letter by letter, without the rule for a sigma at a word's end
         text = text.replace("\u03a3", "\u03c3").lower()
-        return b"".join(map(self.word, WORDS.findall(text)))
+        return b"".join([self.merged(self._spelled(w)) for w in WORDS.findall(text)])
 
-    def _chunk(self, chunk: str) -> bytes:
-        known = self.older.get(chunk)
-        if known is None:
-            known = self._normalized(chunk)
-        if len(chunk) <= self.lookahead:
-            if len(self.chunks) >= CACHED_WORDS:
-                # what is in use comes back from here
-                self.older = dict(self.chunks)
-                self.chunks.clear()
-            self.chunks[chunk] = known
-        return known
+    def strange(self, texts: list[str]) -> list[bytes]:
+        return list(map(self.encode, texts))
 
-    def _plain(self, text: str) -> bytes:
-        """Between white space nothing depends on the rest of the text."""
-        if SEPARATORS.search(text):
-            return self._normalized(text)
-        known, chunk = self.chunks.get, self._chunk
-        return b"".join([known(c) or chunk(c) for c in text.split()])
+    def _spelled(self, word: str) -> str:
+        return word.encode("utf-8").decode("latin-1").translate(self.letters)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null or empty: none."""
         if not text:
             return b""
         if self.split_special is None or not any(s in text for s in self.special):
-            return self._plain(text)
+            return self._normalized(text)
         return b"".join(
-            pack("<I", self.special[part]) if part in self.special else self._plain(part)
+            pack("<I", self.special[part]) if part in self.special else self._normalized(part)
             for part in self.split_special.split(text)
         )
 
-    def vocabulary_text(self, packed: bytes | None) -> str:
-        """The tokens as the vocabulary spells them, a space between any two."""
-        return " ".join(map(self.tokens.__getitem__, np.frombuffer(packed or b"", "<u4").tolist()))
+    def vocabulary_text(self, packed: bytes) -> str:
+        """The state machine's output in the vocabulary's alphabet, a space per token."""
+        ids, shown = np.frombuffer(packed, "<u4").tolist(), self.shown
+        return " ".join([shown.get(i) or self._shown(i) for i in ids])
+
+    def _shown(self, i: int) -> str:
+        """What the machine puts out for a token in the vocabulary's alphabet."""
+        token = self.tokens[i]
+        body = token.removesuffix(END)
+        if token not in self.special:
+            raw = bytes([self.byte_of[c] for c in (body or token)])
+            text = raw.decode("latin-1").translate(self.letters)
+            token = text + END if body and body != token else text
+        return self.shown.setdefault(i, token)
+
+    def spellings(self, ids: np.ndarray, borders: np.ndarray) -> pa.Array:
+        """Spelled texts of the documents between ``borders`` of concatenated ids."""
+        if not len(ids):
+            return pa.array([""] * (len(borders) - 1), pa.string())
+        last = self.ends[ids]
+        last[borders[borders > 0] - 1] = True
+        cuts = np.concatenate([[0], np.flatnonzero(last) + 1]).astype(np.int32)
+        words = pa.Array.from_buffers(
+            pa.binary(), len(cuts) - 1,
+            [None, pa.py_buffer(4 * cuts), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))],
+        ).dictionary_encode()
+        shown = []
+        for packed in words.dictionary.to_pylist():
+            text = self.decoded.get(packed)
+            if text is None:
+                text = self.decoded.older.get(packed) or self.vocabulary_text(packed)
+                self.decoded.keep(packed, text)
+            shown.append(text)
+        places = np.searchsorted(cuts, borders).astype(np.int32)
+        by_document = pa.ListArray.from_arrays(
+            pa.array(places), pa.array(shown, pa.string()).take(words.indices)
+        )
+        return pc.binary_join(by_document, " ")
 
     def pieces(self, packed: bytes | None) -> Iterator[str]:
         """Text that each token completes; word ends become spaces.
@@ -254,19 +319,23 @@ def transducer(path: str) -> Transducer:
 
 def encode_column(text: Column, path: str) -> Column:
     """Packed ids of a text column; null as empty text."""
-    @F.pandas_udf(T.BinaryType())
-    def encode(texts: pd.Series) -> pd.Series:
-        return texts.map(transducer(path).encode, na_action=None)
+    @F.arrow_udf(T.BinaryType())
+    def encode(texts: pa.Array) -> pa.Array:
+        return pa.array([ids.tobytes() for ids in transducer(path).encode_column(texts)], pa.binary())
 
     return encode(whole(text))
 
 
 def decode_column(packed: Column, path: str, readable: bool = False) -> Column:
     """Text of packed ids: the vocabulary's spelling, or ``readable`` text."""
-    @F.pandas_udf(T.StringType())
-    def decode(ids: pd.Series) -> pd.Series:
-        machine = transducer(path)
-        return ids.map(machine.text if readable else machine.vocabulary_text)
+    @F.arrow_udf(T.StringType())
+    def decode(packed: pa.Array) -> pa.Array:
+        machine, known = transducer(path), packed.to_pylist()
+        if readable:
+            return pa.array(map(machine.text, known), pa.string())
+        sizes = np.array([len(ids or b"") // 4 for ids in known], np.int64)
+        ids = np.frombuffer(b"".join(ids or b"" for ids in known), "<u4")
+        return machine.spellings(ids, np.concatenate([[0], np.cumsum(sizes)]))
 
     return decode(packed)
 

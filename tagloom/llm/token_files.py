@@ -19,22 +19,20 @@ in no manifest, so it is never read.
 from __future__ import annotations
 
 import io
-import re
 import uuid
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.bpe import WORDS, byte_letters
 from tagloom.llm.common import travels_with_tasks, whole, worker_cache
+from tagloom.llm.pieces import ColumnEncoder
 
 MAGIC = b"WORDIDS1"
 BLOCK_IDS = 1 << 16
@@ -213,157 +211,26 @@ class FileReader:
         return np.concatenate(parts)[start - before: stop - before]
 
 
-class BoundedCache(dict):
-    """Known encodings in two generations of about ``limit`` bytes each.
-
-    What is in use comes back from the older generation.
-    """
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.held, self.older = limit, 0, {}
-
-    def keep(self, key: str, value: bytes) -> bytes:
-        if self.held > self.limit:
-            self.older, self.held = dict(self), 0
-            self.clear()
-        self[key] = value
-        self.held += 220 + len(key) + len(value)
-        return value
-
-
-def _bytes_in(letters: bytes) -> np.ndarray:
-    return np.isin(np.arange(256), list(letters))
+class LibraryEncoder(ColumnEncoder):
+    """The library's ids: its model merges words, all else goes through it whole."""
 
-
-MARK, LETTER, SPACE = _bytes_in(b".,;:!?"), _bytes_in(bytes(range(97, 123))), _bytes_in(b" \t\n\v\f\r")
-
-
-def part_marks(texts: pa.Array) -> pa.Array:
-    """Lower-case texts with a space between a letter and marks that end a piece.
-
-    Such marks are a word of their own, so words mostly come without them.
-    """
-    offsets = np.frombuffer(texts.buffers()[1], "<i4", len(texts) + 1)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8, int(offsets[-1]))
-    if not len(data):
-        return texts
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets] = True
-    mark = MARK[data]
-    joins = mark[:-1] & mark[1:] & ~first[1:-1]
-    starts, ends = mark.copy(), mark.copy()
-    starts[1:] &= ~joins
-    ends[:-1] &= ~joins
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
-    follows = ~first[starts] & LETTER[data[starts - 1]]
-    closes = first[ends + 1] | SPACE[data[np.minimum(ends + 1, len(data) - 1)]]
-    places = starts[follows & closes]
-    parted = np.insert(data, places, 32)
-    offsets = (offsets + np.searchsorted(places, offsets)).astype("<i4")
-    return pa.Array.from_buffers(
-        pa.string(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(parted)]
-    )
-
-
-class ColumnEncoder:
-    """The library's ids of a column of texts, worked out once per distinct piece.
-
-    No token spans white space, so a piece's ids don't depend on the text around it.
-    Pieces of Latin letters and printable ASCII are cut into words here, and the
-    library's model merges each word; all other pieces, and texts that may hold special
-    tokens, go through the library whole.
-    """
-
-    SLICE = 1 << 24
-    LATIN = re.compile("[!-~\xa1-\xac\xae-\u024f]+")
-    # The words of lower-case ASCII without white space.
-    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    KEEP_WORDS = False
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__(60_000_000, 20_000_000)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.merge = self.library.model.tokenize
-        self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        self.pieces, self.words = BoundedCache(80_000_000), BoundedCache(40_000_000)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _merged(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode("utf-8").decode("latin-1").translate(self.letters)
+    def merged(self, word: str) -> bytes:
         return array("I", [t.id for t in self.merge(word)]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        return self.words.keep(word, self.words.older.get(word) or self._merged(word))
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece of Latin letters."""
-        words = self.ASCII.findall(piece) if piece.isascii() else WORDS.findall(piece.lower())
-        if len(words) == 1:
-            return self._merged(words[0])
-        known = self.words.get
-        return b"".join([known(w) or self._word(w) for w in words])
-
-    def _distinct(self, pieces: list[str]) -> list[bytes]:
-        known, older, keep = self.pieces.get, self.pieces.older, self.pieces.keep
-        out, latin = list(map(known, pieces)), self.LATIN.fullmatch
-        strange = []
-        for spot in [i for i, found in enumerate(out) if found is None]:
-            piece = pieces[spot]
-            found = older.get(piece)
-            if found is None:
-                if not latin(piece):
-                    strange.append(spot)
-                    continue
-                found = self._piece(piece)
-            out[spot] = keep(piece, found) if len(piece) < 100 else found
-        for spot, found in zip(strange, self._library([pieces[i] for i in strange])):
-            out[spot] = keep(pieces[spot], found) if len(pieces[spot]) < 100 else found
-        return out
-
-    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
-        if len(special):
-            whole_texts = texts.take(pa.array(special)).to_pylist()
-            mask = np.zeros(len(texts), bool)
-            mask[special] = True
-            texts = pc.if_else(pa.array(mask), "", texts)
-        split = pc.ascii_split_whitespace(part_marks(pc.ascii_lower(texts)))
-        coded = split.flatten().dictionary_encode()
-        found = self._distinct(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        firsts = np.cumsum(sizes, dtype=np.int32) - sizes
-        ids = np.frombuffer(b"".join(found), "<u4")
-        codes = coded.indices.to_numpy()
-        own = sizes[codes]
-        ends = np.zeros(len(own) + 1, np.int32)
-        np.cumsum(own, out=ends[1:])
-        spots = np.repeat(firsts[codes] - ends[:-1], own)
-        spots += np.arange(ends[-1], dtype=np.int32)
-        borders = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        ids, counts = ids[spots], np.diff(borders)
-        if len(special):
-            parts = np.split(ids, borders[1:-1])
-            for spot, raw in zip(special.tolist(), self._library(whole_texts)):
-                parts[spot] = np.frombuffer(raw, "<u4")
-            ids, counts = np.concatenate(parts), np.array(list(map(len, parts)))
-        return ids, counts
-
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """32-bit ids of each text; none may be null."""
-        sizes = pc.binary_length(texts).to_numpy()
-        at = 0
-        while at < len(texts):
-            stop = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at:]), self.SLICE)))
-            ids, counts = self._slice(texts.slice(at, stop - at))
-            yield from np.split(ids, np.cumsum(counts)[:-1])
-            at = stop
+    def strange(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
 
 def _file_system(folder: str):
@@ -381,7 +248,7 @@ def _write_part(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keeper = worker_cache("library encoder")
         if path not in keeper:
-            keeper[path] = ColumnEncoder(path)
+            keeper[path] = LibraryEncoder(path)
         encoder, part = keeper[path], TaskContext.get().partitionId()
         system, root = _file_system(folder)
         system.create_dir(root, recursive=True)
@@ -395,7 +262,7 @@ def _write_part(
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for doc_id, ids in zip(doc_ids, encoder.encode(batch.column(1))):
+            for doc_id, ids in zip(doc_ids, encoder.encode_column(batch.column(1))):
                 if writer is None:
                     name = f"ids-{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.bin"
                     writer = FileWriter(system.open_output_stream(f"{root}/{name}"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import travels_with_tasks, whole
+from tagloom.llm.common import travels_with_tasks, whole, worker_cache
 from tagloom.session import materialize
 
 TRAIN_ROWS = 40_000
@@ -187,9 +187,17 @@ def features(machine: ahocorasick.Automaton, texts: Iterable[str]) -> np.ndarray
                 for word in words:
                     places[at] = there
                     at, there = at + len(word) + 2, there + len(word) + 1
-                for start in list(best):
-                    spot = places.get(start, -1)
-                    if any(a <= spot < b for a, b in excepted):
+                # both in order: how far the exceptions that began so far reach
+                excepted.sort()
+                reach = began = 0
+                for start in sorted(best):
+                    spot = places.get(start)
+                    if spot is None:
+                        continue
+                    while began < len(excepted) and excepted[began][0] <= spot:
+                        reach = max(reach, excepted[began][1])
+                        began += 1
+                    if spot < reach:
                         del best[start]
             total = sum(best.values())
         out.append((math.log1p(total), 100 * total / (len(words) + 20)))
@@ -225,6 +233,7 @@ def learn(
         return model
 
     def measure(batches):
+        worker_cache("toxicity")
         machine = model.automaton()
         for batch in batches:
             x = features(machine, batch["text"])
@@ -241,6 +250,7 @@ def score_column(text: Column, model: ToxicityModel) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_cache("toxicity")
         machine = model.automaton()
         for texts in batches:
             x = features(machine, texts)
