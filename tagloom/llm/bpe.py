@@ -25,8 +25,9 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
-from struct import pack
+from struct import pack, unpack
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,12 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagloom.llm.common import travels_with_tasks, whole, worker_cache
-from tagloom.llm.pieces import WORDS, BoundedCache, ColumnEncoder, byte_letters
+from tagloom.llm.pieces import WORDS, ColumnEncoder, byte_letters
 
 END = "</w>"
 CACHED_PAIRS = 100_000
-CACHED_BEGINNINGS = 50_000
-BEGIN = 6  # letters of a beginning
+MARK = "\0"  # no letter stands for it
 
 class Transducer(ColumnEncoder):
     """Encoder and decoder of one vocabulary file."""
@@ -69,23 +69,26 @@ class Transducer(ColumnEncoder):
         self.lookahead = max(self.length.values(), default=1)
         self.pairs: dict[tuple[str, str], bool] = {}
         self.ends = np.array([t.endswith(END) or t in self.special for t in self.tokens])
-        self.longest, self.longest_last = self._longest(False), self._longest(True)
-        self.begun: dict[str, list] = {}
+        self.suffixes = self._suffixes()
         self.shown: dict[int, str] = {}
-        self.decoded = BoundedCache(20_000_000)
 
     @staticmethod
     def _symbols(token: str) -> int:
         return len(token.removesuffix(END)) or len(token)
 
-    def _longest(self, last: bool) -> dict[str, int]:
-        """By three letters the length of the longest token that they end."""
-        out: dict[str, int] = {}
+    def _suffixes(self) -> ahocorasick.Automaton:
+        """Finds all tokens that end at a letter; ``MARK`` stands for a word's end."""
+        machine = ahocorasick.Automaton()
         for token in self.ids:
+            if token in self.special:
+                continue
             body = token.removesuffix(END)
-            if (body != token) == last and len(body) > 2:
-                out[body[-3:]] = max(out.get(body[-3:], 0), len(body))
-        return out
+            if body and body != token:
+                machine.add_word(body + MARK, (len(body) + 1, token))
+            else:
+                machine.add_word(token, (len(token), token))
+        machine.make_automaton()
+        return machine
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Merges of lowest rank first, leftmost first among equals."""
@@ -185,44 +188,30 @@ class Transducer(ColumnEncoder):
         n = len(letters)
         if n > 2 * self.lookahead:
             return list(self.stream([*letters[:-1], letters[-1] + END]))
-        known, out, place = self.length, [], n
-        # words share beginnings, and what was read there doesn't depend on the rest
-        begun = self.begun.get(letters[:BEGIN]) if n > BEGIN else None
-        if begun is None:
-            begun = [None]
-            self._read_on(letters, begun, min(BEGIN + 1, n))
-            if n > BEGIN:
-                if len(self.begun) >= CACHED_BEGINNINGS:
-                    self.begun.clear()
-                self.begun[letters[:BEGIN]] = begun
-        last = begun.copy()
-        self._read_on(letters, last, n)
-        self._read_on(letters + END, last, n + 1, n)
-        while place:
-            out.append(last[place])
-            place -= known[last[place]]
-        return out[::-1]
-
-    def _read_on(self, letters: str, last: list, stop: int, width: int = 0) -> None:
-        """Adds the last tokens of the places before ``stop`` to those known.
-
-        With ``width`` the letters after that many belong to the last place.
-        """
-        known, pairs, compatible = self.length, self.pairs, self.compatible
-        longest = self.longest_last if width else self.longest
-        for place in range(len(last), stop):
-            end = len(letters) if place == width else place
-            most = longest.get(letters[place - 3: place], 2) if place > 2 else 2
-            for first in range(max(0, place - most), place):
-                token = letters[first:end]
-                if token in known and (
-                    not first or pairs.get((last[first], token)) or compatible(last[first], token)
-                ):
-                    last.append(token)
-                    break
+        pairs, compatible, lengths = self.pairs, self.compatible, self.length
+        last: list = [None] * (n + 1)  # by letter; then the one that ends the word
+        # tokens that end at each place, from the longest on
+        for place, (size, token) in self.suffixes.iter(letters + MARK):
+            if last[place] is None:
+                first = place - size
+                if first < 0:
+                    last[place] = token
+                else:
+                    before = last[first]
+                    holds = pairs.get((before, token))
+                    if holds or (holds is None and compatible(before, token)):
+                        last[place] = token
+        out, place, token = [], n - 1, last[n]
+        while True:
+            out.append(token)
+            place -= lengths[token]
+            if place < 0:
+                return out[::-1]
+            token = last[place]
 
     def merged(self, word: str) -> bytes:
-        return b"".join([self.packed[t] for t in self.transduce(word)])
+        packed = self.packed
+        return b"".join([packed[t] for t in self.transduce(word)])
 
     def _normalized(self, text: str) -> bytes:
         """White space takes part in no word, so it need not be made uniform."""
@@ -250,8 +239,8 @@ class Transducer(ColumnEncoder):
 
     def vocabulary_text(self, packed: bytes) -> str:
         """The state machine's output in the vocabulary's alphabet, a space per token."""
-        ids, shown = np.frombuffer(packed, "<u4").tolist(), self.shown
-        return " ".join([shown.get(i) or self._shown(i) for i in ids])
+        shown = self.shown.get
+        return " ".join([shown(i) or self._shown(i) for i in unpack(f"<{len(packed) // 4}I", packed)])
 
     def _shown(self, i: int) -> str:
         """What the machine puts out for a token in the vocabulary's alphabet."""
@@ -274,13 +263,7 @@ class Transducer(ColumnEncoder):
             pa.binary(), len(cuts) - 1,
             [None, pa.py_buffer(4 * cuts), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))],
         ).dictionary_encode()
-        shown = []
-        for packed in words.dictionary.to_pylist():
-            text = self.decoded.get(packed)
-            if text is None:
-                text = self.decoded.older.get(packed) or self.vocabulary_text(packed)
-                self.decoded.keep(packed, text)
-            shown.append(text)
+        shown = list(map(self.vocabulary_text, words.dictionary.to_pylist()))
         places = np.searchsorted(cuts, borders).astype(np.int32)
         by_document = pa.ListArray.from_arrays(
             pa.array(places), pa.array(shown, pa.string()).take(words.indices)
@@ -360,4 +343,25 @@ def decode_documents(encoded: DataFrame, path: str, readable: bool = False) -> D
     return encoded.withColumn("decoded", decode_column(F.col("ids"), path, readable))
 
 
+def code_documents(
+    docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``encode_documents`` and ``decode_documents`` in one pass over the texts.
+
+    Nested, the second function would have the first one's work done twice.
+    """
+    @F.arrow_udf("ids binary, decoded string")
+    def code(texts: pa.Array) -> pa.Array:
+        machine = transducer(path)
+        found = list(machine.encode_column(texts))
+        borders = np.cumsum([0, *map(len, found)])
+        ids = np.concatenate(found) if found else np.zeros(0, "<u4")
+        packed = pa.array([own.tobytes() for own in found], pa.binary())
+        return pa.StructArray.from_arrays([packed, machine.spellings(ids, borders)], ["ids", "decoded"])
+
+    coded = docs.select(F.col(id_col).alias("doc_id"), code(whole(F.col(text))).alias("coded"))
+    n_tokens = (F.octet_length("coded.ids") / 4).cast("bigint").alias("n_tokens")
+    return coded.select("doc_id", n_tokens, "coded.ids", "coded.decoded")
+
+
 travels_with_tasks(__name__)

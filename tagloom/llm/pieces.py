@@ -100,7 +100,7 @@ class ColumnEncoder:
 
     SLICE = 1 << 24
     # Whether pieces of one word are also kept as words; worth it if words cost much.
-    KEEP_WORDS = True
+    KEEP_WORDS = False
 
     def __init__(self, piece_bytes: int, word_bytes: int):
         self.letters = str.maketrans(dict(enumerate(byte_letters())))

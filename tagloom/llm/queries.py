@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm.bpe import decode_documents, encode_documents
+from tagloom.llm.bpe import code_documents
 from tagloom.llm.common import sha256_hex, table
 from tagloom.llm.conversation_repair import damage, repair_conversations
 from tagloom.llm.fingerprints import fingerprint_edits
@@ -50,9 +50,7 @@ def op2_html_extraction(spark, sf):
 
 @query
 def op3_bpe_coding(spark, sf):
-    path = word_bpe()
-    encoded = encode_documents(table(spark, sf, "documents"), path)
-    return decode_documents(encoded, path).select(
+    return code_documents(table(spark, sf, "documents"), word_bpe()).select(
         "doc_id", "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"),
     )

@@ -55,3 +55,14 @@ def test_long_and_odd_columns_round_trip():
     shown = own.spellings(np.concatenate(ids), np.array(borders)).to_pylist()
     assert shown == [own.vocabulary_text(i.tobytes()) for i in ids]
     assert own.text(ids[3].tobytes()) == "é ü . "
+
+
+def test_both_ways_at_once(spark):
+    rows = [(1, "the trash, talk."), (2, None), (2, ""), (None, "é <|endoftext|>")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = word_bpe()
+    both = bpe.code_documents(docs, path)
+    after = bpe.decode_documents(bpe.encode_documents(docs, path), path)
+    assert both.columns == after.columns
+    assert sorted(map(str, both.collect())) == sorted(map(str, after.collect()))
+    assert bpe.code_documents(docs.limit(0), path).collect() == []
