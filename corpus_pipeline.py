@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import toxicity as tox
-from tagloom.llm.bpe import decode_documents, encode_documents
+from tagloom.llm.bpe import code_documents
 from tagloom.llm.common import table
 from tagloom.llm.line_dedup import dedup_lines
 from tagloom.llm.mixing import mix_documents
@@ -68,9 +68,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document (packed), their number, and the text they decode to."""
-    path = word_bpe()
-    return decode_documents(encode_documents(docs, path), path)
+    """``doc_id``, ``n_tokens``, ``ids`` (packed) and the text they decode to, a row each.
+
+    A null text has no ids; an empty table gives no rows. Other columns end here.
+    """
+    return code_documents(docs, word_bpe())
 
 
 STAGES = [
