@@ -36,11 +36,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import travels_with_tasks, whole, worker_cache
+from tagloom.llm.common import then_release, travels_with_tasks, whole, worker_cache
 from tagloom.llm.pieces import WORDS, ColumnEncoder, byte_letters
 
 END = "</w>"
 CACHED_PAIRS = 100_000
+CODED_IDS = 1 << 20  # ids that are decoded and handed on together
 MARK = "\0"  # no letter stands for it
 
 class Transducer(ColumnEncoder):
@@ -350,18 +351,31 @@ def code_documents(
 
     Nested, the second function would have the first one's work done twice.
     """
-    @F.arrow_udf("ids binary, decoded string")
-    def code(texts: pa.Array) -> pa.Array:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
-        found = list(machine.encode_column(texts))
-        borders = np.cumsum([0, *map(len, found)])
-        ids = np.concatenate(found) if found else np.zeros(0, "<u4")
+        for batch in batches:
+            done, found, held = 0, [], 0
+            for ids in machine.encode_column(batch.column(1)):
+                found.append(ids)
+                held += len(ids)
+                if held > CODED_IDS:
+                    yield coded(machine, batch.column(0).slice(done, len(found)), found)
+                    done, found, held = done + len(found), [], 0
+            yield coded(machine, batch.column(0).slice(done, len(found)), found)
+
+    def coded(machine: Transducer, doc_ids: pa.Array, found: list) -> pa.RecordBatch:
+        sizes = np.array(list(map(len, found)), np.int64)
+        ids = np.concatenate([np.zeros(0, "<u4"), *found])
+        shown = machine.spellings(ids, np.cumsum([0, *sizes]))
         packed = pa.array([own.tobytes() for own in found], pa.binary())
-        return pa.StructArray.from_arrays([packed, machine.spellings(ids, borders)], ["ids", "decoded"])
-
-    coded = docs.select(F.col(id_col).alias("doc_id"), code(whole(F.col(text))).alias("coded"))
-    n_tokens = (F.octet_length("coded.ids") / 4).cast("bigint").alias("n_tokens")
-    return coded.select("doc_id", n_tokens, "coded.ids", "coded.decoded")
+        columns = [doc_ids, pa.array(sizes), packed, shown]
+        return pa.record_batch(columns, names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    own = docs.select(F.col(id_col).alias("doc_id"), whole(F.col(text)).alias("text"))
+    return own.mapInArrow(then_release(code), T.StructType([
+        own.schema["doc_id"], T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType()),
+    ]))
 
 
 travels_with_tasks(__name__)

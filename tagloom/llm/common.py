@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import uuid
 from types import ModuleType
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,4 +94,28 @@ def worker_cache(name: str) -> dict:
     return keeper.held
 
 
+def release_worker() -> None:
+    """Gives up what the worker process has kept, back to the machine."""
+    keeper = sys.modules.get("_tagloom_worker")
+    if keeper is not None:
+        keeper.current, keeper.held = None, {}
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def then_release(work):
+    """A function over a partition's batches that leaves nothing in the worker."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release_worker()
+
+    return run
+
+
 travels_with_tasks(__name__)

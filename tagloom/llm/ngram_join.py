@@ -29,7 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import travels_with_tasks, whole, worker_cache, write_bucketed
+from tagloom.llm.common import (
+    then_release,
+    travels_with_tasks,
+    whole,
+    worker_cache,
+    write_bucketed,
+)
 from tagloom.llm.components import components
 from tagloom.session import materialize, scratch_path
 
@@ -105,7 +111,7 @@ def frequent_ngrams(docs: DataFrame, size: int, sample_docs: int = SAMPLE_DOCS)
 
     sample = docs.select("text").sample(min(1.0, sample_docs / total), 11)
     rows = (
-        sample.mapInPandas(explode, "gram long").groupBy("gram").count()
+        sample.mapInPandas(then_release(explode), "gram long").groupBy("gram").count()
         .where(F.col("count") >= SAMPLE_COUNT)
         .orderBy(F.desc("count"), "gram").limit(MAX_FREQUENT).select("gram").toPandas()
     )
@@ -134,7 +140,7 @@ def signatures(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -
             yield out.assign(doc_id=batch["doc_id"].array)
 
     return docs.select("doc_id", "text").mapInPandas(
-        sign, "n long, s1 long, s2 long, prefix array<long>, doc_id long"
+        then_release(sign), "n long, s1 long, s2 long, prefix array<long>, doc_id long"
     )
 
 
@@ -164,7 +170,7 @@ def overlaps(pairs: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
             yield pd.DataFrame(rows, columns=["a", "b", "na", "nb", "part", "overlap"])
 
     return pairs.select("a", "b", "ta", "tb").mapInPandas(
-        count, "a long, b long, na long, nb long, part int, overlap long"
+        then_release(count), "a long, b long, na long, nb long, part int, overlap long"
     )
 
 

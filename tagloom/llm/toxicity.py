@@ -24,7 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagloom.llm.common import travels_with_tasks, whole, worker_cache
+from tagloom.llm.common import (
+    release_worker,
+    then_release,
+    travels_with_tasks,
+    whole,
+    worker_cache,
+)
 from tagloom.session import materialize
 
 TRAIN_ROWS = 40_000
@@ -239,7 +245,7 @@ def learn(
             x = features(machine, batch["text"])
             yield pd.DataFrame({"x0": x[:, 0], "x1": x[:, 1], "label": batch["label"]})
 
-    measured = known.mapInPandas(measure, "x0 double, x1 double, label int").toPandas()
+    measured = known.mapInPandas(then_release(measure), "x0 double, x1 double, label int").toPandas()
     x, y = measured[["x0", "x1"]].to_numpy(), measured["label"].to_numpy(float)
     return ToxicityModel(lexicon, tuple(exceptions), fit_logistic(x, y))
 
@@ -252,10 +258,13 @@ def score_column(text: Column, model: ToxicityModel) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         worker_cache("toxicity")
         machine = model.automaton()
-        for texts in batches:
-            x = features(machine, texts)
-            z = constant + total * x[:, 0] + density * np.log1p(x[:, 1])
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        try:
+            for texts in batches:
+                x = features(machine, texts)
+                z = constant + total * x[:, 0] + density * np.log1p(x[:, 1])
+                yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        finally:
+            release_worker()
 
     return score(whole(text))
 
