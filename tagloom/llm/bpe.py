@@ -40,15 +40,15 @@ from tagloom.llm.common import then_release, travels_with_tasks, whole, worker_c
 from tagloom.llm.pieces import WORDS, ColumnEncoder, byte_letters
 
 END = "</w>"
-CACHED_PAIRS = 100_000
-CODED_IDS = 1 << 20  # ids that are decoded and handed on together
+CACHED_PAIRS = 50_000
+CODED_IDS = 1 << 19  # ids that are decoded and handed on together
 MARK = "\0"  # no letter stands for it
 
 class Transducer(ColumnEncoder):
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
-        super().__init__(30_000_000, 30_000_000)
+        super().__init__(12_000_000, 12_000_000)
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         model = config["model"]
@@ -360,6 +360,7 @@ def code_documents(
                 held += len(ids)
                 if held > CODED_IDS:
                     yield coded(machine, batch.column(0).slice(done, len(found)), found)
+                    pa.default_memory_pool().release_unused()
                     done, found, held = done + len(found), [], 0
             yield coded(machine, batch.column(0).slice(done, len(found)), found)
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import travels_with_tasks, whole, worker_cache
+from tagloom.llm.common import release_worker, then_release, travels_with_tasks, whole, worker_cache
 from tagloom.session import materialize
 
 TRAIN_ROWS = 40_000
@@ -107,7 +107,7 @@ def fit_domains(rows: DataFrame, domains: int) -> DomainModel:
 
     usable = rows.where(F.col("domain").between(0, domains - 1))
     counts = (
-        usable.where(F.col("fold") != 0).mapInPandas(count, "domain int, bin long, seen long")
+        usable.where(F.col("fold") != 0).mapInPandas(then_release(count), "domain int, bin long, seen long")
         .groupBy("domain", "bin").agg(F.sum("seen").alias("seen")).toPandas()
     )
     table = np.full((BINS, domains), 0.5)
@@ -125,7 +125,7 @@ def fit_domains(rows: DataFrame, domains: int) -> DomainModel:
             })
 
     held = (
-        usable.where(F.col("fold") == 0).mapInPandas(measure, "evidence array<double>, domain int")
+        usable.where(F.col("fold") == 0).mapInPandas(then_release(measure), "evidence array<double>, domain int")
         .toPandas()
     )
     return _calibrated(plain, held, domains)
@@ -151,15 +151,19 @@ def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.weights, model.bias))
 
     @F.pandas_udf("n_tokens long, posterior array<double>")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = DomainModel(*shared.value)
-        found = [word_bins(text) for text in texts]
-        evidence = np.array([own.evidence(bins) for bins, _ in found])
-        evidence = evidence.reshape(len(found), -1)
-        return pd.DataFrame({
-            "n_tokens": np.array([n for _, n in found], np.int64),
-            "posterior": list(own.posterior(evidence)),
-        })
+        try:
+            for texts in batches:
+                found = [word_bins(text) for text in texts]
+                evidence = np.array([own.evidence(bins) for bins, _ in found])
+                evidence = evidence.reshape(len(found), -1)
+                yield pd.DataFrame({
+                    "n_tokens": np.array([n for _, n in found], np.int64),
+                    "posterior": list(own.posterior(evidence)),
+                })
+        finally:
+            release_worker()
 
     kept = [c for c in docs.columns if c != "text"]
     return docs.withColumn("found", predict(whole("text"))).select(*kept, "found.*")

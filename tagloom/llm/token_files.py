@@ -215,6 +215,7 @@ class LibraryEncoder(ColumnEncoder):
     """The library's ids: its model merges words, all else goes through it whole."""
 
     KEEP_WORDS = False
+    SLICE = 1 << 24
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
