@@ -98,7 +98,7 @@ class ColumnEncoder:
     tokens.
     """
 
-    SLICE = 1 << 22
+    SLICE = 1 << 23
     # Whether pieces of one word are also kept as words; worth it if words cost much.
     KEEP_WORDS = False
 
