@@ -20,11 +20,12 @@ from tagloom.plans.tagging import (
 )
 from tagloom.sources.messages import enqueue, read_messages
 from tagloom.sources.tables import TableStore
+from tagloom.streaming.loop import Queue
 from tagloom.streaming.progress import backlog, progress
 from tagloom.streaming.tagging import fold_stream, start_tagging_stream
 
 __all__ = [
-    "CJK2", "WORD", "Facet", "Profile", "Settings", "TableStore", "backlog",
+    "CJK2", "WORD", "Facet", "Profile", "Queue", "Settings", "TableStore", "backlog",
     "clear_tags", "consolidate", "delete_rows", "enqueue", "fold_stream", "lexicon_proposer",
     "list_tags", "model_proposer", "plan_by_similarity", "progress",
     "queue_status", "read_messages", "start_tagging_stream", "status",
