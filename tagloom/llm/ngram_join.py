@@ -5,18 +5,25 @@ documents come last, hashes decide otherwise. (Any order gives the same links;
 this one keeps common passages out of the documents' first n-grams.) The order is
 cut into fragments. Equal sets are folded into one representative first.
 
-* The first fragment of a document is its prefix, the least n-grams of which two
-  linked documents must share one. Representatives that share a prefix n-gram are
-  candidates; the overlap within the prefixes bounds the overlap of the sets, and
-  pairs that can't reach the threshold are left out.
-* For the remaining pairs the overlaps of the other fragments are counted
-  separately, a row per pair and fragment, and summed per pair.
-
-Links are wanted for components only, so pairs that are already connected need no
-check. In the first round every n-gram proposes one leader, not all pairs of its
-holders; documents linked by then share a component. The last round takes all
-remaining pairs of different components. No link between different components is
-lost, whatever the leaders were.
+* The least n-grams of a document are its prefix, of which two linked documents must
+  share one. Documents that share a prefix n-gram may become candidates.
+* The sets of documents that occur in a candidate pair are cut into the fragments, a
+  row each. Every fragment is joined for itself: it gives the pair's partial overlap
+  there, and the partial overlaps are summed per pair.
+
+Links are wanted for components only. Large groups of near copies are therefore not
+compared pair by pair. In a hub round every prefix n-gram proposes the most central of
+its holders, a document takes the proposed hub that most others have, and its set is
+counted against that hub's. What the fragments don't share is the document's
+difference from the hub.
+
+Let x and y have the same hub h, and d be the size of a symmetric difference. x links
+with y when d(x, y) <= c (|x| + |y|). If x is not linked with h, then
+d(x, h) + d(y, h) > c (|x| + |h|) + c (|y| - |h|), so x and y only link if their
+differences from h have enough in common. Pairs of one family meet on the first
+n-grams of their differences, rare ones first, and those of different families on
+their prefixes. Pairs that are already connected need no check. No link between
+different components is lost, whatever the hubs were.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import (
@@ -43,8 +51,11 @@ SAMPLE_DOCS = 5_000
 SAMPLE_COUNT = 3
 MAX_FREQUENT = 200_000
 FRAGMENTS = 8
-LEADER_ROUNDS = 1
+HUB_ROUNDS = 2
+FAMILY_WIDTH = 4  # differences from a hub, over the largest that links
+HUB_SHARE = 3  # of the n-grams that a prefix shares with others, its hub has 1 in so many
 PAIRS_PER_TASK = 1_000
+ROWS_AT_ONCE = 500
 SLOTS = 1 << 20
 CACHED_WORDS = 200_000
 
@@ -144,33 +155,32 @@ def signatures(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -
     )
 
 
-def overlaps(pairs: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
-    """``a, b, na, nb, part, overlap``: common n-grams per pair and fragment.
+def fragments(docs: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
+    """``id, n, part, grams``: the sets of ``docs`` cut along the global order.
 
-    ``pairs`` holds both texts. The sets are cut along the global order: by the
-    first bits of the hash, frequent n-grams in a fragment of their own.
+    Cuts are by the first bits of the hash; frequent n-grams are the last fragment.
+    Empty fragments are rows as well.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
     shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, left = None, np.empty(0, np.uint64)
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-                if a != last:
-                    last, left = a, ngram_set(ta, size)
-                right = ngram_set(tb, size)
-                common = np.intersect1d(left, right, assume_unique=True)
-                part = (common >> shift).astype(np.int64)
-                part[is_frequent(common, shared.value)] = FRAGMENTS
-                counts = np.bincount(part, minlength=FRAGMENTS + 1)
-                rows += [(a, b, len(left), len(right), p, counts[p])
-                         for p in range(FRAGMENTS + 1) if counts[p]]
-            yield pd.DataFrame(rows, columns=["a", "b", "na", "nb", "part", "overlap"])
-
-    return pairs.select("a", "b", "ta", "tb").mapInPandas(
-        then_release(count), "a long, b long, na long, nb long, part int, overlap long"
+            for first in range(0, len(batch), ROWS_AT_ONCE):
+                rows = []
+                some = batch.iloc[first: first + ROWS_AT_ONCE]
+                for doc, text in zip(some["id"], some["text"]):
+                    grams = ngram_set(text, size)
+                    late = is_frequent(grams, shared.value)
+                    early = grams[~late]
+                    bounds = np.arange(1, FRAGMENTS, dtype=np.uint64) << shift
+                    parts = np.split(early, np.searchsorted(early, bounds))
+                    rows += [(doc, len(grams), i, part.view(np.int64))
+                             for i, part in enumerate([*parts, grams[late]])]
+                yield pd.DataFrame(rows, columns=["id", "n", "part", "grams"])
+
+    return docs.select("id", "text").mapInPandas(
+        then_release(cut), "id long, n long, part int, grams array<long>"
     )
 
 
@@ -179,29 +189,110 @@ def _reaches(shared, na, nb, percent: int):
     return (100 + percent) * shared >= percent * (na + nb)
 
 
+def _may_link(percent: int):
+    """Sizes and places of one common prefix n-gram leave room for a link."""
+    return (
+        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & _reaches(
+            F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")),
+            F.col("na"), F.col("nb"), percent,
+        )
+    )
+
+
 def _candidates(left: DataFrame, right: DataFrame, percent: int, wanted) -> DataFrame:
-    """``a, b, shared`` of pairs that hold a common prefix n-gram and may still link.
+    """``a, b`` of pairs that hold a common prefix n-gram and may still link.
 
-    ``left`` and ``right`` have ``gram`` and ``id, n, at, component``, renamed;
-    ``wanted`` compares the components so that a pair comes once per n-gram. All
-    common n-grams up to the last common one of the prefixes are counted, so
+    ``left`` and ``right`` have ``gram`` and ``id, n, at, component, family``, renamed;
+    ``wanted`` compares components and families so that a pair comes once per n-gram.
+    All common n-grams up to the last common one of the prefixes are counted, so
     what follows it bounds the rest.
     """
+    up = F.col("a") < F.col("b")
     pairs = (
-        left.join(right, "gram")
-        .where(wanted)
-        .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        left.join(right, "gram").where(wanted & _may_link(percent))
         .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .agg(
             F.count("*").alias("shared"),
-            F.max(F.when(F.col("a") < F.col("b"), F.col("pa")).otherwise(F.col("pb"))).alias("pa"),
-            F.max(F.when(F.col("a") < F.col("b"), F.col("pb")).otherwise(F.col("pa"))).alias("pb"),
-            F.first(F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb"))).alias("na"),
-            F.first(F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na"))).alias("nb"),
+            F.max(F.when(up, F.col("pa")).otherwise(F.col("pb"))).alias("pa"),
+            F.max(F.when(up, F.col("pb")).otherwise(F.col("pa"))).alias("pb"),
+            F.first(F.when(up, F.col("na")).otherwise(F.col("nb"))).alias("na"),
+            F.first(F.when(up, F.col("nb")).otherwise(F.col("na"))).alias("nb"),
         )
     )
     most = F.col("shared") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return pairs.where(_reaches(most, F.col("na"), F.col("nb"), percent)).select("a", "b", "shared")
+    return pairs.where(_reaches(most, F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+
+def hubs_of(rows: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
+    """``id, hub``: for each document the proposed hub that most documents could have.
+
+    Every n-gram proposes the holder with the largest share of its prefix in common
+    with others. Left out are hubs that share few of what a document's prefix shares
+    with anyone, those of a size too far apart for a difference of ``FAMILY_WIDTH``, and
+    checked pairs.
+    """
+    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
+    central = rows.groupBy("id").agg(F.count("*").alias("met"), F.first(prefix).alias("prefix"))
+    central = central.withColumn("central", F.col("met") / F.col("prefix"))
+    rows = rows.join(central, "id")
+    proposed = rows.groupBy("gram").agg(
+        F.max(F.struct("central", (-F.col("id")).alias("minus"), "n")).alias("l")
+    ).select("gram", (-F.col("l.minus")).alias("hub"), F.col("l.n").alias("nh"))
+    apart = F.abs(F.col("n") - F.col("nh"))
+    could = materialize(
+        rows.join(proposed, "gram").where(F.col("id") != F.col("hub"))
+        .where((100 + percent) * apart <= FAMILY_WIDTH * (100 - percent) * (F.col("n") + F.col("nh")))
+        .groupBy("id", "hub")
+        .agg(F.count("*").alias("shared"), F.first("met").alias("met"))
+        .where(HUB_SHARE * F.col("shared") >= F.col("met")).drop("met")
+        .withColumn("a", F.least("id", "hub")).withColumn("b", F.greatest("id", "hub"))
+        .join(checked, ["a", "b"], "left_anti").drop("a", "b"),
+        "proposed-hubs",
+    )
+    known = could.groupBy("hub").agg(F.count("*").alias("members"))
+    return could.join(known, "hub").groupBy("id").agg(
+        F.max_by("hub", F.struct("members", "shared", -F.col("hub"))).alias("hub")
+    )
+
+
+def family_candidates(differences: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` of one family that may link and aren't connected.
+
+    ``differences`` has ``family, id, n, nh, size, linked, component, gram``. Two
+    documents need so many common n-grams of their differences that their first ones,
+    rare ones first, must share one. The first side is not linked with the hub.
+    """
+    counts = differences.groupBy("family", "gram").agg(F.count("*").alias("holders"))
+    placed = materialize(
+        differences.join(counts.where(F.col("holders") > 1), ["family", "gram"], "left")
+        .withColumn("at", F.row_number().over(
+            W.partitionBy("id").orderBy(F.coalesce("holders", F.lit(1)), "gram")
+        )).where(F.col("holders") > 1).drop("holders"),
+        "differences",
+    )
+    # with any document that isn't linked with the hub
+    least_common = F.greatest(F.lit(1), F.ceil(
+        ((100 + percent) * F.col("size") - (100 - percent) * (F.col("n") - F.col("nh")))
+        / (2 * (100 + percent))
+    ))
+    names = {"id": "", "n": "n", "size": "d", "at": "p", "component": "c", "linked": "l"}
+
+    def side(rows: DataFrame, mark: str) -> DataFrame:
+        return rows.select("family", "gram", *(F.col(c).alias(k + mark) for c, k in names.items()))
+
+    left = side(placed.where(~F.col("linked")), "a")
+    right = side(placed.where(F.col("at") + least_common - 1 <= F.col("size")), "b")
+    common = F.greatest(F.lit(1), F.ceil(
+        ((100 + percent) * (F.col("da") + F.col("db")) - (100 - percent) * (F.col("na") + F.col("nb")))
+        / (2 * (100 + percent))
+    ))
+    return (
+        left.join(right, ["family", "gram"])
+        .where((F.col("ca") != F.col("cb")) & (F.col("lb") | (F.col("a") < F.col("b"))))
+        .where((F.col("pa") + common - 1 <= F.col("da")) & (F.col("pb") + common - 1 <= F.col("db")))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    )
 
 
 def one_row_per_id(docs: DataFrame) -> DataFrame:
@@ -237,42 +328,51 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return maybe.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
 
 
-def linked(pairs, docs, bucketed, size: int, percent: int, frequent) -> DataFrame:
-    """The pairs that link: overlaps per fragment, summed per pair.
+def partial_overlaps(pairs: DataFrame, docs: DataFrame, size: int, percent: int, frequent,
+                     differ: bool) -> DataFrame:
+    """``a, b, na, nb, part, overlap``, a row per pair and fragment.
 
-    Only texts that occur in a pair are fetched, and written by id. Of each pair the document with
-    more pairs is the hub; a hub's pairs are dealt to as many tasks as they need,
-    and its text goes to each of them.
+    With ``differ`` also ``other``: the n-grams that only one of both has, null if
+    they alone are too many for a family. Only texts that occur in a pair are
+    fetched, and cut once each. Of each pair the document with more pairs is the hub;
+    a hub's pairs are dealt to as many tasks as they need, and its fragments go to
+    each of them.
     """
-    ids = materialize(
-        pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted"
+    ends = materialize(
+        pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id")
+        .agg(F.count("*").alias("degree")), "ends",
     )
-    texts = bucketed(texts_of(ids, docs), "id")
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("end"))
-    degrees = ends.groupBy("end").agg(F.count("*").alias("degree"))
-    known = pairs.join(degrees.withColumnRenamed("end", "a").withColumnRenamed("degree", "da"), "a")
-    known = known.join(degrees.withColumnRenamed("end", "b").withColumnRenamed("degree", "db"), "b")
+    cut = materialize(fragments(texts_of(ends.select("id"), docs), size, frequent), "fragments")
+    known = pairs.join(ends.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a")
+    known = known.join(ends.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
     first = F.col("da") >= F.col("db")
     dealt = materialize(known.select(
+        "a", "b",
         F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"),
-        F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"),
+        F.when(first, F.col("b")).otherwise(F.col("a")).alias("end"),
         F.ceil(F.greatest("da", "db") / PAIRS_PER_TASK).alias("tasks"),
-    ).select("hub", "other", F.pmod(F.xxhash64("other"), F.col("tasks")).alias("salt")), "dealt")
+    ).withColumn("salt", F.pmod(F.xxhash64("end"), F.col("tasks"))).drop("tasks"), "dealt")
     hubs = dealt.select("hub", "salt").distinct().join(
-        texts.select(F.col("id").alias("hub"), F.col("text").alias("ta")), "hub"
+        cut.select(F.col("id").alias("hub"), F.col("n").alias("nh"), "part",
+                   F.col("grams").alias("gh")), "hub"
     )
-    others = dealt.join(
-        texts.select(F.col("id").alias("other"), F.col("text").alias("tb")), "other"
-    )
-    both = hubs.join(others, ["hub", "salt"]).select(
-        F.col("hub").alias("a"), F.col("other").alias("b"), "ta", "tb"
-    )
-    summed = overlaps(both, size, frequent).groupBy("a", "b", "na", "nb").agg(
-        F.sum("overlap").alias("overlap")
-    )
-    return summed.where(_reaches(F.col("overlap"), F.col("na"), F.col("nb"), percent)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    ends = dealt.join(
+        cut.select(F.col("id").alias("end"), F.col("n").alias("ne"), "part",
+                   F.col("grams").alias("ge")), "end"
     )
+    is_hub = F.col("a") == F.col("hub")
+    columns = [
+        "a", "b", F.when(is_hub, F.col("nh")).otherwise(F.col("ne")).alias("na"),
+        F.when(is_hub, F.col("ne")).otherwise(F.col("nh")).alias("nb"), "part",
+        F.size(F.array_intersect("gh", "ge")).cast("bigint").alias("overlap"),
+    ]
+    if differ:
+        apart = F.concat(F.array_except("gh", "ge"), F.array_except("ge", "gh"))
+        fits = (100 + percent) * F.size(apart) <= (
+            FAMILY_WIDTH * (100 - percent) * (F.col("nh") + F.col("ne"))
+        )
+        columns.append(F.when(fits, apart).alias("other"))
+    return hubs.join(ends, ["hub", "salt", "part"]).select(*columns)
 
 
 def similar_components(
@@ -319,61 +419,110 @@ def similar_components(
     sizes = filled.select(F.col("doc_id").alias("id"), "n")
     held = met.join(sizes, "id")
     spark = docs.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    checked = links
+    links = checked = spark.createDataFrame([], "a bigint, b bigint")
     classes = spark.createDataFrame([], "id bigint, component bigint")
+    families = [f"family{turn}" for turn in range(HUB_ROUNDS)]
 
     folder = scratch_path(spark, "prefixes")
     made: list[str] = []
-
-    def bucketed(rows: DataFrame, key: str) -> DataFrame:
-        made.append(write_bucketed(rows, [key], folder, "ngram_join"))
-        return spark.table(made[-1])
+    members: list[tuple[DataFrame, DataFrame]] = []
 
     def located() -> DataFrame:
-        """Prefix rows with their component; only n-grams of several components.
+        """Prefix rows with component and families; only n-grams of several components.
 
         Bucketed by n-gram, so nothing that follows moves them again.
         """
-        rows = bucketed(held.join(classes, "id", "left").withColumn(
+        known = held.join(classes, "id", "left").withColumn(
             "component", F.coalesce("component", "id")
-        ), "gram")
-        open_grams = rows.groupBy("gram").agg(
-            F.min("component").alias("low"), F.max("component").alias("high")
-        ).where(F.col("low") != F.col("high")).select("gram")
-        return rows.join(open_grams.hint("merge"), "gram", "left_semi")
+        )
+        for name, (member, _) in zip(families, members):
+            own_family = member.select("id", F.col("family").alias(name))
+            known = known.join(own_family, "id", "left").withColumn(name, F.coalesce(name, "id"))
+        made.append(write_bucketed(known, ["gram"], folder, "ngram_join"))
+        rows = spark.table(made[-1])
+        several = [c for c in ("component", *families) if c in rows.columns]
+        ends = rows.groupBy("gram").agg(
+            *(F.min(c).alias(f"{c}_low") for c in several),
+            *(F.max(c).alias(f"{c}_high") for c in several),
+        )
+        for c in several:
+            ends = ends.where(F.col(f"{c}_low") != F.col(f"{c}_high"))
+        return rows.join(ends.select("gram").hint("merge"), "gram", "left_semi")
 
-    def side(rows: DataFrame, mark: str) -> DataFrame:
+    def totals(parts: DataFrame) -> DataFrame:
+        return parts.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+
+    def reaching(summed: DataFrame) -> DataFrame:
+        return summed.where(
+            _reaches(F.col("overlap"), F.col("na"), F.col("nb"), percent)
+        ).select("a", "b")
+
+    for turn in range(HUB_ROUNDS):
+        rows = located()
+        # later hubs are for documents that are linked with nothing so far
+        chosen = materialize(
+            hubs_of(rows.join(classes.select("id"), "id", "left_anti"), checked, percent), "hubs"
+        )
+        pairs = chosen.select(
+            F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
+        ).distinct()
+        if chosen.isEmpty():
+            break
+        parts = materialize(
+            partial_overlaps(pairs, own, size, percent, frequent, True), "partial-overlaps"
+        )
+        summed = materialize(totals(parts), "overlaps")
+        links = links.unionByName(materialize(reaching(summed), "links"))
+        checked = checked.unionByName(pairs)
+        apart = F.col("na") + F.col("nb") - 2 * F.col("overlap")
+        near = summed.where(
+            (100 + percent) * apart <= FAMILY_WIDTH * (100 - percent) * (F.col("na") + F.col("nb"))
+        ).withColumn("size", apart).withColumn(
+            "linked", _reaches(F.col("overlap"), F.col("na"), F.col("nb"), percent)
+        )
+        ends = chosen.select(
+            "id", "hub", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
+        )
+        is_a = F.col("id") == F.col("a")
+        member = materialize(ends.join(near, ["a", "b"]).select(
+            "id", F.col("hub").alias("family"), "a", "b", "size", "linked",
+            F.when(is_a, F.col("na")).otherwise(F.col("nb")).alias("n"),
+            F.when(is_a, F.col("nb")).otherwise(F.col("na")).alias("nh"),
+        ), "members")
+        members.append((member, parts.select("a", "b", F.explode("other").alias("gram"))))
+        classes = components(links)
+
+    pairs = []
+    for member, differences in members:
+        # families in which someone isn't linked with the hub
+        open_families = member.where(~F.col("linked")).select("family").distinct()
+        some = member.join(open_families, "family", "left_semi").join(classes, "id", "left")
+        pairs.append(family_candidates(
+            differences.join(some, ["a", "b"]).drop("a", "b").withColumn(
+                "component", F.coalesce("component", "id")
+            ), percent,
+        ))
+    rows = located()
+    own_families = families[: len(members)]
+
+    def side(mark: str) -> DataFrame:
         return rows.select(
             "gram", F.col("id").alias(mark), F.col("n").alias(f"n{mark}"),
             F.col("at").alias(f"p{mark}"), F.col("component").alias(f"c{mark}"),
+            *(F.col(f).alias(f + mark) for f in own_families),
         )
 
-    for turn in range(LEADER_ROUNDS + 1):
-        rows = located()
-        if turn < LEADER_ROUNDS:
-            leaders = rows.groupBy("gram").agg(
-                F.min(F.struct("component", "id", "n", "at")).alias("l")
-            ).select("gram", "l.*")
-            other = F.col("ca") != F.col("cb")
-            pairs = _candidates(
-                side(rows, "a"), side(leaders, "b").hint("merge"), percent, other
-            )
-            # of a document's leaders the one with most in common
-            ends = pairs.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("end"))
-            best = ends.groupBy("end").agg(F.max(F.struct("shared", "a", "b")).alias("p"))
-            pairs = best.select("p.a", "p.b").distinct()
-        else:
-            smaller = F.col("ca") < F.col("cb")
-            pairs = _candidates(side(rows, "a"), side(rows, "b"), percent, smaller).select("a", "b")
-        pairs = materialize(pairs.join(checked, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn < LEADER_ROUNDS:
-                continue
-            break
-        found = materialize(linked(pairs, own, bucketed, size, percent, frequent), "links")
-        checked = checked.unionByName(pairs)
-        links = links.unionByName(found)
+    wanted = F.col("ca") < F.col("cb")
+    for f in own_families:
+        wanted &= F.col(f"{f}a") != F.col(f"{f}b")
+    pairs.append(_candidates(side("a"), side("b"), percent, wanted))
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more)
+    last = materialize(every.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
+    if not last.isEmpty():
+        parts = partial_overlaps(last, own, size, percent, frequent, False)
+        links = links.unionByName(materialize(reaching(totals(parts)), "links"))
         classes = components(links)
 
     for name in made:
