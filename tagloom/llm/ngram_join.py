@@ -105,6 +105,11 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def prefix_length(n: str, percent: int):
+    """``prefix_size`` as a column."""
+    return F.col(n) - F.expr(f"({percent} * {n} + 99) div 100") + 1
+
+
 def frequent_ngrams(docs: DataFrame, size: int, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """Sorted hashes that ``SAMPLE_COUNT`` of about ``sample_docs`` documents hold.
 
@@ -130,7 +135,10 @@ def frequent_ngrams(docs: DataFrame, size: int, sample_docs: int = SAMPLE_DOCS)
 
 
 def signatures(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``doc_id, n, s1, s2, prefix`` of every row; ``s1, s2`` stand for the set."""
+    """``doc_id, n, s1, s2, prefix, late, end`` of every row; ``s1, s2`` stand for the set.
+
+    ``late, end`` is the place of the prefix's last n-gram in the global order.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,13 +153,16 @@ def signatures(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -
                 first = order[: prefix_size(n, percent) if n else 0]
                 rows.append((
                     n, (whole_set >> 64) - (1 << 63), (whole_set & (1 << 64) - 1) - (1 << 63),
-                    first.view(np.int64),
+                    first.view(np.int64), *(
+                        (bool(len(first) > (~late).sum()), int(first[-1]) - (1 << 63))
+                        if n else (False, 0)
+                    ),
                 ))
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix"])
+            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix", "late", "end"])
             yield out.assign(doc_id=batch["doc_id"].array)
 
     return docs.select("doc_id", "text").mapInPandas(
-        then_release(sign), "n long, s1 long, s2 long, prefix array<long>, doc_id long"
+        then_release(sign), "n long, s1 long, s2 long, prefix array<long>, late boolean, end long, doc_id long"
     )
 
 
@@ -200,13 +211,15 @@ def _may_link(percent: int):
     )
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int, wanted) -> DataFrame:
+def _candidates(left: DataFrame, right: DataFrame, places: DataFrame, percent: int, wanted):
     """``a, b`` of pairs that hold a common prefix n-gram and may still link.
 
     ``left`` and ``right`` have ``gram`` and ``id, n, at, component, family``, renamed;
     ``wanted`` compares components and families so that a pair comes once per n-gram.
     All common n-grams up to the last common one of the prefixes are counted, so
-    what follows it bounds the rest.
+    what follows it bounds the rest. Where a prefix ends no later than the other's, its
+    n-grams that aren't counted are in neither the other's prefix nor behind it, so
+    only what follows the prefix remains. ``places`` has ``id, late, end``.
     """
     up = F.col("a") < F.col("b")
     pairs = (
@@ -221,7 +234,18 @@ def _candidates(left: DataFrame, right: DataFrame, percent: int, wanted) -> Data
         )
     )
     most = F.col("shared") + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return pairs.where(_reaches(most, F.col("na"), F.col("nb"), percent)).select("a", "b")
+    pairs = pairs.where(_reaches(most, F.col("na"), F.col("nb"), percent))
+    for mark in "ab":
+        pairs = pairs.join(places.select(
+            F.col("id").alias(mark), F.struct("late", "end").alias(f"e{mark}")
+        ), mark)
+    least = F.least(
+        F.when(F.col("ea") <= F.col("eb"), F.col("na") - prefix_length("na", percent)),
+        F.when(F.col("eb") <= F.col("ea"), F.col("nb") - prefix_length("nb", percent)),
+    )
+    return pairs.where(
+        _reaches(F.col("shared") + least, F.col("na"), F.col("nb"), percent)
+    ).select("a", "b")
 
 
 def hubs_of(rows: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
@@ -232,12 +256,9 @@ def hubs_of(rows: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
     with anyone, those of a size too far apart for a difference of ``FAMILY_WIDTH``, and
     checked pairs.
     """
-    prefix = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    central = rows.groupBy("id").agg(F.count("*").alias("met"), F.first(prefix).alias("prefix"))
-    central = central.withColumn("central", F.col("met") / F.col("prefix"))
-    rows = rows.join(central, "id")
+    central = F.col("met") / prefix_length("n", percent)
     proposed = rows.groupBy("gram").agg(
-        F.max(F.struct("central", (-F.col("id")).alias("minus"), "n")).alias("l")
+        F.max(F.struct(central.alias("central"), (-F.col("id")).alias("minus"), "n")).alias("l")
     ).select("gram", (-F.col("l.minus")).alias("hub"), F.col("l.n").alias("nh"))
     apart = F.abs(F.col("n") - F.col("nh"))
     could = materialize(
@@ -397,7 +418,7 @@ def similar_components(
     frequent = frequent_ngrams(own, size, sample_docs)
     signed = materialize(signatures(own, size, percent, frequent), "signatures")
     light = signed.select("doc_id", "n", "s1", "s2")
-    filled = light.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    filled = signed.drop("prefix").where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     sets = filled.groupBy("s1", "s2").agg(
         F.min("doc_id").alias("set_id"), F.max("doc_id").alias("last")
     )
@@ -416,8 +437,12 @@ def similar_components(
     met = materialize(
         grams.join(shared, "gram").select("gram", F.col("doc_id").alias("id"), "at"), "met"
     )
-    sizes = filled.select(F.col("doc_id").alias("id"), "n")
-    held = met.join(sizes, "id")
+    places = materialize(
+        filled.join(
+            met.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("met")), "doc_id"
+        ).select(F.col("doc_id").alias("id"), "n", "met", "late", "end").distinct(),
+        "places",
+    )
     spark = docs.sparkSession
     links = checked = spark.createDataFrame([], "a bigint, b bigint")
     classes = spark.createDataFrame([], "id bigint, component bigint")
@@ -432,12 +457,15 @@ def similar_components(
 
         Bucketed by n-gram, so nothing that follows moves them again.
         """
-        known = held.join(classes, "id", "left").withColumn(
+        own_places = places.select("id", "n", "met").join(classes, "id", "left").withColumn(
             "component", F.coalesce("component", "id")
         )
         for name, (member, _) in zip(families, members):
             own_family = member.select("id", F.col("family").alias(name))
-            known = known.join(own_family, "id", "left").withColumn(name, F.coalesce(name, "id"))
+            own_places = own_places.join(own_family, "id", "left").withColumn(
+                name, F.coalesce(name, "id")
+            )
+        known = met.join(materialize(own_places, "places"), "id")
         made.append(write_bucketed(known, ["gram"], folder, "ngram_join"))
         rows = spark.table(made[-1])
         several = [c for c in ("component", *families) if c in rows.columns]
@@ -457,8 +485,8 @@ def similar_components(
             _reaches(F.col("overlap"), F.col("na"), F.col("nb"), percent)
         ).select("a", "b")
 
-    for turn in range(HUB_ROUNDS):
-        rows = located()
+    rows = located()
+    for _ in range(HUB_ROUNDS):
         # later hubs are for documents that are linked with nothing so far
         chosen = materialize(
             hubs_of(rows.join(classes.select("id"), "id", "left_anti"), checked, percent), "hubs"
@@ -515,7 +543,7 @@ def similar_components(
     wanted = F.col("ca") < F.col("cb")
     for f in own_families:
         wanted &= F.col(f"{f}a") != F.col(f"{f}b")
-    pairs.append(_candidates(side("a"), side("b"), percent, wanted))
+    pairs.append(_candidates(side("a"), side("b"), places, percent, wanted))
     every = pairs[0]
     for more in pairs[1:]:
         every = every.unionByName(more)
