@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,9 @@ from tagloom.functions.text import (
     words,
 )
 
+# Words looked at first, per wanted name. Only speed depends on it.
+HEAD_PER_NAME = 8
+
 Reply = Callable[[list[str]], list[str]]
 
 
@@ -120,36 +124,34 @@ def _pass_tags(parts: str, number: int) -> Column:
     return tags
 
 
-def _with(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once.
+def ranked_words(documents: DataFrame) -> DataFrame:
+    """``id, terms``: distinct words by descending count, then word, joined by spaces.
 
-    An expression that a lambda refers to would be worked out for every item, also
-    after the optimizer has moved it there; a lambda's own variable is not.
+    Works inside the row: Spark lower-cases the text and leaves runs of letters, so
+    workers only split at spaces and count. A null text has null terms.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def term_counts(terms: Column) -> Column:
-    """``array<struct<rank, term>>``: distinct terms by descending count, then term.
+    letters = F.regexp_replace(F.lower("text"), r"\P{L}+", " ")
 
-    Works inside the row: equal terms are neighbours once sorted, and the distances
-    between the places where a new term starts are the counts. ``rank`` is the
-    negative count.
-    """
-    def starts(ordered: Column) -> Column:
-        placed = F.transform(ordered, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-        return F.filter(placed, lambda e: (e["i"] == 0) | (
-            e["t"] != F.coalesce(F.get(ordered, e["i"] - 1), F.lit(""))
-        ))
+    # nested, so that executors only need pandas
+    def rank(text: str | None) -> str | None:
+        if text is None:
+            return None
+        hits = Counter(text.split())
+        # equal counts keep the order of the words, also in reverse
+        return " ".join(sorted(sorted(hits), key=hits.__getitem__, reverse=True))
 
-    def counts(ordered: Column, found: Column) -> Column:
-        return F.sort_array(F.transform(found, lambda e, j: F.struct(
-            (e["i"] - F.coalesce(F.get(found, j + 1)["i"], F.size(ordered)))
-            .cast("bigint").alias("rank"),
-            e["t"].alias("term"),
-        )))
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({
+                "id": frame["id"],
+                "terms": pd.Series(
+                    [rank(text) for text in frame["letters"]], index=frame.index, dtype=object
+                ),
+            })
 
-    return _with(F.sort_array(terms), lambda o: _with(starts(o), lambda s: counts(o, s)))
+    return documents.select("id", letters.alias("letters")).mapInPandas(
+        run, "id string, terms string"
+    )
 
 
 def lexicon_counts(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -200,10 +202,17 @@ def top_terms(
     A document is one row and is worked on alone. Documents without a valid word
     have no row.
     """
-    valid = F.filter(words(F.col("text")), lambda w: w.rlike(profile.valid))
-    ranked = documents.select("id", term_counts(valid).alias("ranked"))
-    names = F.transform(F.slice("ranked", 1, n), lambda e: e["term"])
-    return ranked.where(F.size("ranked") > 0).select("id", names.alias("names"))
+    def valid(term: Column) -> Column:
+        return (term != "") & term.rlike(profile.valid)
+
+    def first_valid(terms: Column) -> Column:
+        return F.slice(F.filter(terms, valid), 1, n)
+
+    ranked = ranked_words(documents).select("id", F.split("terms", " ").alias("terms"))
+    # the first words are mostly enough; if not, all are looked at
+    found = first_valid(F.slice("terms", 1, HEAD_PER_NAME * n))
+    names = F.when(F.size(found) == n, found).otherwise(first_valid(F.col("terms")))
+    return ranked.where(F.exists("terms", valid)).select("id", names.alias("names"))
 
 
 def explode_names(proposals: DataFrame) -> DataFrame:
