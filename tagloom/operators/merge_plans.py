@@ -15,9 +15,14 @@ from tagloom.functions.plan_text import parse_plan
 from tagloom.functions.text import clean_tag, valid_tag
 from tagloom.operators.leaders import followers
 from tagloom.operators.matching import fuzzy_pairs
+from tagloom.operators.paging import numbered
 from tagloom.session import materialize
 
 BLOCK_ROWS = 512
+# Tags whose vectors are all compared with each other in a round, and rows that meet
+# the leaders found among them in one group.
+HEAD_TAGS = 4096
+TILE_ROWS = 8192
 
 
 def planner_input(tags: DataFrame) -> DataFrame:
@@ -254,6 +259,95 @@ def cosine_pairs(vectors: DataFrame, phi: float, block_rows: int = BLOCK_ROWS) -
     )
 
 
+def _nearest(rows: DataFrame, leaders: DataFrame, phi: float) -> DataFrame:
+    """``no, leader, similarity``: each row's most similar earlier leader, if one is.
+
+    Both have ``no, vector``. A tile of the rows and all leaders given meet in one
+    group; so the leaders are exchanged once per tile, and rows once.
+    """
+    tiles = max(1, math.ceil(rows.count() / TILE_ROWS))
+    tile = F.pmod(F.xxhash64("no"), F.lit(tiles)).cast("int").alias("tile")
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile")
+    at_once = BLOCK_ROWS
+
+    # nested, so that executors only need numpy and pandas
+    def unit(rows: pd.Series) -> np.ndarray:
+        stacked = np.stack(rows.to_numpy())
+        return stacked / np.linalg.norm(stacked, axis=1, keepdims=True)
+
+    def closest(frame: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"no": [], "leader": [], "similarity": []})]
+        if known.empty:
+            return found[0]
+        known = known.sort_values("no")  # so that the first of equals is the earliest
+        leader, vectors = known["no"].to_numpy(), unit(known["vector"])
+        for first in range(0, len(frame), at_once):
+            some = frame.iloc[first: first + at_once]
+            no = some["no"].to_numpy()
+            cosine = np.round(unit(some["vector"]) @ vectors.T, 6)
+            cosine[~((cosine >= phi) & (leader < no[:, None]))] = -np.inf
+            best = cosine.argmax(axis=1)
+            similarity = cosine[np.arange(len(some)), best]
+            kept = similarity > -np.inf
+            found.append(pd.DataFrame({
+                "no": no[kept], "leader": leader[best][kept], "similarity": similarity[kept],
+            }))
+        return pd.concat(found)
+
+    return (
+        rows.select("no", "vector", tile).groupBy("tile")
+        .cogroup(leaders.select("no", "vector", every).groupBy("tile"))
+        .applyInPandas(closest, "no bigint, leader bigint, similarity double")
+    )
+
+
+def leader_pairs(
+    tags: DataFrame, vectors: DataFrame, phi: float, head_tags: int = HEAD_TAGS
+) -> DataFrame:
+    """``a, b, similarity`` of leaders ``a`` by cosine and the tags ``b`` like them.
+
+    Leaders are those of ``star_groups``; of a round's leaders each tag has the most
+    similar one only. In a round the first ``head_tags`` undecided tags are compared
+    with each other, and all tags with the leaders among them, which decides most of
+    the rest. So the pairs of other tags are never worked out, and the work grows with
+    tags times leaders. Tags without a vector have no pair.
+    """
+    known = vectors.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).select(
+        "id", F.col("vector").cast("array<double>").alias("vector")
+    )
+    order = F.struct((-F.col("usage_count")).alias("rank"), "id")
+    placed = materialize(
+        numbered(
+            tags.join(known, "id", "left_semi").select("id", order.alias("place")).distinct(),
+            "place", "no",
+        ).select("id", F.col("no").cast("bigint").alias("no")),
+        "tag-places",
+    )
+    rows = materialize(known.join(placed, "id").select("no", "vector"), "placed-vectors")
+    rest, near = rows, []
+    while True:
+        firsts = rest.select("no").distinct().orderBy("no").limit(head_tags)
+        end = firsts.agg(F.max("no")).first()[0]
+        if end is None:
+            break
+        head = materialize(rest.where(F.col("no") <= end), "head")
+        alike = cosine_pairs(head.withColumnRenamed("no", "id"), phi)
+        lost = followers(alike.select(F.col("a").alias("earlier"), F.col("b").alias("later")))
+        leaders = materialize(
+            head.join(lost.withColumnRenamed("item", "no"), "no", "left_anti"), "leaders"
+        )
+        near.append(materialize(_nearest(rows, leaders, phi), "nearest"))
+        rest = materialize(
+            rest.where(F.col("no") > end).join(near[-1].select("no"), "no", "left_anti"), "rest"
+        )
+    found = tags.sparkSession.createDataFrame([], "no bigint, leader bigint, similarity double")
+    for some in near:
+        found = found.unionByName(some)
+    of_a = placed.select(F.col("id").alias("a"), F.col("no").alias("leader"))
+    of_b = placed.select(F.col("id").alias("b"), "no")
+    return found.join(of_a, "leader").join(of_b, "no").select("a", "b", "similarity")
+
+
 def star_groups(
     tags: DataFrame, pairs: DataFrame, reason: str, limit: int = MERGES_PER_GROUP
 ) -> DataFrame:
@@ -319,7 +413,7 @@ def plan_by_similarity(
     if how == "edit":
         return star_groups(tags, edit_pairs(tags, phi), "similar names")
     if how == "cosine":
-        return star_groups(tags, cosine_pairs(vectors, phi), "similar vectors")
+        return star_groups(tags, leader_pairs(tags, vectors, phi), "similar vectors")
     if how == "jaccard":
         return star_groups(tags, jaccard_pairs(pairs, phi), "used together")
     raise ValueError(f"unknown similarity {how!r}")

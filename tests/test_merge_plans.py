@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,41 @@ def test_jaccard_pairs(spark):
     frame = spark.createDataFrame(pairs, "snippet_id string, tag_id bigint")
     got = {(r["a"], r["b"]): r["similarity"] for r in mp.jaccard_pairs(frame, 0.3).collect()}
     assert got == {(1, 2): pytest.approx(2 / 3), (2, 3): pytest.approx(1 / 3)}
+
+
+def test_cosine_plan_works_out_no_pairs_of_followers(spark, monkeypatch):
+    """Copies are pairs with their leader only; before, every two of them were."""
+    rows = []
+    kept = mp.materialize
+
+    def watched(df, name):
+        out = kept(df, name)
+        if name == "similar-tags":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(mp, "materialize", watched)
+    tags = spark.range(1, 301).select(
+        "id", F.concat(F.lit("t"), "id").alias("name"), F.lit(1).cast("bigint").alias("usage_count")
+    )
+    vectors = tags.select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    got = mp.plan_by_similarity(tags, "cosine", 0.9, vectors=vectors).collect()
+    assert {r["primary_id"] for r in got} == {1}
+    assert sorted(r["merge_id"] for r in got) == list(range(2, 12))
+    assert rows == [299]
+
+
+def test_cosine_leaders_in_rounds_are_those_of_all_pairs(spark):
+    """Also for rows without id or vector, repeated ids and vectors of length 0."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(size=6).tolist()) for i in range(1, 90)]
+    vectors += [(3, rng.normal(size=6).tolist()), (None, [1.0] * 6), (95, [0.0] * 6), (999, [1.0] * 6)]
+    tags = spark.createDataFrame(
+        [(i, f"t{i}", int(rng.integers(1, 9))) for i in range(1, 100)],
+        "id bigint, name string, usage_count bigint",
+    )
+    frame = spark.createDataFrame(vectors, "id bigint, vector array<double>")
+    without = frame.unionByName(spark.createDataFrame([(96, None)], frame.schema))
+    want = mp.star_groups(tags, mp.cosine_pairs(frame.dropna(), 0.6), "x").collect()
+    got = mp.star_groups(tags, mp.leader_pairs(tags, without, 0.6, head_tags=7), "x").collect()
+    assert sorted(got) == sorted(want) and len(want) > 20
