@@ -349,23 +349,24 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return maybe.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
 
 
-def partial_overlaps(pairs: DataFrame, docs: DataFrame, size: int, percent: int, frequent,
-                     differ: bool) -> DataFrame:
-    """``a, b, na, nb, part, overlap``, a row per pair and fragment.
-
-    With ``differ`` also ``other``: the n-grams that only one of both has, null if
-    they alone are too many for a family. Only texts that occur in a pair are
-    fetched, and cut once each. Of each pair the document with more pairs is the hub;
-    a hub's pairs are dealt to as many tasks as they need, and its fragments go to
-    each of them.
+def cut_ends(pairs: DataFrame, docs: DataFrame, size: int, frequent) -> DataFrame:
+    """The ``fragments`` of the texts that occur in a pair; only those are fetched."""
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    return materialize(fragments(texts_of(ends, docs), size, frequent), "fragments")
+
+
+def joined_fragments(pairs: DataFrame, cut: DataFrame) -> DataFrame:
+    """``a, b, na, nb, part, ga, gb``, a row per pair and fragment in ``cut``.
+
+    Of each pair the document with more pairs is the hub; a hub's pairs are dealt to
+    as many tasks as they need, and its fragments go to each of them.
     """
-    ends = materialize(
+    degrees = materialize(
         pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id")
-        .agg(F.count("*").alias("degree")), "ends",
+        .agg(F.count("*").alias("degree")), "degrees",
     )
-    cut = materialize(fragments(texts_of(ends.select("id"), docs), size, frequent), "fragments")
-    known = pairs.join(ends.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a")
-    known = known.join(ends.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
+    known = pairs.join(degrees.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a")
+    known = known.join(degrees.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
     first = F.col("da") >= F.col("db")
     dealt = materialize(known.select(
         "a", "b",
@@ -382,18 +383,36 @@ def partial_overlaps(pairs: DataFrame, docs: DataFrame, size: int, percent: int,
                    F.col("grams").alias("ge")), "end"
     )
     is_hub = F.col("a") == F.col("hub")
-    columns = [
-        "a", "b", F.when(is_hub, F.col("nh")).otherwise(F.col("ne")).alias("na"),
-        F.when(is_hub, F.col("ne")).otherwise(F.col("nh")).alias("nb"), "part",
-        F.size(F.array_intersect("gh", "ge")).cast("bigint").alias("overlap"),
-    ]
-    if differ:
-        apart = F.concat(F.array_except("gh", "ge"), F.array_except("ge", "gh"))
-        fits = (100 + percent) * F.size(apart) <= (
-            FAMILY_WIDTH * (100 - percent) * (F.col("nh") + F.col("ne"))
-        )
-        columns.append(F.when(fits, apart).alias("other"))
-    return hubs.join(ends, ["hub", "salt", "part"]).select(*columns)
+
+    def either(if_hub: str, if_end: str, name: str):
+        return F.when(is_hub, F.col(if_hub)).otherwise(F.col(if_end)).alias(name)
+
+    return hubs.join(ends, ["hub", "salt", "part"]).select(
+        "a", "b", either("nh", "ne", "na"), either("ne", "nh", "nb"), "part",
+        either("gh", "ge", "ga"), either("ge", "gh", "gb"),
+    )
+
+
+def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
+    """``a, b, na, nb, overlap`` of every pair, summed over the fragments."""
+    shared = F.size(F.array_intersect("ga", "gb")).cast("bigint")
+    return joined_fragments(pairs, cut).groupBy("a", "b", "na", "nb").agg(
+        F.sum(shared).alias("overlap")
+    )
+
+
+def differences(members: DataFrame, cut: DataFrame) -> DataFrame:
+    """``members`` (with ``a, b``), a row per n-gram that only one of both has: ``gram``.
+
+    Only these pairs' n-grams are compared once more, and exchanged in their arrays.
+    """
+    other = F.concat(F.array_except("ga", "gb"), F.array_except("gb", "ga"))
+    apart = joined_fragments(members.select("a", "b").distinct(), cut).select(
+        "a", "b", other.alias("other")
+    ).where(F.size("other") > 0)
+    return apart.join(members, ["a", "b"]).drop("a", "b").withColumn(
+        "gram", F.explode("other")
+    ).drop("other")
 
 
 def similar_components(
@@ -477,9 +496,6 @@ def similar_components(
             ends = ends.where(F.col(f"{c}_low") != F.col(f"{c}_high"))
         return rows.join(ends.select("gram").hint("merge"), "gram", "left_semi")
 
-    def totals(parts: DataFrame) -> DataFrame:
-        return parts.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-
     def reaching(summed: DataFrame) -> DataFrame:
         return summed.where(
             _reaches(F.col("overlap"), F.col("na"), F.col("nb"), percent)
@@ -496,10 +512,8 @@ def similar_components(
         ).distinct()
         if chosen.isEmpty():
             break
-        parts = materialize(
-            partial_overlaps(pairs, own, size, percent, frequent, True), "partial-overlaps"
-        )
-        summed = materialize(totals(parts), "overlaps")
+        cut = cut_ends(pairs, own, size, frequent)
+        summed = materialize(overlaps(pairs, cut), "overlaps")
         links = links.unionByName(materialize(reaching(summed), "links"))
         checked = checked.unionByName(pairs)
         apart = F.col("na") + F.col("nb") - 2 * F.col("overlap")
@@ -517,19 +531,19 @@ def similar_components(
             F.when(is_a, F.col("na")).otherwise(F.col("nb")).alias("n"),
             F.when(is_a, F.col("nb")).otherwise(F.col("na")).alias("nh"),
         ), "members")
-        members.append((member, parts.select("a", "b", F.explode("other").alias("gram"))))
+        members.append((member, cut))
         classes = components(links)
 
     pairs = []
-    for member, differences in members:
+    for member, cut in members:
         # families in which someone isn't linked with the hub
         open_families = member.where(~F.col("linked")).select("family").distinct()
-        some = member.join(open_families, "family", "left_semi").join(classes, "id", "left")
-        pairs.append(family_candidates(
-            differences.join(some, ["a", "b"]).drop("a", "b").withColumn(
-                "component", F.coalesce("component", "id")
-            ), percent,
-        ))
+        some = materialize(
+            member.join(open_families, "family", "left_semi").join(classes, "id", "left")
+            .withColumn("component", F.coalesce("component", "id")),
+            "open-members",
+        )
+        pairs.append(family_candidates(differences(some, cut), percent))
     rows = located()
     own_families = families[: len(members)]
 
@@ -549,8 +563,8 @@ def similar_components(
         every = every.unionByName(more)
     last = materialize(every.distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
     if not last.isEmpty():
-        parts = partial_overlaps(last, own, size, percent, frequent, False)
-        links = links.unionByName(materialize(reaching(totals(parts)), "links"))
+        summed = overlaps(last, cut_ends(last, own, size, frequent))
+        links = links.unionByName(materialize(reaching(summed), "links"))
         classes = components(links)
 
     for name in made:
