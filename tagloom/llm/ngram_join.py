@@ -33,6 +33,7 @@ from typing import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,12 +49,16 @@ from tagloom.llm.components import components
 from tagloom.session import materialize, scratch_path
 
 SAMPLE_DOCS = 5_000
-SAMPLE_COUNT = 3
-MAX_FREQUENT = 200_000
+SAMPLE_SHARE = 8  # at least one document in so many
+SAMPLE_COUNT = 2
+FREQUENT_BITS = 1 << 25
+BITMAP_BITS = 1 << 15  # of Spark's bitmaps
 FRAGMENTS = 8
 HUB_ROUNDS = 2
 FAMILY_WIDTH = 4  # differences from a hub, over the largest that links
-HUB_SHARE = 3  # of the n-grams that a prefix shares with others, its hub has 1 in so many
+HUB_SHARE = 4  # a hub has 1 in so many of a prefix's n-grams
+MET_SHARE = 3  # or of those that others have, if one of them has
+MANY_HOLDERS = 16
 PAIRS_PER_TASK = 1_000
 ROWS_AT_ONCE = 500
 SLOTS = 1 << 20
@@ -94,10 +99,9 @@ def ngram_set(text: str | np.ndarray | None, size: int) -> np.ndarray:
 
 
 def is_frequent(grams: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
-        return np.zeros(len(grams), bool)
-    at = np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)
-    return frequent[at] == grams
+    """Whether the n-grams' bits in the bitmap ``frequent`` are set."""
+    slot = grams & np.uint64(FREQUENT_BITS - 1)
+    return (frequent[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -111,36 +115,44 @@ def prefix_length(n: str, percent: int):
 
 
 def frequent_ngrams(docs: DataFrame, size: int, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Sorted hashes that ``SAMPLE_COUNT`` of about ``sample_docs`` documents hold.
+    """A bitmap by the last bits of hashes that ``SAMPLE_COUNT`` sampled documents hold.
 
-    They only move to the end of the order, so the sample's bound and the bound
-    on their number change no result.
+    One document in ``SAMPLE_SHARE`` is sampled, ``sample_docs`` at least. So from about
+    the same number of holders on, however many documents there are, an n-gram moves to
+    the end of the order. The order changes no result; neither do n-grams that move
+    because they share a bit.
     """
     total = docs.count()
+    frequent = np.zeros(FREQUENT_BITS // 8, np.uint8)
     if not total:
-        return np.empty(0, np.uint64)
+        return frequent
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for text in batch["text"]:
                 yield pd.DataFrame({"gram": ngram_set(text, size).view(np.int64)})
 
-    sample = docs.select("text").sample(min(1.0, sample_docs / total), 11)
+    share = min(1.0, max(sample_docs / total, 1 / SAMPLE_SHARE))
+    slot = F.col("gram").bitwiseAND(F.lit(FREQUENT_BITS - 1)) + 1  # Spark's bits start at 1
     rows = (
-        sample.mapInPandas(then_release(explode), "gram long").groupBy("gram").count()
+        docs.select("text").sample(share, 11)
+        .mapInPandas(then_release(explode), "gram long").groupBy("gram").count()
         .where(F.col("count") >= SAMPLE_COUNT)
-        .orderBy(F.desc("count"), "gram").limit(MAX_FREQUENT).select("gram").toPandas()
+        .select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit"))
+        .distinct().repartition("bucket").groupBy("bucket")
+        .agg(F.bitmap_construct_agg("bit").alias("bits")).toPandas()
     )
-    return np.sort(rows["gram"].to_numpy(np.int64).view(np.uint64))
+    wide = BITMAP_BITS // 8
+    for bucket, bits in zip(rows["bucket"], rows["bits"]):
+        frequent[(bucket - 1) * wide: bucket * wide] = np.frombuffer(bits, np.uint8)
+    return frequent
 
 
-def signatures(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, size: int, percent: int, frequent: Broadcast) -> DataFrame:
     """``doc_id, n, s1, s2, prefix, late, end`` of every row; ``s1, s2`` stand for the set.
 
     ``late, end`` is the place of the prefix's last n-gram in the global order.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -148,7 +160,7 @@ def signatures(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -
                 grams = ngram_set(text, size)
                 n = len(grams)
                 whole_set = xxhash.xxh3_128_intdigest(grams.tobytes())
-                late = is_frequent(grams, shared.value)
+                late = is_frequent(grams, frequent.value)
                 order = np.concatenate([grams[~late], grams[late]])
                 first = order[: prefix_size(n, percent) if n else 0]
                 rows.append((
@@ -166,13 +178,12 @@ def signatures(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -
     )
 
 
-def fragments(docs: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
+def fragments(docs: DataFrame, size: int, frequent: Broadcast) -> DataFrame:
     """``id, n, part, grams``: the sets of ``docs`` cut along the global order.
 
     Cuts are by the first bits of the hash; frequent n-grams are the last fragment.
     Empty fragments are rows as well.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
     shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +193,7 @@ def fragments(docs: DataFrame, size: int, frequent: np.ndarray) -> DataFrame:
                 some = batch.iloc[first: first + ROWS_AT_ONCE]
                 for doc, text in zip(some["id"], some["text"]):
                     grams = ngram_set(text, size)
-                    late = is_frequent(grams, shared.value)
+                    late = is_frequent(grams, frequent.value)
                     early = grams[~late]
                     bounds = np.arange(1, FRAGMENTS, dtype=np.uint64) << shift
                     parts = np.split(early, np.searchsorted(early, bounds))
@@ -252,27 +263,34 @@ def hubs_of(rows: DataFrame, checked: DataFrame, percent: int) -> DataFrame:
     """``id, hub``: for each document the proposed hub that most documents could have.
 
     Every n-gram proposes the holder with the largest share of its prefix in common
-    with others. Left out are hubs that share few of what a document's prefix shares
-    with anyone, those of a size too far apart for a difference of ``FAMILY_WIDTH``, and
-    checked pairs.
+    with others. Left out are hubs that share few of a document's prefix, unless it only
+    shares n-grams of very many holders with them and others, those of a size too far
+    apart for a difference of ``FAMILY_WIDTH``, and checked pairs.
     """
     central = F.col("met") / prefix_length("n", percent)
     proposed = rows.groupBy("gram").agg(
-        F.max(F.struct(central.alias("central"), (-F.col("id")).alias("minus"), "n")).alias("l")
-    ).select("gram", (-F.col("l.minus")).alias("hub"), F.col("l.n").alias("nh"))
+        F.max(F.struct(central.alias("central"), (-F.col("id")).alias("minus"), "n")).alias("l"),
+        F.count("*").alias("holders"),
+    ).select("gram", (-F.col("l.minus")).alias("hub"), F.col("l.n").alias("nh"), "holders")
     apart = F.abs(F.col("n") - F.col("nh"))
     could = materialize(
         rows.join(proposed, "gram").where(F.col("id") != F.col("hub"))
         .where((100 + percent) * apart <= FAMILY_WIDTH * (100 - percent) * (F.col("n") + F.col("nh")))
         .groupBy("id", "hub")
-        .agg(F.count("*").alias("shared"), F.first("met").alias("met"))
-        .where(HUB_SHARE * F.col("shared") >= F.col("met")).drop("met")
+        .agg(
+            F.count("*").alias("shared"), F.max("holders").alias("holders"),
+            F.first("n").alias("n"), F.first("met").alias("met"),
+        )
+        .where(
+            (HUB_SHARE * F.col("shared") >= prefix_length("n", percent))
+            | (F.col("holders") >= MANY_HOLDERS) & (MET_SHARE * F.col("shared") >= F.col("met"))
+        ).select("id", "hub", "shared")
         .withColumn("a", F.least("id", "hub")).withColumn("b", F.greatest("id", "hub"))
         .join(checked, ["a", "b"], "left_anti").drop("a", "b"),
         "proposed-hubs",
     )
     known = could.groupBy("hub").agg(F.count("*").alias("members"))
-    return could.join(known, "hub").groupBy("id").agg(
+    return could.join(known.hint("merge"), "hub").groupBy("id").agg(
         F.max_by("hub", F.struct("members", "shared", -F.col("hub"))).alias("hub")
     )
 
@@ -365,8 +383,8 @@ def joined_fragments(pairs: DataFrame, cut: DataFrame) -> DataFrame:
         pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id")
         .agg(F.count("*").alias("degree")), "degrees",
     )
-    known = pairs.join(degrees.select(F.col("id").alias("a"), F.col("degree").alias("da")), "a")
-    known = known.join(degrees.select(F.col("id").alias("b"), F.col("degree").alias("db")), "b")
+    known = pairs.join(degrees.select(F.col("id").alias("a"), F.col("degree").alias("da")).hint("merge"), "a")
+    known = known.join(degrees.select(F.col("id").alias("b"), F.col("degree").alias("db")).hint("merge"), "b")
     first = F.col("da") >= F.col("db")
     dealt = materialize(known.select(
         "a", "b",
@@ -434,7 +452,7 @@ def similar_components(
     own = one_row_per_id(
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), whole(text).alias("text"))
     )
-    frequent = frequent_ngrams(own, size, sample_docs)
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(own, size, sample_docs))
     signed = materialize(signatures(own, size, percent, frequent), "signatures")
     light = signed.select("doc_id", "n", "s1", "s2")
     filled = signed.drop("prefix").where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -476,12 +494,12 @@ def similar_components(
 
         Bucketed by n-gram, so nothing that follows moves them again.
         """
-        own_places = places.select("id", "n", "met").join(classes, "id", "left").withColumn(
+        own_places = places.select("id", "n", "met").join(classes.hint("merge"), "id", "left").withColumn(
             "component", F.coalesce("component", "id")
         )
         for name, (member, _) in zip(families, members):
             own_family = member.select("id", F.col("family").alias(name))
-            own_places = own_places.join(own_family, "id", "left").withColumn(
+            own_places = own_places.join(own_family.hint("merge"), "id", "left").withColumn(
                 name, F.coalesce(name, "id")
             )
         known = met.join(materialize(own_places, "places"), "id")
@@ -502,10 +520,11 @@ def similar_components(
         ).select("a", "b")
 
     rows = located()
+    settled = classes.select("id")
     for _ in range(HUB_ROUNDS):
-        # later hubs are for documents that are linked with nothing so far
+        # later hubs are for earlier ones and documents that are linked with nothing so far
         chosen = materialize(
-            hubs_of(rows.join(classes.select("id"), "id", "left_anti"), checked, percent), "hubs"
+            hubs_of(rows.join(settled, "id", "left_anti"), checked, percent), "hubs"
         )
         pairs = chosen.select(
             F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
@@ -526,20 +545,24 @@ def similar_components(
             "id", "hub", F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
         )
         is_a = F.col("id") == F.col("a")
-        member = materialize(ends.join(near, ["a", "b"]).select(
+        member = materialize(ends.join(near.hint("merge"), ["a", "b"]).select(
             "id", F.col("hub").alias("family"), "a", "b", "size", "linked",
             F.when(is_a, F.col("na")).otherwise(F.col("nb")).alias("n"),
             F.when(is_a, F.col("nb")).otherwise(F.col("na")).alias("nh"),
         ), "members")
         members.append((member, cut))
         classes = components(links)
+        settled = classes.select("id").join(
+            member.select(F.col("family").alias("id")), "id", "left_anti"
+        )
 
     pairs = []
     for member, cut in members:
         # families in which someone isn't linked with the hub
         open_families = member.where(~F.col("linked")).select("family").distinct()
         some = materialize(
-            member.join(open_families, "family", "left_semi").join(classes, "id", "left")
+            member.join(open_families.hint("merge"), "family", "left_semi")
+            .join(classes.hint("merge"), "id", "left")
             .withColumn("component", F.coalesce("component", "id")),
             "open-members",
         )
@@ -569,6 +592,7 @@ def similar_components(
 
     for name in made:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+    frequent.unpersist()
     ids = copied.withColumnRenamed("set_id", "of")
     lowest = classes.withColumnRenamed("id", "of")
     apart = light.where(F.col("doc_id").isNull()).groupBy("n", "s1", "s2").agg(
