@@ -24,10 +24,17 @@ differences from h have enough in common. Pairs of one family meet on the first
 n-grams of their differences, rare ones first, and those of different families on
 their prefixes. Pairs that are already connected need no check. No link between
 different components is lost, whatever the hubs were.
+
+Texts put together from the same few passages have no rare n-gram in common, and most
+of their pairs are far from a link. Where many documents hold a prefix n-gram, they meet
+within bands of sizes, and sketches of their whole sets rule pairs out: two sketches
+differ in no more bits than the sets differ in n-grams.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
 from typing import Iterator
 
 import numpy as np
@@ -59,6 +66,8 @@ FAMILY_WIDTH = 4  # differences from a hub, over the largest that links
 HUB_SHARE = 4  # a hub has 1 in so many of a prefix's n-grams
 MET_SHARE = 3  # or of those that others have, if one of them has
 MANY_HOLDERS = 16
+SKETCH_WORDS = 32  # of 64 bits each
+BANDS = 4  # of sizes, as they double
 PAIRS_PER_TASK = 1_000
 ROWS_AT_ONCE = 500
 SLOTS = 1 << 20
@@ -114,6 +123,13 @@ def prefix_length(n: str, percent: int):
     return F.col(n) - F.expr(f"({percent} * {n} + 99) div 100") + 1
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """``SKETCH_WORDS`` integers; a bit is 1 if an odd number of the n-grams falls on it."""
+    slots = (grams & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64)
+    odd = np.bincount(slots, minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def frequent_ngrams(docs: DataFrame, size: int, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     """A bitmap by the last bits of hashes that ``SAMPLE_COUNT`` sampled documents hold.
 
@@ -149,7 +165,7 @@ def frequent_ngrams(docs: DataFrame, size: int, sample_docs: int = SAMPLE_DOCS)
 
 
 def signatures(docs: DataFrame, size: int, percent: int, frequent: Broadcast) -> DataFrame:
-    """``doc_id, n, s1, s2, prefix, late, end`` of every row; ``s1, s2`` stand for the set.
+    """``doc_id, n, s1, s2, prefix, late, end, sketch``, a row each; ``s1, s2`` stand for the set.
 
     ``late, end`` is the place of the prefix's last n-gram in the global order.
     """
@@ -168,13 +184,14 @@ def signatures(docs: DataFrame, size: int, percent: int, frequent: Broadcast) ->
                     first.view(np.int64), *(
                         (bool(len(first) > (~late).sum()), int(first[-1]) - (1 << 63))
                         if n else (False, 0)
-                    ),
+                    ), sketch(grams),
                 ))
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix", "late", "end"])
+            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "prefix", "late", "end", "sketch"])
             yield out.assign(doc_id=batch["doc_id"].array)
 
     return docs.select("doc_id", "text").mapInPandas(
-        then_release(sign), "n long, s1 long, s2 long, prefix array<long>, late boolean, end long, doc_id long"
+        then_release(sign), "n long, s1 long, s2 long, prefix array<long>, late boolean, end long, "
+        "sketch array<long>, doc_id long",
     )
 
 
@@ -222,20 +239,65 @@ def _may_link(percent: int):
     )
 
 
-def _candidates(left: DataFrame, right: DataFrame, places: DataFrame, percent: int, wanted):
+def _close_sketches(percent: int):
+    """Sketches that differ in so few bits that the sets may link."""
+    bits = reduce(add, (
+        F.bit_count(F.col("ka")[i].bitwiseXOR(F.col("kb")[i])) for i in range(SKETCH_WORDS)
+    ))
+    return (100 + percent) * bits <= (100 - percent) * (F.col("na") + F.col("nb"))
+
+
+def meetings(rows: DataFrame, sketches: DataFrame, families: list[str], percent: int) -> DataFrame:
+    """``a, b, na, nb, pa, pb``, a row per common n-gram of two documents that may link.
+
+    ``rows`` has ``gram, id, n, at, component``, the ``families`` and ``held``, the
+    n-gram's number of rows; ``sketches`` has ``id, sketch``. Components and families
+    of a pair are different. Every common n-gram of a pair that links gives a row. The
+    holders of an n-gram that few hold give a bounded number of rows each; of one that
+    many hold, only those pairs whose sketches are close.
+    """
+    def side(some: DataFrame, mark: str, *more: str) -> DataFrame:
+        names = {"id": "", "n": "n", "at": "p", "component": "c", "sketch": "k"}
+        return some.select(
+            "gram", *more, *(F.col(c).alias(k + mark) for c, k in names.items() if c in some.columns),
+            *(F.col(f).alias(f + mark) for f in families),
+        )
+
+    may_link = _may_link(percent)
+    for f in families:
+        may_link = (F.col(f"{f}a") != F.col(f"{f}b")) & may_link
+    found = ["a", "b", "na", "nb", "pa", "pb"]
+    few = rows.where(F.col("held") < MANY_HOLDERS)
+    of_few = side(few, "a").join(side(few, "b"), "gram").where(
+        (F.col("ca") < F.col("cb")) & may_link
+    ).select(*found)
+
+    def band(n):
+        return F.floor(BANDS * F.log2(n))
+
+    many = materialize(rows.where(F.col("held") >= MANY_HOLDERS).join(sketches, "id"), "many-held")
+    largest = F.expr(f"100 * n div {max(1, percent)}")  # of the sets that link
+    smaller = many.withColumn("band", F.explode(F.sequence(band(F.col("n")), band(largest))))
+    larger = many.withColumn("band", band(F.col("n")))
+    of_many = side(smaller, "a", "band").join(side(larger, "b", "band"), ["gram", "band"]).where(
+        (F.col("ca") != F.col("cb"))
+        & ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+        & may_link & _close_sketches(percent)
+    ).select(*found)
+    return of_few.unionByName(of_many)
+
+
+def _candidates(met: DataFrame, places: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of pairs that hold a common prefix n-gram and may still link.
 
-    ``left`` and ``right`` have ``gram`` and ``id, n, at, component, family``, renamed;
-    ``wanted`` compares components and families so that a pair comes once per n-gram.
-    All common n-grams up to the last common one of the prefixes are counted, so
+    ``met`` are the pairs' ``meetings``, each pair once per n-gram. All common n-grams up to the last common one of the prefixes are counted, so
     what follows it bounds the rest. Where a prefix ends no later than the other's, its
     n-grams that aren't counted are in neither the other's prefix nor behind it, so
     only what follows the prefix remains. ``places`` has ``id, late, end``.
     """
     up = F.col("a") < F.col("b")
     pairs = (
-        left.join(right, "gram").where(wanted & _may_link(percent))
-        .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .agg(
             F.count("*").alias("shared"),
             F.max(F.when(up, F.col("pa")).otherwise(F.col("pb"))).alias("pa"),
@@ -455,7 +517,7 @@ def similar_components(
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_ngrams(own, size, sample_docs))
     signed = materialize(signatures(own, size, percent, frequent), "signatures")
     light = signed.select("doc_id", "n", "s1", "s2")
-    filled = signed.drop("prefix").where((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    filled = signed.drop("prefix", "sketch").where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     sets = filled.groupBy("s1", "s2").agg(
         F.min("doc_id").alias("set_id"), F.max("doc_id").alias("last")
     )
@@ -490,7 +552,7 @@ def similar_components(
     members: list[tuple[DataFrame, DataFrame]] = []
 
     def located() -> DataFrame:
-        """Prefix rows with component and families; only n-grams of several components.
+        """Prefix rows with component, families and ``held``; only n-grams of several components.
 
         Bucketed by n-gram, so nothing that follows moves them again.
         """
@@ -509,10 +571,11 @@ def similar_components(
         ends = rows.groupBy("gram").agg(
             *(F.min(c).alias(f"{c}_low") for c in several),
             *(F.max(c).alias(f"{c}_high") for c in several),
+            F.count("*").alias("held"),
         )
         for c in several:
             ends = ends.where(F.col(f"{c}_low") != F.col(f"{c}_high"))
-        return rows.join(ends.select("gram").hint("merge"), "gram", "left_semi")
+        return rows.join(ends.select("gram", "held").hint("merge"), "gram")
 
     def reaching(summed: DataFrame) -> DataFrame:
         return summed.where(
@@ -567,20 +630,9 @@ def similar_components(
             "open-members",
         )
         pairs.append(family_candidates(differences(some, cut), percent))
-    rows = located()
-    own_families = families[: len(members)]
-
-    def side(mark: str) -> DataFrame:
-        return rows.select(
-            "gram", F.col("id").alias(mark), F.col("n").alias(f"n{mark}"),
-            F.col("at").alias(f"p{mark}"), F.col("component").alias(f"c{mark}"),
-            *(F.col(f).alias(f + mark) for f in own_families),
-        )
-
-    wanted = F.col("ca") < F.col("cb")
-    for f in own_families:
-        wanted &= F.col(f"{f}a") != F.col(f"{f}b")
-    pairs.append(_candidates(side("a"), side("b"), places, percent, wanted))
+    sketches = signed.select(F.col("doc_id").alias("id"), "sketch")
+    met_pairs = meetings(located(), sketches, families[: len(members)], percent)
+    pairs.append(_candidates(met_pairs, places, percent))
     every = pairs[0]
     for more in pairs[1:]:
         every = every.unionByName(more)
