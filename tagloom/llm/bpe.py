@@ -48,7 +48,7 @@ class Transducer(ColumnEncoder):
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
-        super().__init__(30_000_000, 30_000_000)
+        super().__init__(16_000_000, 8_000_000)
         with open(path, encoding="utf-8") as file:
             config = json.load(file)
         model = config["model"]

@@ -155,8 +155,9 @@ def with_posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
         own = DomainModel(*shared.value)
         try:
             for texts in batches:
-                found = [word_bins(text) for text in texts]
-                evidence = np.array([own.evidence(bins) for bins, _ in found])
+                # a batch's bins take more room than its texts, so none wait for the others
+                found = [(own.evidence(bins), n) for bins, n in map(word_bins, texts)]
+                evidence = np.array([e for e, _ in found])
                 evidence = evidence.reshape(len(found), -1)
                 yield pd.DataFrame({
                     "n_tokens": np.array([n for _, n in found], np.int64),

@@ -23,6 +23,8 @@ ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 LATIN = re.compile("[!-~\xa1-\xac\xae-\u024f]+")
 # Begins every special token.
 SPECIAL = "<|"
+# Pieces of so many letters are not kept.
+LONG_PIECE = 100
 
 
 def byte_letters() -> list[str]:
@@ -55,6 +57,50 @@ class BoundedCache(dict):
         return value
 
 
+def runs(firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Consecutive numbers from each first one on, one run after the other; the runs' borders."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    spots = np.repeat(firsts - ends[:-1], sizes)
+    spots += np.arange(ends[-1], dtype=np.int32)
+    return spots, ends
+
+
+class KnownPieces:
+    """Known pieces and their ids as columns, of about ``limit`` bytes.
+
+    Python objects would take several times as much, and scattered as they are the
+    process could hardly give their memory back. Beyond the limit those go that only
+    one slice of late has used.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        none = np.zeros(0, np.int32)
+        self._hold(pa.array([], pa.string()), np.zeros(0, "<u4"), none, none)
+
+    def _hold(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray, uses: np.ndarray) -> int:
+        self.pieces, self.ids, self.sizes, self.uses = pieces, ids, sizes, uses
+        return pieces.nbytes + ids.nbytes + sizes.nbytes + uses.nbytes
+
+    def keep(
+        self, pieces: pa.Array, ids: np.ndarray, firsts: np.ndarray, sizes: np.ndarray,
+        used: np.ndarray,
+    ) -> None:
+        """``used``: places that a slice has used; ids may go on behind ``pieces``."""
+        n = len(pieces)
+        stop = int(firsts[n]) if n < len(firsts) else len(ids)
+        uses = np.zeros(n, np.int32)
+        uses[: len(self.uses)] = self.uses
+        uses[used[used < n]] += 1
+        if self._hold(pieces, ids[:stop], sizes[:n], uses) > self.limit:
+            often = np.flatnonzero(uses > 1)
+            spots, _ = runs(firsts[often], sizes[often])
+            rest = pieces.take(pa.array(often)), ids[spots], sizes[often], uses[often] // 2
+            if self._hold(*rest) > self.limit:
+                self.__init__(self.limit)
+
+
 def _bytes_in(letters: bytes) -> np.ndarray:
     return np.isin(np.arange(256), list(letters))
 
@@ -98,13 +144,13 @@ class ColumnEncoder:
     tokens.
     """
 
-    SLICE = 1 << 23
+    SLICE = 1 << 21
     # Whether pieces of one word are also kept as words; worth it if words cost much.
     KEEP_WORDS = False
 
     def __init__(self, piece_bytes: int, word_bytes: int):
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        self.known_pieces, self.known_words = BoundedCache(piece_bytes), BoundedCache(word_bytes)
+        self.known_pieces, self.known_words = KnownPieces(piece_bytes), BoundedCache(word_bytes)
 
     def merged(self, word: str) -> bytes:
         raise NotImplementedError
@@ -128,23 +174,37 @@ class ColumnEncoder:
         known = self.known_words.get
         return b"".join([known(w) or self._word(w) for w in words])
 
-    def _distinct(self, pieces: list[str]) -> list[bytes]:
-        cache = self.known_pieces
-        known, older, keep = cache.get, cache.older, cache.keep
-        out, latin, strange = list(map(known, pieces)), LATIN.fullmatch, []
-        for spot in [i for i, found in enumerate(out) if found is None]:
-            piece = pieces[spot]
-            found = older.get(piece)
-            if found is None:
-                if not latin(piece):
-                    strange.append(spot)
-                    continue
-                found = self._piece(piece)
-            out[spot] = keep(piece, found) if len(piece) < 100 else found
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        latin, out, strange = LATIN.fullmatch, [], []
+        for spot, piece in enumerate(pieces):
+            plain = latin(piece)
+            out.append(self._piece(piece) if plain else b"")
+            if not plain:
+                strange.append(spot)
         for spot, found in zip(strange, self.strange([pieces[i] for i in strange])):
-            out[spot] = keep(pieces[spot], found) if len(pieces[spot]) < 100 else found
+            out[spot] = found
         return out
 
+    def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each of the distinct pieces begin in them; their sizes."""
+        known = self.known_pieces
+        places = pc.index_in(pieces, value_set=known.pieces)
+        new = np.flatnonzero(places.is_null().to_numpy(zero_copy_only=False))
+        long = pc.greater_equal(pc.utf8_length(pieces.take(pa.array(new))), LONG_PIECE)
+        long = long.to_numpy(zero_copy_only=False)
+        n_kept, new = len(long) - int(long.sum()), new[np.argsort(long, kind="stable")]
+        missing = pieces.take(pa.array(new))
+        found = self._encoded(missing.to_pylist())
+        sizes = np.concatenate([known.sizes, np.fromiter(map(len, found), np.int32, len(found)) // 4])
+        ids = np.concatenate([known.ids, np.frombuffer(b"".join(found), "<u4")])
+        firsts = np.cumsum(sizes, dtype=np.int32) - sizes
+        places = places.fill_null(0).to_numpy().copy()
+        places[new] = len(known.sizes) + np.arange(len(new))
+        known.keep(
+            pa.concat_arrays([known.pieces, missing.slice(0, n_kept)]), ids, firsts, sizes, places
+        )
+        return ids, firsts[places], sizes[places]
+
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         special = np.flatnonzero(pc.match_substring(texts, SPECIAL).to_numpy(zero_copy_only=False))
         if len(special):
@@ -154,16 +214,9 @@ class ColumnEncoder:
             texts = pc.if_else(pa.array(mask), "", texts)
         split = pc.ascii_split_whitespace(part_marks(pc.ascii_lower(texts)))
         coded = split.flatten().dictionary_encode()
-        found = self._distinct(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int32, len(found)) // 4
-        firsts = np.cumsum(sizes, dtype=np.int32) - sizes
-        ids = np.frombuffer(b"".join(found), "<u4")
+        ids, firsts, sizes = self._distinct(coded.dictionary)
         codes = coded.indices.to_numpy()
-        own = sizes[codes]
-        ends = np.zeros(len(own) + 1, np.int32)
-        np.cumsum(own, out=ends[1:])
-        spots = np.repeat(firsts[codes] - ends[:-1], own)
-        spots += np.arange(ends[-1], dtype=np.int32)
+        spots, ends = runs(firsts[codes], sizes[codes])
         borders = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         ids, counts = ids[spots], np.diff(borders)
         if len(special):

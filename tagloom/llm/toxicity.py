@@ -20,6 +20,7 @@ from typing import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -254,15 +255,16 @@ def score_column(text: Column, model: ToxicityModel) -> Column:
     """Score between 0 and 1 of a text column; null as empty text."""
     constant, total, density = model.logistic
 
-    @F.pandas_udf(T.DoubleType())
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.DoubleType())
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         worker_cache("toxicity")
         machine = model.automaton()
         try:
             for texts in batches:
-                x = features(machine, texts)
+                # one text as a Python string at a time, not the batch
+                x = features(machine, (text.as_py() for text in texts))
                 z = constant + total * x[:, 0] + density * np.log1p(x[:, 1])
-                yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+                yield pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         finally:
             release_worker()
 
