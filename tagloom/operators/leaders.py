@@ -8,18 +8,16 @@ neighbours follow. A round is a few joins over the edges that are still open.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.session import materialize
+from tagloom.session import materialize, scratch_path
 
 
 def _with_heads(edges: DataFrame) -> DataFrame:
     """Edges with ``leads``: whether nothing undecided comes before ``earlier``."""
     waiting = edges.select(F.col("later").alias("earlier"), F.lit(True).alias("waits"))
-    return edges.join(waiting.distinct(), "earlier", "left").select(
+    return edges.join(waiting.distinct().hint("merge"), "earlier", "left").select(
         "earlier", "later", F.col("waits").isNull().alias("leads")
     )
 
@@ -34,16 +32,22 @@ def followers(edges: DataFrame) -> DataFrame:
     ``edges`` has ``earlier, later``, directed along the order. Items without
     edges need no rounds and are leaders. The number of rounds is at most the
     longest chain of names that each depend on the one before; each round writes
-    the edges that are still open, which shrink quickly.
+    the edges that are still open, which shrink quickly, and the items it decides.
+    The driver only keeps their folders: joins merge, so it builds no table to
+    broadcast, and the result is one scan, however many rounds there were.
     """
+    spark = edges.sparkSession
     still_open = edges.select("earlier", "later").distinct()
-    decided: list[DataFrame] = []
+    decided: list[str] = []
     while True:
         still_open = materialize(_with_heads(still_open), "edges")
-        lost = _lost(still_open)
-        decided.append(lost)
+        found = _lost(still_open)
+        decided.append(scratch_path(spark, "lost"))
+        found.write.parquet(decided[-1])
+        reader = spark.read.schema(found.schema)
         if still_open.isEmpty():
-            return reduce(DataFrame.unionByName, decided)
+            return reader.parquet(*decided)
+        lost = reader.parquet(decided[-1]).hint("merge")
         still_open = (
             still_open.select("earlier", "later")
             .join(lost.withColumnRenamed("item", "earlier"), "earlier", "left_anti")

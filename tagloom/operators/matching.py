@@ -113,14 +113,18 @@ def _windows(names: DataFrame, theta: float, shortest: int) -> DataFrame:
 
 
 def _meet(left: DataFrame, right: DataFrame, theta: float, once: bool) -> DataFrame:
-    """Verified pairs of two key tables; ``once`` keeps name order only."""
+    """Verified pairs of two key tables; ``once`` keeps name order only.
+
+    Spark takes a key table for as small as the names it comes from and would build
+    the whole of it in the driver to broadcast it; so the two are merged.
+    """
     l = left.select(F.col("name").alias("left_name"), "key")
     r = right.select(F.col("name").alias("right_name"), F.col("key").alias("_key"))
     alike = similarity(F.col("left_name"), F.col("right_name"))
     met = (F.col("key") == F.col("_key")) & (alike >= theta)
     if once:
         met = met & (F.col("left_name") < F.col("right_name"))
-    return l.join(r, met).select("left_name", "right_name")
+    return l.join(r.hint("merge"), met).select("left_name", "right_name")
 
 
 def longest_name(*names: DataFrame) -> int:

@@ -178,14 +178,16 @@ def edit_pairs(
     names = keyed.select(F.col("key").alias("name")).distinct()
     pairs = fuzzy_pairs(names, names, phi, once=True)
     lowest = keyed.groupBy("key").agg(F.min("id").alias("a"))
-    variants = keyed.join(lowest, "key").where(F.col("id") != F.col("a")).select(
+    variants = keyed.join(lowest.hint("merge"), "key").where(F.col("id") != F.col("a")).select(
         "a", F.col("id").alias("b"), F.lit(1.0).alias("similarity")
     )
     left = keyed.select(F.col("id").alias("a"), F.col("key").alias("left_name"))
     right = keyed.select(F.col("id").alias("b"), F.col("key").alias("right_name"))
-    return pairs.join(left, "left_name").join(right, "right_name").select(
-        "a", "b", "similarity"
-    ).unionByName(variants)
+    return (
+        pairs.join(left.hint("merge"), "left_name").join(right.hint("merge"), "right_name")
+        .select("a", "b", "similarity")
+        .unionByName(variants)
+    )
 
 
 def jaccard_pairs(pairs: DataFrame, phi: float) -> DataFrame:
@@ -355,13 +357,14 @@ def star_groups(
 
     By usage, then id, a tag leads unless it is similar to an earlier leader.
     Every other tag joins its most similar leader; a leader takes at most
-    ``limit``, the most similar first, and the rest stay as they are.
+    ``limit``, the most similar first, and the rest stay as they are. Joins merge:
+    tags are as many as the vocabulary has, too many to broadcast from the driver.
     """
     order = F.struct((-F.col("usage_count")).alias("rank"), "id")
     ranked = tags.select("id", "name", order.alias("place"))
     left = ranked.select(F.col("id").alias("a"), F.col("place").alias("place_a"))
     right = ranked.select(F.col("id").alias("b"), F.col("place").alias("place_b"))
-    placed = pairs.join(left, "a").join(right, "b")
+    placed = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     a_leads = F.col("place_a") < F.col("place_b")
 
     def pick(if_a: str, if_b: str, name: str):
@@ -376,7 +379,8 @@ def star_groups(
         "similar-tags",
     )
     lost = materialize(followers(edges), "followers")
-    to_leader = edges.join(lost.withColumnRenamed("item", "earlier"), "earlier", "left_anti")
+    of_lost = lost.withColumnRenamed("item", "earlier").hint("merge")
+    to_leader = edges.join(of_lost, "earlier", "left_anti")
     closest = F.min_by(
         F.struct("earlier", "earlier_place", "later_place", "similarity"),
         F.struct((-F.col("similarity")).alias("far"), "earlier_place"),
@@ -387,7 +391,7 @@ def star_groups(
         F.col("pos") <= limit
     )
     named = ranked.select(F.col("id").alias("earlier"), F.col("name").alias("primary_name"))
-    return taken.join(named, "earlier").select(
+    return taken.join(named.hint("merge"), "earlier").select(
         F.lit(0).cast("bigint").alias("reply_no"),
         F.col("earlier").alias("group_no"),
         F.col("earlier").alias("primary_id"),

@@ -39,14 +39,18 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as snippets; labels say which are tagged, empty or untried."""
+    """Documents as snippets; labels say which are tagged, empty or untried.
+
+    Labels are many small rows, a multiple of their file once broadcast: they are merged.
+    """
     labels = table(spark, sf, "labels")
     tags = F.when(F.col("quality") == 0, "[]").when(
         F.col("quality") == 1,
         F.concat(F.lit("["), (F.col("toxic") + 1).cast("string"), F.lit("]")),
     )
     return (
-        table(spark, sf, "documents").drop("text").join(labels, "doc_id", "left")
+        table(spark, sf, "documents").drop("text")
+        .join(labels.hint("merge"), "doc_id", "left")
         .select(
             key("doc_id").alias("id"),
             F.col("lang").alias("title"),

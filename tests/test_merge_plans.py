@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagloom.config import WORD
 from tagloom.functions.plan_text import extract_json, parse_plan, scrub_json
 from tagloom.operators import consolidate as con
+from tagloom.operators import leaders
 from tagloom.operators import merge_plans as mp
 from tests.reference_rules import merge_arrays
 
@@ -177,6 +178,37 @@ def test_jaccard_pairs(spark):
     assert got == {(1, 2): pytest.approx(2 / 3), (2, 3): pytest.approx(1 / 3)}
 
 
+def test_edit_plan_broadcasts_nothing(spark, monkeypatch):
+    """Before, the driver built whole tables of keys and tags, taken for small ones."""
+    plans = []
+
+    def plan_of(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def kept(df, name, base=leaders.materialize):
+        plans.append(plan_of(df))
+        return base(df, name)
+
+    monkeypatch.setattr(leaders, "materialize", kept)
+    monkeypatch.setattr(mp, "materialize", kept)
+    names = ["abcdefgh", "abcdefgx", "abcdefxx", "Abcdefgh", "mnopqrst", "mnopqrsx",
+             "abcdefghijklmnopqr", "abcdefghijklmnopxx", "zzzzz"]
+    tags = tags_of(spark, [(i, n, 100 - i) for i, n in enumerate(names, 1)])
+    groups = mp.plan_by_similarity(tags, "edit", 0.75)
+    plans.append(plan_of(groups))
+    got = sorted((r["primary_id"], r["pos"], r["merge_id"]) for r in groups.collect())
+    assert got == [(1, 1, 4), (1, 2, 2), (1, 3, 3), (5, 1, 6), (7, 1, 8)]
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
+def test_followers_of_many_rounds_come_in_one_scan(spark):
+    """Before, every round added a plan of its own to the result's."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 9)], "earlier bigint, later bigint")
+    lost = leaders.followers(edges)
+    assert lost._jdf.queryExecution().analyzed().collectLeaves().size() == 1
+    assert sorted(r["item"] for r in lost.collect()) == [2, 4, 6, 8]
+
+
 def test_cosine_plan_works_out_no_pairs_of_followers(spark, monkeypatch):
     """Copies are pairs with their leader only; before, every two of them were."""
     rows = []
